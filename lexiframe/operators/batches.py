@@ -11,40 +11,44 @@ from lexiframe.sources.corpus import hash_key
 BROADCAST_BATCH_ROWS = 2_000_000
 
 
-def global_index(df: DataFrame, key: str, seed: int = 0, n_parts: int | None = None) -> DataFrame:
-    """Add ``idx`` (0-based) in the total order ``md5('<seed>:<key>'), key``.
+def global_index(df: DataFrame, key: str | list[str], seed: int | None = 0, n_parts: int | None = None,
+                 out: str = "idx") -> DataFrame:
+    """Add ``idx`` (0-based) in the total order ``md5('<seed>:<key>'), key``
+    (or plain key order when ``seed`` is None).
 
     No one-partition window: rows are range-partitioned on the hash (uniform,
-    so no skew), sorted inside partitions and written to the checkpoint folder
-    so the count pass and the numbering pass see the same partitions.  The
-    per-partition counts (one row per partition) give the offsets, which are
-    broadcast (size bounded by the partition count).
+    so no hot partition), sorted inside partitions and written once to the
+    shared checkpoint folder with their partition id and position, so the
+    count and the numbering see the same partitions (range bounds come from
+    sampling and would differ on a recomputation).  The per-partition counts,
+    one row per partition, give the offsets; that small table is broadcast.
     """
-    spark = df.sparkSession
-    from lexiframe.session import checkpoint_dir
+    from lexiframe.session import scratch_path
 
-    checkpoint_dir(spark)
+    spark = df.sparkSession
+    keys = [key] if isinstance(key, str) else list(key)
     n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (
-        df.withColumn("_h", hash_key(seed, key))
-        .repartitionByRange(n, "_h", key)
-        .sortWithinPartitions("_h", key)
-        .withColumn("_pid", F.spark_partition_id())
-        .withColumn("_mid", F.monotonically_increasing_id())
-        .checkpoint(eager=True)
-    )
+    path = scratch_path(spark, "index")
+    order = (["_h"] if seed is not None else []) + keys
+    src = df.withColumn("_h", hash_key(seed, keys)) if seed is not None else df
+    (src.repartitionByRange(n, *order)
+       .sortWithinPartitions(*order)
+       .withColumn("_pid", F.spark_partition_id())
+       .withColumn("_mid", F.monotonically_increasing_id())
+       .write.parquet(path))
+    ranged = spark.read.parquet(path)
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
     idx = F.col("_off") + (F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
     return (
         ranged.join(F.broadcast(offsets), "_pid")
-        .withColumn("idx", idx)
-        .drop("_h", "_pid", "_mid", "_off")
+        .withColumn(out, idx.cast("long"))
+        .drop(*(["_h"] if seed is not None else []), "_pid", "_mid", "_off")
     )
 
 
-def assign_batches(df: DataFrame, key: str, batch_size: int = 64, seed: int = 0) -> DataFrame:
+def assign_batches(df: DataFrame, key: str | list[str], batch_size: int = 64, seed: int = 0) -> DataFrame:
     """Shuffle by seed, then ``batch_id = idx div batch_size``, ``slot = idx mod batch_size``.
     The last partial batch is kept."""
     if batch_size <= 0:

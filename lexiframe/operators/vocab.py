@@ -109,3 +109,17 @@ def ids_to_tokens(seqs: DataFrame, vocab: DataFrame, key: str, ids: str = "ids",
         F.sort_array(F.collect_list(F.struct("_pos", "_tok"))).alias("_s"))
     return seqs.join(back.select(key, F.col("_s._tok").alias(out)), key, "left").withColumn(
         out, F.coalesce(F.col(out), F.array().cast("array<string>")))
+
+
+# Vocabularies up to this many entries are looked up from an array literal
+# (narrow, no shuffle); larger ones go through the join form above.
+LITERAL_VOCAB_LIMIT = 200_000
+
+
+def ids_to_tokens_col(ids: Column, tokens: list[str], remove_id: int | None = None) -> Column:
+    """Column form of id -> token for a dense vocabulary (ids 0..V-1) of bounded size."""
+    if len(tokens) > LITERAL_VOCAB_LIMIT:
+        raise ValueError("vocabulary too large for the literal form; use ids_to_tokens")
+    table = F.array(*[F.lit(t) for t in tokens])
+    arr = F.array_remove(ids, F.lit(remove_id)) if remove_id is not None else ids
+    return F.transform(arr, lambda i: F.get(table, i))

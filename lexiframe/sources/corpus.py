@@ -59,9 +59,10 @@ def project_pair(rows: DataFrame, pair: str, source_lang: str | None = None,
                        F.col("translation")[tgt].alias("target"))
 
 
-def hash_key(seed: int | str, key) -> F.Column:
-    """Hex md5 of ``'<seed>:<key>'``; the same in any engine."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string") if isinstance(key, str) else key.cast("string")))
+def hash_key(seed: int | str, key: str | list[str]) -> F.Column:
+    """Hex md5 of ``'<seed>:<key>[:<key2>...]'``; the same in any engine."""
+    keys = [key] if isinstance(key, str) else list(key)
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
 
 
 def _hex_threshold(fraction: float) -> str:
