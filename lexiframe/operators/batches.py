@@ -11,28 +11,70 @@ from lexiframe.sources.corpus import hash_key
 BROADCAST_BATCH_ROWS = 2_000_000
 
 
+# Buckets per shuffle partition for the hash-ordered index (balance).
+BUCKETS_PER_PARTITION = 16
+
+
 def global_index(df: DataFrame, key: str | list[str], seed: int | None = 0, n_parts: int | None = None,
                  out: str = "idx") -> DataFrame:
+    return global_index_counted(df, key, seed, n_parts, out)[0]
+
+
+def global_index_counted(df: DataFrame, key: str | list[str], seed: int | None = 0, n_parts: int | None = None,
+                         out: str = "idx") -> tuple[DataFrame, int | None]:
     """Add ``idx`` (0-based) in the total order ``md5('<seed>:<key>'), key``
-    (or plain key order when ``seed`` is None).
-
-    No one-partition window: rows are range-partitioned on the hash (uniform,
-    so no hot partition), sorted inside partitions and written once to the
-    shared checkpoint folder with their partition id and position, so the
-    count and the numbering see the same partitions (range bounds come from
-    sampling and would differ on a recomputation).  The per-partition counts,
-    one row per partition, give the offsets; that small table is broadcast.
+    (or plain key order when ``seed`` is None).  Keys must be unique.
+
+    No one-partition window.  With a seed the order is a uniform hash, so the
+    hash prefix gives buckets that are already in order: one light job counts
+    rows per bucket on the key columns only (partial aggregation; a table of
+    ``BUCKETS_PER_PARTITION`` rows per partition, collected), then the rows are
+    hash-partitioned on the bucket and sorted inside partitions, and each row
+    gets ``offset(bucket) + position``.  Partitioning and sort are
+    deterministic, so a recomputed partition after executor loss gets the same
+    numbers, and the heavy rows are shuffled once and never sampled.
     """
-    from lexiframe.session import scratch_path
-
     spark = df.sparkSession
     keys = [key] if isinstance(key, str) else list(key)
     n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if seed is None:
+        return _ordered_index(df, keys, n, out), None
+    nb = n * BUCKETS_PER_PARTITION
+    h = hash_key(seed, keys)
+    bucket = (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") * F.lit(nb) / F.lit(1 << 32)).cast("long")
+    counts = (df.select(bucket.alias("_b")).groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+              .withColumn("_p", F.pmod(F.hash(F.col("_b")), F.lit(n)))
+              .collect())
+    delta, total, part_used = {}, 0, {}
+    for r in sorted(counts, key=lambda r: r["_b"]):
+        # rows before this bucket globally, minus rows before it in its own partition
+        delta[r["_b"]] = total - part_used.get(r["_p"], 0)
+        total += r["_n"]
+        part_used[r["_p"]] = part_used.get(r["_p"], 0) + r["_n"]
+    if not delta:
+        return df.withColumn(out, F.lit(None).cast("long")).limit(0), 0
+    dmap = F.map_from_arrays(F.array(*[F.lit(k).cast("long") for k in delta]),
+                             F.array(*[F.lit(v).cast("long") for v in delta.values()]))
+    pos = F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)
+    return (
+        df.withColumn("_h", h).withColumn("_b", bucket)
+        .repartition(n, "_b")
+        .sortWithinPartitions("_b", "_h", *keys)
+        .withColumn(out, (pos + F.element_at(dmap, F.col("_b"))).cast("long"))
+        .drop("_h", "_b")
+    ), total
+
+
+def _ordered_index(df: DataFrame, keys: list[str], n: int, out: str) -> DataFrame:
+    """Key-order index: range partitions (sampled bounds), written once to the
+    checkpoint folder with partition id and position so counting and numbering
+    see the same partitions; per-partition counts give broadcast offsets."""
+    from lexiframe.session import scratch_path
+
+    spark = df.sparkSession
     path = scratch_path(spark, "index")
-    order = (["_h"] if seed is not None else []) + keys
-    src = df.withColumn("_h", hash_key(seed, keys)) if seed is not None else df
-    (src.repartitionByRange(n, *order)
-       .sortWithinPartitions(*order)
+    (df.repartitionByRange(n, *keys)
+       .sortWithinPartitions(*keys)
        .withColumn("_pid", F.spark_partition_id())
        .withColumn("_mid", F.monotonically_increasing_id())
        .write.parquet(path))
@@ -41,21 +83,46 @@ def global_index(df: DataFrame, key: str | list[str], seed: int | None = 0, n_pa
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
     idx = F.col("_off") + (F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
-    return (
-        ranged.join(F.broadcast(offsets), "_pid")
-        .withColumn(out, idx.cast("long"))
-        .drop(*(["_h"] if seed is not None else []), "_pid", "_mid", "_off")
-    )
+    return (ranged.join(F.broadcast(offsets), "_pid")
+            .withColumn(out, idx.cast("long")).drop("_pid", "_mid", "_off"))
+
+
+def next_row(df: DataFrame, group: str, order: str, cols: list[str], prefix: str = "next_") -> DataFrame:
+    """Add the values of ``cols`` from the next row of the same ``group`` in
+    ``order`` (like ``lead``), without a window partitioned by the group.
+
+    A window would put a whole group into one task; here rows are numbered in
+    ``(group, order)`` order by range partitions (a hot group is split across
+    partitions because the order column breaks it up), then each row meets its
+    successor through an equi-join on the row number (unique keys, no skew).
+    The group/order pair must be unique.
+    """
+    idx = global_index(df, [group, order], seed=None, out="_row")
+    succ = idx.select((F.col("_row") - 1).alias("_row"), F.col(group).alias("_g"),
+                      *[F.col(c).alias(prefix + c) for c in cols])
+    out = idx.join(succ, "_row", "left")
+    same = F.col("_g") == F.col(group)
+    for c in cols:
+        out = out.withColumn(prefix + c, F.when(same, F.col(prefix + c)))
+    return out.drop("_row", "_g")
 
 
 def assign_batches(df: DataFrame, key: str | list[str], batch_size: int = 64, seed: int = 0) -> DataFrame:
     """Shuffle by seed, then ``batch_id = idx div batch_size``, ``slot = idx mod batch_size``.
     The last partial batch is kept."""
+    return assign_batches_counted(df, key, batch_size, seed)[0]
+
+
+def assign_batches_counted(df: DataFrame, key: str | list[str], batch_size: int = 64,
+                           seed: int = 0) -> tuple[DataFrame, int]:
+    """``assign_batches`` plus the number of batches (known from the index's counts)."""
     if batch_size <= 0:
         raise ValueError("batch_size must be positive")
-    out = global_index(df, key, seed)
-    return out.withColumn("batch_id", F.floor(F.col("idx") / batch_size).cast("long")) \
-              .withColumn("slot", (F.col("idx") % batch_size).cast("int"))
+    out, total = global_index_counted(df, key, seed)
+    out = out.withColumn("batch_id", F.floor(F.col("idx") / batch_size).cast("long")) \
+             .withColumn("slot", (F.col("idx") % batch_size).cast("int"))
+    n_batches = -(-total // batch_size) if total is not None else count_batches(out)
+    return out, n_batches
 
 
 def count_batches(indexed: DataFrame, batch_col: str = "batch_id") -> int:

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from lexiframe.functions.text import SPECIAL_TOKENS, normalize, pretokenize_keep_specials, \
     protect_specials, sentinel_for
 from lexiframe.operators.vocab import MERGES_SCHEMA, VOCAB_SCHEMA, alphabet, chars, word_counts
-from lexiframe.session import checkpoint_dir
+from lexiframe.session import checkpoint_dir, materialize
 
 @dataclass
 class BpeModel:
@@ -139,8 +139,8 @@ def _choose(top: list, tokens: list[str], tok_ids: dict[str, int], limit: int, r
 
 def train_bpe(texts: DataFrame, vocab_size: int, text: str = "text",
               specials: list[str] | None = None, unk_token: str = "[UNK]",
-              batch_pairs: int = 512, checkpoint_every: int = 10,
-              word_table: DataFrame | None = None) -> BpeModel:
+              batch_pairs: int = 512, checkpoint_every: int = 20,
+              word_table: DataFrame | None = None, rows_per_partition: int = 500_000) -> BpeModel:
     """Train a BPE vocabulary of ``vocab_size`` entries (specials and alphabet included).
 
     Ids: specials in list order, then the alphabet by code point, then merges
@@ -150,7 +150,7 @@ def train_bpe(texts: DataFrame, vocab_size: int, text: str = "text",
     specials = list(SPECIAL_TOKENS if specials is None else specials)
     spark = texts.sparkSession
     checkpoint_dir(spark)
-    wc = word_table if word_table is not None else word_counts(texts, text)
+    wc = materialize(word_table if word_table is not None else word_counts(texts, text), "bpe-words")
     alpha = sorted(alphabet(wc, specials=specials, first_id=len(specials)).collect(), key=lambda r: r["id"])
     tokens = specials + [r["token"] for r in alpha]
     kinds = ["special"] * len(specials) + ["alphabet"] * len(alpha)
@@ -159,8 +159,14 @@ def train_bpe(texts: DataFrame, vocab_size: int, text: str = "text",
     if len(tokens) >= vocab_size or not alpha:
         return model
 
-    work = (_initial_symbols(wc, {r["token"]: r["id"] for r in alpha})
-            .where(_multi_symbol(F.col("s"))).checkpoint(eager=True))
+    work = materialize(_initial_symbols(wc, {r["token"]: r["id"] for r in alpha})
+                       .where(_multi_symbol(F.col("s"))), "bpe-symbols")
+    # the distinct-word table is small next to the corpus: size its partitions
+    # to the data (rows_per_partition words each) so a round is not all overhead
+    n_words = work.count()
+    parts = max(1, -(-n_words // rows_per_partition))
+    if parts < work.rdd.getNumPartitions():
+        work = work.coalesce(parts)
     rounds = 0
     stale: list[DataFrame] = []
     while len(tokens) < vocab_size:
@@ -182,8 +188,8 @@ def train_bpe(texts: DataFrame, vocab_size: int, text: str = "text",
         nxt = work.select("n", _apply_merges(F.col("s"), applied).alias("s")).where(_multi_symbol(F.col("s")))
         rounds += 1
         if rounds % checkpoint_every == 0:
-            # reliable checkpoint in the shared folder cuts the lineage
-            nxt = nxt.checkpoint(eager=True)
+            # a written table in the shared folder cuts the lineage
+            nxt = materialize(nxt, "bpe-symbols")
         else:
             # materialised by the next round's pair count (one job per round)
             nxt = nxt.persist()
@@ -279,11 +285,22 @@ def encode_words_udf(model: BpeModel):
     return _encode
 
 
-def encode(text: Column, model: BpeModel) -> Column:
+def encode(text: Column, model: BpeModel, max_ids: int | None = None) -> Column:
     """Text -> ids: special strings become their ids, the rest is normalised,
-    pre-tokenized (JVM) and BPE-encoded per word (Arrow UDF)."""
+    pre-tokenized (JVM) and BPE-encoded per word (Arrow UDF).
+
+    ``max_ids``: the caller keeps only the first ``max_ids`` ids (right
+    truncation).  Every pre-token yields at least one id and a word's ids do
+    not depend on the words after it, so encoding the first ``max_ids``
+    pre-tokens gives exactly the first ``max_ids`` ids of the whole text;
+    the text itself is still normalised and pre-tokenized in full.
+    """
     prot = protect_specials(text, model.specials)
-    return encode_words_udf(model)(pretokenize_keep_specials(normalize(prot)))
+    toks = pretokenize_keep_specials(normalize(prot))
+    if max_ids is not None:
+        toks = F.slice(toks, 1, max_ids)
+    out = encode_words_udf(model)(toks)
+    return F.slice(out, 1, max_ids) if max_ids is not None else out
 
 
 def with_markers(ids: Column, begin_id: int | None, end_id: int | None, max_length: int | None = None) -> Column:

@@ -61,3 +61,19 @@ def results(hist: DataFrame, test_loss: DataFrame) -> DataFrame:
                          F.col("eval_loss").alias("test_loss"))
     return h.unionByName(t).agg(F.max_by("val_loss", "step").alias("val_loss"),
                                 F.max("test_loss").alias("test_loss"))
+
+
+def score_batches(batches: DataFrame, scorer, schema: str, batch: str = "batch_id") -> DataFrame:
+    """Run a user-supplied scorer over each padded batch (a pandas frame of at
+    most ``batch_size`` rows) and return its per-token rows, e.g.
+    ``batch_id long, seq_id long, pos int, loss double, mask int``.
+
+    Groups are batches, so every Python call sees a bounded frame; the scorer
+    gets the rows of one batch in slot order.
+    """
+    def run(pdf):
+        if "slot" in pdf.columns:
+            pdf = pdf.sort_values("slot")
+        return scorer(pdf)
+
+    return batches.groupBy(batch).applyInPandas(run, schema)

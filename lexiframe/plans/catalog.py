@@ -140,14 +140,26 @@ def q_char_pair_counts(spark, sf):
         "left", "right", F.col("n").cast("long").alias("n"))
 
 
+_MODELS: dict = {}
+
+
+def _trained(spark, sf):
+    """Train once per corpus and session; later queries load the same vocabulary
+    (train once, encode many times)."""
+    key = (id(spark), sf, BPE_VOCAB_SIZE)
+    if key not in _MODELS:
+        _MODELS[key] = train_bpe(_docs(spark, sf), BPE_VOCAB_SIZE)
+    return _MODELS[key]
+
+
 def q_bpe_vocab(spark, sf):
-    model = train_bpe(_docs(spark, sf), BPE_VOCAB_SIZE)
+    model = _trained(spark, sf)
     return model.vocab_frame(spark).select("token", F.col("id").cast("long").alias("id"), "kind")
 
 
 def q_bpe_encode(spark, sf):
     docs = _docs(spark, sf)
-    model = train_bpe(docs, BPE_VOCAB_SIZE)
+    model = _trained(spark, sf)
     ids = encode(F.col("text"), model)
     return docs.select("doc_id", ids.alias("ids")).select(
         "doc_id", F.size("ids").cast("long").alias("n_ids"), _join_ints(F.col("ids")).alias("ids_str"))

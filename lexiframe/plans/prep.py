@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiframe.functions.text import non_empty, strip_heading, words
-from lexiframe.operators.batches import assign_batches, count_batches, pad_batches, shift
+from lexiframe.operators.batches import assign_batches_counted, pad_batches, shift
 from lexiframe.operators.bpe import BpeModel, encode, with_markers
 from lexiframe.operators.vocab import char_vocab
 
@@ -31,7 +31,8 @@ def lm_sequences(texts: DataFrame, model: BpeModel, key: str = "doc_id", text: s
     rows = texts.where(non_empty(F.col(text)))
     if clean_headings:
         rows = rows.withColumn(text, strip_heading(F.col(text)))
-    ids = with_markers(encode(F.col(text), model), model.token_to_id(begin), model.token_to_id(end), max_length)
+    ids = with_markers(encode(F.col(text), model, max_ids=max_length - 1),
+                       model.token_to_id(begin), model.token_to_id(end), max_length)
     return rows.select(key, ids.alias("ids"))
 
 
@@ -42,8 +43,7 @@ def lm_batches(seqs: DataFrame, model: BpeModel, key: str = "doc_id", batch_size
     The encoded rows (at most ``max_length`` ids each) are what the index
     shuffle moves; the text is not carried along.
     """
-    indexed = assign_batches(seqs, key, batch_size, seed)
-    n = count_batches(indexed)
+    indexed, n = assign_batches_counted(seqs, key, batch_size, seed)
     return pad_batches(indexed, ["ids"], model.token_to_id(pad), n_batches=n)
 
 
@@ -55,16 +55,15 @@ def lm_shifted(batches: DataFrame, ids: str = "ids", mask: str = "ids_attention_
 def mt_sequences(pairs: DataFrame, model: BpeModel, keys: tuple[str, ...] = ("conv_id", "turn"),
                  max_length: int = 256, begin: str = "[SEP]", end: str = "[EOS]") -> DataFrame:
     """Translation rows: source unmarked; target ``[SEP] target [EOS]``; both truncated."""
-    src = with_markers(encode(F.col("source"), model), None, None, max_length)
-    tgt = with_markers(encode(F.col("target"), model), model.token_to_id(begin), model.token_to_id(end),
-                       max_length)
+    src = with_markers(encode(F.col("source"), model, max_ids=max_length), None, None, max_length)
+    tgt = with_markers(encode(F.col("target"), model, max_ids=max_length - 1),
+                       model.token_to_id(begin), model.token_to_id(end), max_length)
     return pairs.select(*keys, src.alias("source_ids"), tgt.alias("target_ids"))
 
 
 def mt_batches(seqs: DataFrame, model: BpeModel, keys: tuple[str, ...] = ("conv_id", "turn"),
                batch_size: int = 64, seed: int = 0, pad: str = "[PAD]") -> DataFrame:
-    indexed = assign_batches(seqs, list(keys), batch_size, seed)
-    n = count_batches(indexed)
+    indexed, n = assign_batches_counted(seqs, list(keys), batch_size, seed)
     return pad_batches(indexed, ["source_ids", "target_ids"], model.token_to_id(pad), n_batches=n)
 
 

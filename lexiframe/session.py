@@ -65,3 +65,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
+
+
+def materialize(df, name: str):
+    """Write ``df`` once as parquet under the checkpoint folder and read it back:
+    cuts the lineage (survives executor loss) with a single computation, unlike
+    an eager ``checkpoint()`` which computes the plan twice."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiframe.session import table_path
@@ -28,19 +28,18 @@ def paragraph_rows(texts: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def parallel_rows(spark: SparkSession, sf_dir: str,
                   src_lang: str = "user", tgt_lang: str = "assistant") -> DataFrame:
-    """Parallel rows from conversations: a user turn and the assistant turn after it.
+    """Parallel rows from conversations: a user turn and the turn right after it
+    when that one is the assistant's (``lead`` over ``conv_id`` by ``turn``).
 
     ``translation`` is a struct with one field per side (pruned column-wise
-    by Parquet, unlike a map).  The window only partitions by ``conv_id`` so
-    the shuffle spreads across conversations.
+    by Parquet, unlike a map).  The successor comes from ``next_row``, which
+    splits a long conversation over many tasks instead of one window task.
     """
+    from lexiframe.operators.batches import next_row
+
     conv = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    nxt = (
-        conv.withColumn("next_role", F.lead("role").over(w))
-        .withColumn("next_text", F.lead("text").over(w))
-        .where((F.col("role") == "user") & (F.col("next_role") == "assistant"))
-    )
+    nxt = next_row(conv, "conv_id", "turn", ["role", "text"]).where(
+        (F.col("role") == "user") & (F.col("next_role") == "assistant"))
     return nxt.select(
         "conv_id",
         "turn",
