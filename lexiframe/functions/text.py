@@ -108,11 +108,17 @@ def pretokenize_keep_specials(text: Column) -> Column:
 
 
 def protect_specials(text: Column, specials: list[str]) -> Column:
-    """Replace every occurrence of a special string by its sentinel character."""
+    """Replace every occurrence of a special string by its sentinel character.
+
+    One match test per row; only rows that contain a special run the
+    replacements (one pass per special)."""
+    if not specials:
+        return text
     out = text
     for i, tok in enumerate(specials):
         out = F.regexp_replace(out, _java_quote(tok), sentinel_for(i))
-    return out
+    any_special = "|".join(_java_quote(t) for t in specials)
+    return F.when(text.rlike(any_special), out).otherwise(text)
 
 
 def _java_quote(s: str) -> str:

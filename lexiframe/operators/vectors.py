@@ -45,4 +45,20 @@ def lookup_vectors(tokens: DataFrame, vectors: DataFrame, token_col: str = "toke
 
 
 def add_positions(vec: Column, pos: Column, d_model: int) -> Column:
+    """Column form: computes the position features in place (use for few rows)."""
     return F.zip_with(vec, positional_vector(pos, d_model), lambda a, b: a + b)
+
+
+def with_positions(df: DataFrame, vec_col: str, pos_col: str, d_model: int, max_len: int,
+                   out: str | None = None) -> DataFrame:
+    """Add position features to a vector column by a broadcast join with the
+    ``max_len`` x ``d_model`` feature table (one row per position; bounded by
+    the model's context length, not by the data), so sin/cos run once per
+    position instead of once per token."""
+    spark = df.sparkSession
+    table = (positional_table(spark, max_len, d_model)
+             .groupBy("pos").agg(F.sort_array(F.collect_list(F.struct("dim", "value"))).alias("_pe"))
+             .select(F.col("pos").cast("int").alias("_ppos"), F.col("_pe.value").alias("_pe")))
+    j = df.join(F.broadcast(table), F.col(pos_col).cast("int") == F.col("_ppos"), "left")
+    return j.withColumn(out or vec_col, F.zip_with(F.col(vec_col), F.col("_pe"), lambda a, b: a + b)) \
+            .drop("_ppos", "_pe")

@@ -18,7 +18,7 @@ from lexiframe.operators import batches as B
 from lexiframe.operators import metrics as M
 from lexiframe.operators.bleu import corpus_bleu, sentence_stats
 from lexiframe.operators.bpe import encode, train_bpe, with_markers
-from lexiframe.operators.vectors import add_positions, lookup_vectors
+from lexiframe.operators.vectors import lookup_vectors, with_positions
 from lexiframe.operators.vocab import char_vocab, ids_to_tokens_col, string_pair_counts, word_counts
 from lexiframe.plans import prep
 from lexiframe.session import scratch_path, table_path
@@ -268,8 +268,8 @@ def q_token_vectors(spark, sf):
     toks = seqs.select("doc_id", F.posexplode("ids").alias("pos", "token_id"))
     emb = C.read_table(spark, sf, "embeddings")
     j = lookup_vectors(toks, emb, token_col="token_id", id_col="vec_id", vec_col="embedding", width=D_MODEL)
-    v = add_positions(F.col("embedding"), F.col("pos"), D_MODEL)
-    total = F.aggregate(v, F.lit(0.0).cast("double"), lambda a, x: a + x)
+    j = with_positions(j, "embedding", "pos", D_MODEL, MAX_LENGTH)
+    total = F.aggregate(F.col("embedding"), F.lit(0.0).cast("double"), lambda a, x: a + x)
     return j.select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("token_id").cast("long").alias("token_id"),
                     _r(total).alias("checksum"))
 
