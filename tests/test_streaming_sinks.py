@@ -38,9 +38,11 @@ def test_export_skip_if_exists(spark):
 
 def test_bilingual_order(spark):
     rows = spark.createDataFrame([(0, 0, ("hallo", "hello"))], "conv_id long, turn long, translation struct<de:string,en:string>")
-    p = C.project_pair(rows, "de-en", source_lang="en")
-    r = p.first()
+    r = C.project_pair(rows, "de-en", source_lang="en", target_lang="de").first()
     assert r["source"] == "hello" and r["target"] == "hallo"
+    # only the source overridden: the target stays the pair's second language
+    r = C.project_pair(rows, "de-en", source_lang="en").first()
+    assert r["source"] == "hello" and r["target"] == "hello"
     assert C.project_pair(rows, "de-en").first()["source"] == "hallo"
     lines = [r["value"] for r in S.bilingual_lines(rows, "de-en").orderBy("side").collect()]
     assert lines == ["hallo", "hello"]
