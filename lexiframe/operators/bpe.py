@@ -140,7 +140,7 @@ def _choose(top: list, tokens: list[str], tok_ids: dict[str, int], limit: int, r
 def train_bpe(texts: DataFrame, vocab_size: int, text: str = "text",
               specials: list[str] | None = None, unk_token: str = "[UNK]",
               batch_pairs: int = 512, checkpoint_every: int = 20,
-              word_table: DataFrame | None = None, rows_per_partition: int = 500_000) -> BpeModel:
+              word_table: DataFrame | None = None, rows_per_partition: int = 50_000) -> BpeModel:
     """Train a BPE vocabulary of ``vocab_size`` entries (specials and alphabet included).
 
     Ids: specials in list order, then the alphabet by code point, then merges

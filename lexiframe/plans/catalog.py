@@ -40,6 +40,9 @@ BOS, EOS, PAD, SEP = (SPECIAL_TOKENS.index(t) for t in ("[BOS]", "[EOS]", "[PAD]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Vocabularies built once per (session, corpus) and reused by later queries.
+_MODELS: dict = {}
+
 
 def _r(c):
     return (F.round(c, 6) + F.lit(0.0)).cast("double")
@@ -140,9 +143,6 @@ def q_char_pair_counts(spark, sf):
         "left", "right", F.col("n").cast("long").alias("n"))
 
 
-_MODELS: dict = {}
-
-
 def _trained(spark, sf):
     """Train once per corpus and session; later queries load the same vocabulary
     (train once, encode many times)."""
@@ -165,9 +165,18 @@ def q_bpe_encode(spark, sf):
         "doc_id", F.size("ids").cast("long").alias("n_ids"), _join_ints(F.col("ids")).alias("ids_str"))
 
 
+def _char(spark, sf):
+    """The char-level vocabulary of a corpus, built once per session (like a
+    tokenizer trained once and loaded by every later step)."""
+    key = (id(spark), sf, "char")
+    if key not in _MODELS:
+        _MODELS[key] = prep.char_model(_docs(spark, sf))
+    return _MODELS[key]
+
+
 def _char_lm(spark, sf):
     docs = _docs(spark, sf)
-    model = prep.char_model(docs)
+    model = _char(spark, sf)
     return docs, model, prep.lm_sequences(docs, model, max_length=MAX_LENGTH)
 
 
@@ -178,8 +187,7 @@ def q_encode_chars(spark, sf):
 
 def q_encode_unseen(spark, sf):
     """Conversation texts encoded with the documents' alphabet: unseen characters -> [UNK]."""
-    docs = _docs(spark, sf)
-    model = prep.char_model(docs)
+    model = _char(spark, sf)
     conv = C.read_table(spark, sf, "conversations")
     ids = encode(F.col("text"), model)
     return conv.select("conv_id", "turn", ids.alias("ids")).select(
@@ -249,8 +257,7 @@ def q_cadence_resume(spark, sf):
 
 
 def q_mt_batches(spark, sf):
-    docs = _docs(spark, sf)
-    model = prep.char_model(docs)
+    model = _char(spark, sf)
     pairs = C.project_pair(C.parallel_rows(spark, sf), "user-assistant")
     seqs = prep.mt_sequences(pairs, model, max_length=MAX_LENGTH)
     b = prep.mt_batches(seqs, model, batch_size=BATCH_SIZE, seed=SEED)

@@ -14,9 +14,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin the rows over the default parallelism when the scan gives
+    fewer partitions (few large row groups).  Per-row text work is CPU bound;
+    on a cluster the scan already has many partitions and nothing changes."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+
+
 def text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id long, text string)`` rows of the documents table."""
-    return read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def paragraph_rows(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
