@@ -66,12 +66,16 @@ _MARKS = None
 
 
 def _strip_marks(s: str) -> str:
+    """Remove every character of general category Mark (Mn, Mc, Me)."""
     global _MARKS
     if _MARKS is None:
-        import regex
+        import sys
+        import unicodedata
 
-        _MARKS = regex.compile(r"\p{M}+")
-    return _MARKS.sub("", s)
+        # built once per Python worker from the category rule
+        _MARKS = {cp: None for cp in range(sys.maxunicode + 1)
+                  if unicodedata.category(chr(cp)).startswith("M")}
+    return s.translate(_MARKS)
 
 
 @F.pandas_udf(T.StringType())
