@@ -47,7 +47,7 @@ def _gram_rows(df: DataFrame, key: str, tokens: str, side: F.Column, orders: int
 
 
 def sentence_stats(pairs: DataFrame, key: str = "pair_id", hyp: str = "hyp", refs: str = "refs",
-                   orders: int = 4) -> DataFrame:
+                   orders: int = 4, materialize_pairs: bool = True) -> DataFrame:
     """Per hypothesis and order: clipped matches, denominator, lengths.
 
     Hypothesis n-grams (side -1) and reference n-grams (side = reference
@@ -55,7 +55,15 @@ def sentence_stats(pairs: DataFrame, key: str = "pair_id", hyp: str = "hyp", ref
     combined map-side; a second aggregation by ``(pair, n, gram)`` takes the
     hypothesis count and the largest reference count; a third sums per
     ``(pair, n)``.  No join, and a hot pair is spread over its grams.
+
+    The pairs feed three branches (hypothesis grams, reference grams,
+    lengths); they are written once to the checkpoint folder so tokenization
+    upstream runs once (``materialize_pairs=False`` when they are cheap).
     """
+    if materialize_pairs:
+        from lexiframe.session import materialize
+
+        pairs = materialize(pairs.select(key, hyp, refs), "bleu-pairs")
     h = _gram_rows(pairs.select(key, hyp), key, hyp, F.lit(-1), orders)
     ref_rows = pairs.select(key, F.posexplode(refs).alias("ref_no", "ref"))
     r = _gram_rows(ref_rows, key, "ref", F.col("ref_no"), orders)
@@ -88,10 +96,10 @@ def sentence_stats(pairs: DataFrame, key: str = "pair_id", hyp: str = "hyp", ref
 
 
 def corpus_bleu(pairs: DataFrame, key: str = "pair_id", hyp: str = "hyp", refs: str = "refs",
-                weights: tuple[float, ...] = DEFAULT_WEIGHTS) -> DataFrame:
+                weights: tuple[float, ...] = DEFAULT_WEIGHTS, materialize_pairs: bool = True) -> DataFrame:
     """One row: ``bleu`` plus the per-order precisions and lengths."""
     orders = len(weights)
-    st = sentence_stats(pairs, key, hyp, refs, orders)
+    st = sentence_stats(pairs, key, hyp, refs, orders, materialize_pairs)
     per_n = st.groupBy("n").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
     lengths = st.where(F.col("n") == 1).agg(F.sum("hyp_len").alias("c"), F.sum("ref_len").alias("r"))
     agg_n = per_n.agg(*[

@@ -90,11 +90,20 @@ def conversation_bleu_pairs(pairs: DataFrame) -> DataFrame:
 
 def document_bleu_pairs(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document against the next one in key order (near copies exist among
-    neighbours).  The successor is found with an equi-join on the rank from the
-    distributed global index, not with a window over the whole table."""
-    from lexiframe.operators.batches import global_index
+    neighbours).
 
-    w = global_index(texts.select(key, words(F.col(text)).alias("w")), key, seed=None, out="_idx")
-    nxt = w.select((F.col("_idx") - 1).alias("_idx"), F.col("w").alias("ref"))
-    return w.join(nxt, "_idx").select(
-        F.col(key).alias("pair_id"), F.col("w").alias("hyp"), F.array("ref").alias("refs"))
+    The word arrays are computed once (written to the checkpoint folder); only
+    the keys go through the distributed index (range partitions, light);
+    successor keys come from an equi-join on the rank and the word arrays are
+    joined on by key.  No window over the whole table.
+    """
+    from lexiframe.operators.batches import global_index
+    from lexiframe.session import materialize
+
+    w = materialize(texts.select(key, words(F.col(text)).alias("w")), "doc-words")
+    idx = global_index(w.select(key), key, seed=None, out="_idx")
+    succ = idx.join(idx.select((F.col("_idx") - 1).alias("_idx"), F.col(key).alias("_next")), "_idx") \
+              .select(key, "_next")
+    ref = w.select(F.col(key).alias("_next"), F.col("w").alias("ref"))
+    return (w.join(succ, key).join(ref, "_next")
+            .select(F.col(key).alias("pair_id"), F.col("w").alias("hyp"), F.array("ref").alias("refs")))
