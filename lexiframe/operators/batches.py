@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiframe.functions.rows import posexplode_rows
 from lexiframe.sources.corpus import hash_key
 
 # A per-batch table is broadcast only below this many rows (about 24 bytes a row).
@@ -197,7 +198,7 @@ def flatten_tokens(df: DataFrame, keys: list[str], labels: str = "labels",
                    labels_mask: str = "labels_mask") -> DataFrame:
     """One row per token position: ``(keys..., pos, label, mask)`` (narrow)."""
     z = F.arrays_zip(F.col(labels).alias("label"), F.col(labels_mask).alias("mask"))
-    return df.select(*keys, F.posexplode(z).alias("pos", "_z")).select(
+    return posexplode_rows(df, z, "pos", "_z", *keys).select(
         *keys, "pos", F.col("_z.label").alias("label"), F.col("_z.mask").alias("mask")
     )
 

@@ -15,6 +15,8 @@ import sys
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiframe.functions.rows import explode_rows, posexplode_rows
+
 # Uniform weights over orders 1..4; the value an order without
 # any match contributes instead of zero (smallest positive normal double).
 DEFAULT_WEIGHTS = (0.25, 0.25, 0.25, 0.25)
@@ -40,8 +42,7 @@ def _gram_rows(df: DataFrame, key: str, tokens: str, side: F.Column, orders: int
     """``(key, side, n, gram)`` rows: one explode per order, unioned."""
     out = None
     for n in range(1, orders + 1):
-        part = df.select(key, side.alias("side"), F.lit(n).alias("n"),
-                         F.explode(ngrams(F.col(tokens), n)).alias("gram"))
+        part = explode_rows(df, ngrams(F.col(tokens), n), "gram", key, side.alias("side"), F.lit(n).alias("n"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -65,7 +66,7 @@ def sentence_stats(pairs: DataFrame, key: str = "pair_id", hyp: str = "hyp", ref
 
         pairs = materialize(pairs.select(key, hyp, refs), "bleu-pairs")
     h = _gram_rows(pairs.select(key, hyp), key, hyp, F.lit(-1), orders)
-    ref_rows = pairs.select(key, F.posexplode(refs).alias("ref_no", "ref"))
+    ref_rows = posexplode_rows(pairs, F.col(refs), "ref_no", "ref", key)
     r = _gram_rows(ref_rows, key, "ref", F.col("ref_no"), orders)
     per_side = h.unionByName(r).groupBy(key, "n", "gram", "side").agg(F.count(F.lit(1)).alias("c"))
     per_gram = per_side.groupBy(key, "n", "gram").agg(

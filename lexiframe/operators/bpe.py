@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexiframe.functions.rows import explode_rows
 from lexiframe.functions.text import SPECIAL_TOKENS, normalize, pretokenize_keep_specials, \
     protect_specials, sentinel_for
 from lexiframe.operators.vocab import MERGES_SCHEMA, VOCAB_SCHEMA, alphabet, chars, word_counts
@@ -89,7 +90,7 @@ def _initial_symbols(wc: DataFrame, tok_ids: dict[str, int]) -> DataFrame:
 def symbol_pair_counts(work: DataFrame) -> DataFrame:
     """``(left, right, n)``: adjacent id pairs weighted by word frequency."""
     p = F.col("p")
-    return (work.select("n", F.explode(F.regexp_extract_all("s", F.lit(_PAIR), 1)).alias("p"))
+    return (explode_rows(work, F.regexp_extract_all("s", F.lit(_PAIR), 1), "p", "n")
             .groupBy("p").agg(F.sum("n").alias("n"))
             .select(F.substring_index(p, " ", 1).cast("int").alias("left"),
                     F.substring_index(p, " ", -1).cast("int").alias("right"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexiframe.functions.rows import explode_rows, posexplode_rows
 from lexiframe.functions.text import SPECIAL_TOKENS, words
 
 VOCAB_SCHEMA = "token string, id int, kind string"
@@ -17,7 +18,7 @@ def word_counts(texts: DataFrame, text: str = "text") -> DataFrame:
     explode -> hash aggregate with a map-side partial count, so a hot word is
     combined inside each task before the shuffle.
     """
-    return (texts.select(F.explode(words(F.col(text))).alias("word"))
+    return (explode_rows(texts, words(F.col(text)), "word")
             .groupBy("word").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -40,7 +41,7 @@ def alphabet(word_table: DataFrame, word: str = "word", first_id: int = len(SPEC
     equals a special token is not added twice.
     """
     specials = SPECIAL_TOKENS if specials is None else specials
-    distinct = (word_table.select(F.explode(chars(F.col(word))).alias("token")).distinct()
+    distinct = (explode_rows(word_table, chars(F.col(word)), "token").distinct()
                 .where(~F.col("token").isin(specials)))
     w = Window.orderBy("token")  # UTF-8 byte order = code point order
     return distinct.select(
@@ -63,7 +64,7 @@ def pair_counts(symbol_words: DataFrame, syms: str = "syms", n: str = "n") -> Da
     pairs = F.when(k <= 0, F.array().cast("array<struct<l:int,r:int>>")).otherwise(
         F.transform(F.sequence(F.lit(1), F.greatest(k, F.lit(1))),
                     lambda i: F.struct(F.element_at(s, i).alias("l"), F.element_at(s, i + 1).alias("r"))))
-    return (symbol_words.select(F.col(n).alias("_w"), F.explode(pairs).alias("_p"))
+    return (explode_rows(symbol_words, pairs, "_p", F.col(n).alias("_w"))
             .groupBy(F.col("_p.l").alias("left"), F.col("_p.r").alias("right"))
             .agg(F.sum("_w").cast("long").alias("n")))
 
@@ -75,7 +76,7 @@ def string_pair_counts(word_table: DataFrame, word: str = "word", n: str = "n")
     pairs = F.when(k <= 0, F.array().cast("array<struct<l:string,r:string>>")).otherwise(
         F.transform(F.sequence(F.lit(1), F.greatest(k, F.lit(1))),
                     lambda i: F.struct(F.element_at(c, i).alias("l"), F.element_at(c, i + 1).alias("r"))))
-    return (word_table.select(F.col(n).alias("_w"), F.explode(pairs).alias("_p"))
+    return (explode_rows(word_table, pairs, "_p", F.col(n).alias("_w"))
             .groupBy(F.col("_p.l").alias("left"), F.col("_p.r").alias("right"))
             .agg(F.sum("_w").cast("long").alias("n")))
 
@@ -103,7 +104,7 @@ def ids_to_tokens(seqs: DataFrame, vocab: DataFrame, key: str, ids: str = "ids",
     if remove_id is not None:
         arr = F.array_remove(arr, F.lit(remove_id))
     v = F.broadcast(vocab.select(F.col("id").alias("_tid"), F.col("token").alias("_tok")))
-    exploded = seqs.select(key, F.posexplode(arr).alias("_pos", "_tid"))
+    exploded = posexplode_rows(seqs, arr, "_pos", "_tid", key)
     joined = exploded.join(v, "_tid", "left")
     back = joined.groupBy(key).agg(
         F.sort_array(F.collect_list(F.struct("_pos", "_tok"))).alias("_s"))

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiframe.functions.rows import posexplode_rows
 from lexiframe.functions.text import SPECIAL_TOKENS, non_blank, non_empty, normalize, pretokenize, \
     strip_heading
 from lexiframe.operators import batches as B
@@ -272,7 +273,7 @@ def q_mt_batches(spark, sf):
 
 def q_token_vectors(spark, sf):
     _, _, seqs = _char_lm(spark, sf)
-    toks = seqs.select("doc_id", F.posexplode("ids").alias("pos", "token_id"))
+    toks = posexplode_rows(seqs, F.col("ids"), "pos", "token_id", "doc_id")
     emb = C.read_table(spark, sf, "embeddings")
     j = lookup_vectors(toks, emb, token_col="token_id", id_col="vec_id", vec_col="embedding", width=D_MODEL)
     j = with_positions(j, "embedding", "pos", D_MODEL, MAX_LENGTH)

@@ -29,9 +29,9 @@ def text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def paragraph_rows(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per line of each text: ``(key, para, text)``; narrow, no shuffle."""
-    return texts.select(
-        key, F.posexplode(F.split(F.col(text), "\n", -1)).alias("para", text)
-    )
+    from lexiframe.functions.rows import posexplode_rows
+
+    return posexplode_rows(texts, F.split(F.col(text), "\n", -1), "para", text, key)
 
 
 def parallel_rows(spark: SparkSession, sf_dir: str,
