@@ -13,12 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiframe.functions.rows import posexplode_rows
-from lexiframe.functions.text import SPECIAL_TOKENS, non_blank, non_empty, normalize, pretokenize, \
-    strip_heading
+from lexiframe.functions.text import SPECIAL_TOKENS, non_empty, normalize, pretokenize, strip_heading
 from lexiframe.operators import batches as B
 from lexiframe.operators import metrics as M
 from lexiframe.operators.bleu import corpus_bleu, sentence_stats
-from lexiframe.operators.bpe import encode, train_bpe, with_markers
+from lexiframe.operators.bpe import encode, train_bpe
 from lexiframe.operators.vectors import lookup_vectors, with_positions
 from lexiframe.operators.vocab import char_vocab, ids_to_tokens_col, string_pair_counts, word_counts
 from lexiframe.plans import prep
