@@ -1,11 +1,13 @@
 """Byte-pair vocabulary training (exact, several merges per Spark round) and encoding.
 
-Training works on the distinct-word table ``(n, s)`` (``s`` = the symbol ids as a spaced string); a round is
-one Spark job: adjacent pair counts (partial + final aggregate), the top
-``batch_pairs`` pairs by ``(count desc, left id, right id)`` fetched to the
+Training works on the distinct-word table ``(n, s)`` (``s`` = the symbol ids
+as a spaced string) and a table of pair counts.  A round is one Spark job: the
+top ``batch_pairs`` pairs by ``(count desc, left id, right id)`` fetched to the
 driver (a bounded list), a set of merges chosen so that applying them together
-gives exactly what applying them one at a time would, then one narrow pass
-that rewrites the symbol arrays.  Words left with one symbol drop out.
+gives exactly what applying them one at a time would, one narrow pass that
+rewrites the symbol strings, and an update of the pair counts from the words
+that changed (their old pairs subtracted, their new pairs added).  Words left
+with one symbol drop out.
 
 Why several merges per round are exact: merging ``(a, b)`` only changes
 counts of pairs that contain ``a`` or ``b``, and every pair it creates has at
@@ -30,6 +32,10 @@ from lexiframe.functions.text import SPECIAL_TOKENS, normalize, pretokenize_keep
 from lexiframe.operators.vocab import MERGES_SCHEMA, VOCAB_SCHEMA, alphabet, chars, word_counts
 from lexiframe.session import checkpoint_dir, materialize
 
+# Above this many distinct words, pair counts are updated incrementally.
+INCREMENTAL_MIN_WORDS = 2_000_000
+
+
 @dataclass
 class BpeModel:
     """A trained vocabulary: id -> token, merges in rank order as (left id, right id, new id)."""
@@ -87,10 +93,12 @@ def _initial_symbols(wc: DataFrame, tok_ids: dict[str, int]) -> DataFrame:
                      F.concat(F.lit(" "), F.array_join(ids, " "), F.lit(" ")).alias("s"))
 
 
-def symbol_pair_counts(work: DataFrame) -> DataFrame:
-    """``(left, right, n)``: adjacent id pairs weighted by word frequency."""
+def symbol_pair_counts(work: DataFrame, s: str = "s", weight: Column | None = None) -> DataFrame:
+    """``(left, right, n)``: adjacent id pairs weighted by word frequency
+    (or by ``weight``, e.g. ``-n`` to subtract)."""
     p = F.col("p")
-    return (explode_rows(work, F.regexp_extract_all("s", F.lit(_PAIR), 1), "p", "n")
+    w = (weight if weight is not None else F.col("n")).alias("n")
+    return (explode_rows(work, F.regexp_extract_all(s, F.lit(_PAIR), 1), "p", w)
             .groupBy("p").agg(F.sum("n").alias("n"))
             .select(F.substring_index(p, " ", 1).cast("int").alias("left"),
                     F.substring_index(p, " ", -1).cast("int").alias("right"),
@@ -141,12 +149,19 @@ def _choose(top: list, tokens: list[str], tok_ids: dict[str, int], limit: int, r
 def train_bpe(texts: DataFrame, vocab_size: int, text: str = "text",
               specials: list[str] | None = None, unk_token: str = "[UNK]",
               batch_pairs: int = 512, checkpoint_every: int = 20,
-              word_table: DataFrame | None = None, rows_per_partition: int = 50_000) -> BpeModel:
+              word_table: DataFrame | None = None, rows_per_partition: int = 50_000,
+              incremental: bool | None = None) -> BpeModel:
     """Train a BPE vocabulary of ``vocab_size`` entries (specials and alphabet included).
 
     Ids: specials in list order, then the alphabet by code point, then merges
     in the order they are learned; ties between equal counts go to the
     smaller ``(left id, right id)``.
+
+    ``incremental``: keep a pair-count table and update it from the words each
+    round changed (work per round ~ changed words + distinct pairs), instead
+    of recounting every pair of every word.  Both give the same merges.  By
+    default the update is used above ``INCREMENTAL_MIN_WORDS`` distinct
+    words; below it a recount is one cheap pass and needs one job less.
     """
     specials = list(SPECIAL_TOKENS if specials is None else specials)
     spark = texts.sparkSession
@@ -168,11 +183,19 @@ def train_bpe(texts: DataFrame, vocab_size: int, text: str = "text",
     parts = max(1, -(-n_words // rows_per_partition))
     if parts < work.rdd.getNumPartitions():
         work = work.coalesce(parts)
+    if incremental is None:
+        incremental = n_words > INCREMENTAL_MIN_WORDS
+    # pair counts are kept as a table and updated from the words a round
+    # changed, instead of being recounted over every word each round
+    pairs = materialize(symbol_pair_counts(work), "bpe-pairs") if incremental else None
     rounds = 0
-    stale: list[DataFrame] = []
+    cached: list[DataFrame] = []
     while len(tokens) < vocab_size:
-        top = (symbol_pair_counts(work).orderBy(F.col("n").desc(), "left", "right")
-               .limit(batch_pairs).collect())
+        ranked = pairs if incremental else symbol_pair_counts(work)
+        top = ranked.orderBy(F.col("n").desc(), "left", "right").limit(batch_pairs).collect()
+        # everything but the newest word/pair tables has been consumed
+        while len(cached) > 2:
+            cached.pop(0).unpersist()
         if not top or top[0]["n"] < 1:
             break
         picked = _choose(top, tokens, tok_ids, batch_pairs, vocab_size - len(tokens))
@@ -186,23 +209,49 @@ def train_bpe(texts: DataFrame, vocab_size: int, text: str = "text",
                 tok_ids[merged] = nid
             model.merges.append((lft, rgt, nid))
             applied.append((lft, rgt, nid))
-        nxt = work.select("n", _apply_merges(F.col("s"), applied).alias("s")).where(_multi_symbol(F.col("s")))
         rounds += 1
-        if rounds % checkpoint_every == 0:
-            # a written table in the shared folder cuts the lineage
-            nxt = materialize(nxt, "bpe-symbols")
-        else:
-            # materialised by the next round's pair count (one job per round)
-            nxt = nxt.persist()
-        stale.append(work)
-        work = nxt
-        if len(stale) > 1:
-            old = stale.pop(0)
-            if old.is_cached:
+        cut = rounds % checkpoint_every == 0
+        if not incremental:
+            new_work = work.select("n", _apply_merges(F.col("s"), applied).alias("s")) \
+                           .where(_multi_symbol(F.col("s")))
+            if cut:
+                # a written table in the shared folder cuts the lineage
+                new_work = materialize(new_work, "bpe-symbols")
+                for old in cached:
+                    old.unpersist()
+                cached = []
+            else:
+                # materialised by the next round's pair count (one job per round)
+                new_work = new_work.persist()
+                cached.append(new_work)
+            work = new_work
+            continue
+        # one narrow pass applies the merges; only changed words feed the delta
+        step = work.select("n", F.col("s").alias("old"), _apply_merges(F.col("s"), applied).alias("s")).persist()
+        changed = step.where(F.col("old") != F.col("s"))
+        delta = symbol_pair_counts(changed, "s").unionByName(
+            symbol_pair_counts(changed, "old", -F.col("n")))
+        new_pairs = (pairs.unionByName(delta).groupBy("left", "right")
+                     .agg(F.sum("n").cast("long").alias("n")).where(F.col("n") > 0))
+        new_work = step.select("n", "s").where(_multi_symbol(F.col("s")))
+        if cut:
+            # written tables in the shared folder cut the lineage of both
+            new_work = materialize(new_work, "bpe-symbols")
+            new_pairs = materialize(new_pairs, "bpe-pairs")
+            step.unpersist()
+            for old in cached:
                 old.unpersist()
-    for old in stale + [work]:
-        if old.is_cached:
-            old.unpersist()
+            cached = []
+        else:
+            # materialised by the next round's top-k (one job per round); the
+            # small pair table is also checkpointed (lazily, from the cache) so
+            # its lineage does not grow round over round
+            new_pairs = new_pairs.persist()
+            cached += [step, new_pairs]
+            new_pairs = new_pairs.checkpoint(eager=False)
+        work, pairs = new_work, new_pairs
+    for old in cached:
+        old.unpersist()
     model.rounds = rounds
     model.tokens, model.kinds = tokens, kinds
     return model

@@ -10,16 +10,24 @@ from lexiframe.operators.bpe import BpeModel, encode, train_bpe
 from lexiframe.plans.prep import char_model
 
 
-def test_batched_rounds_equal_one_at_a_time(spark):
+@pytest.mark.parametrize("incremental", [False, True])
+def test_batched_rounds_equal_one_at_a_time(spark, incremental):
     words = [("aaaa", 5), ("abab", 7), ("abc", 9), ("bcd", 4), ("cdcd", 6), ("aab", 3), ("dd", 8), ("bcbc", 2)]
     wt = spark.createDataFrame(words, "word string, n long")
     docs = spark.createDataFrame([(0, "x")], "doc_id long, text string")
-    fast = train_bpe(docs, 40, word_table=wt, batch_pairs=64)
-    slow = train_bpe(docs, 40, word_table=wt, batch_pairs=1)
+    fast = train_bpe(docs, 40, word_table=wt, batch_pairs=64, incremental=incremental, checkpoint_every=3)
+    slow = train_bpe(docs, 40, word_table=wt, batch_pairs=1, incremental=False)
     assert fast.tokens == slow.tokens
     assert fast.merges == slow.merges
 
 
+def test_incremental_equals_recount_on_corpus(spark):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text")
+    a = train_bpe(docs, 90, incremental=True, checkpoint_every=7)
+    b = train_bpe(docs, 90, incremental=False)
+    assert a.tokens == b.tokens and a.merges == b.merges
+
+
 def test_specials_and_unknown(spark):
     docs = spark.createDataFrame([(0, "ab ba")], "doc_id long, text string")
     m = char_model(docs)
