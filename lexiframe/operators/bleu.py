@@ -55,7 +55,8 @@ def sentence_stats(pairs: DataFrame, key: str = "pair_id", hyp: str = "hyp", ref
     number) are one stream of rows.  Counting by ``(pair, n, gram, side)`` is
     combined map-side; a second aggregation by ``(pair, n, gram)`` takes the
     hypothesis count and the largest reference count; a third sums per
-    ``(pair, n)``.  No join, and a hot pair is spread over its grams.
+    ``(pair, n)``.  When no hypothesis has more than one reference the first
+    two collapse into one.  No join, and a hot pair is spread over its grams.
 
     The pairs feed three branches (hypothesis grams, reference grams,
     lengths); they are written once to the checkpoint folder so tokenization
@@ -68,10 +69,18 @@ def sentence_stats(pairs: DataFrame, key: str = "pair_id", hyp: str = "hyp", ref
     h = _gram_rows(pairs.select(key, hyp), key, hyp, F.lit(-1), orders)
     ref_rows = posexplode_rows(pairs, F.col(refs), "ref_no", "ref", key)
     r = _gram_rows(ref_rows, key, "ref", F.col("ref_no"), orders)
-    per_side = h.unionByName(r).groupBy(key, "n", "gram", "side").agg(F.count(F.lit(1)).alias("c"))
-    per_gram = per_side.groupBy(key, "n", "gram").agg(
-        F.sum(F.when(F.col("side") < 0, F.col("c"))).alias("hc"),
-        F.max(F.when(F.col("side") >= 0, F.col("c"))).alias("rc"))
+    rows = h.unionByName(r)
+    max_refs = pairs.agg(F.max(F.size(refs)).alias("m")).first()["m"] if materialize_pairs else None
+    if max_refs is not None and max_refs <= 1:
+        # one reference per hypothesis: its count is the maximum, one aggregation
+        per_gram = rows.groupBy(key, "n", "gram").agg(
+            F.count_if(F.col("side") < 0).alias("hc"), F.count_if(F.col("side") >= 0).alias("rc"))
+        per_gram = per_gram.withColumn("hc", F.when(F.col("hc") > 0, F.col("hc")))
+    else:
+        per_side = rows.groupBy(key, "n", "gram", "side").agg(F.count(F.lit(1)).alias("c"))
+        per_gram = per_side.groupBy(key, "n", "gram").agg(
+            F.sum(F.when(F.col("side") < 0, F.col("c"))).alias("hc"),
+            F.max(F.when(F.col("side") >= 0, F.col("c"))).alias("rc"))
     clipped = (per_gram.where(F.col("hc").isNotNull()).groupBy(key, "n")
                .agg(F.sum(F.least(F.col("hc"), F.coalesce(F.col("rc"), F.lit(0)))).alias("num"),
                     F.sum("hc").alias("total")))

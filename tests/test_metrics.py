@@ -111,3 +111,15 @@ def test_score_batches_hook(spark):
     scored = M.score_batches(df, uniform, "batch_id long, slot int, pos int, loss double, mask int")
     b = {r["batch_id"]: r["batch_loss"] for r in M.batch_losses(scored).collect()}
     assert abs(b[0] - math.log(10.0)) < 1e-12 and abs(b[1] - math.log(10.0)) < 1e-12
+
+
+def test_bleu_single_reference_path_matches_brute_force(spark):
+    rnd = random.Random(11)
+    vocab = list("abcd")
+    pairs = [([rnd.choice(vocab) for _ in range(rnd.randint(0, 10))],
+              [[rnd.choice(vocab) for _ in range(rnd.randint(1, 10))]]) for _ in range(15)]
+    df = spark.createDataFrame([(i, h, r) for i, (h, r) in enumerate(pairs)],
+                               "pair_id long, hyp array<string>, refs array<array<string>>")
+    got = corpus_bleu(df).first()["bleu"]
+    want = _brute_bleu(pairs)
+    assert abs(got - want) <= 1e-12 * max(1.0, abs(want))
