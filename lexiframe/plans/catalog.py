@@ -288,7 +288,7 @@ def _scored(spark, sf):
 
 
 def q_token_losses(spark, sf):
-    from lexiframe.functions.scores import argmax, cross_entropy, logsumexp
+    from lexiframe.functions.scores import argmax, cross_entropy, softmax
 
     s = _scored(spark, sf)
     z, y = F.col("z"), F.col("label")
@@ -297,7 +297,7 @@ def q_token_losses(spark, sf):
         _r(cross_entropy(z, y)).alias("loss"),
         _r(cross_entropy(z, y, SMOOTHING)).alias("smooth_loss"),
         argmax(z).cast("long").alias("argmax"),
-        _r(F.exp(F.array_max(z) - logsumexp(z))).alias("p_max"),
+        _r(F.array_max(softmax(z))).alias("p_max"),
     )
 
 

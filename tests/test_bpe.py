@@ -74,3 +74,14 @@ def test_against_tokenizers_library(spark):
     enc = {r.doc_id: list(r.ids) for r in docs.select("doc_id", encode(F.col("text"), model).alias("ids")).collect()}
     for r in rows[:40]:
         assert enc[r.doc_id] == tok.encode(r.text).ids
+
+
+def test_truncated_encoding_equals_whole_then_cut(spark):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text")
+    m = char_model(docs)
+    both = docs.select(F.slice(encode(F.col("text"), m), 1, 50).alias("a"),
+                       encode(F.col("text"), m, max_ids=50).alias("b"),
+                       F.size(encode(F.col("text"), m)).alias("n"))
+    rows = both.collect()
+    assert any(r["n"] > 50 for r in rows)
+    assert all(r["a"] == r["b"] for r in rows)
