@@ -117,6 +117,14 @@ def _multi_symbol(s: Column) -> Column:
     return s.rlike(r"^ \d+ \d")
 
 
+def _release(cached: list) -> None:
+    """Drop cached round tables newest first, once a written table has
+    replaced them.  Dropping an older one while newer cached tables still
+    depend on it would make Spark re-cache those with their whole lineage."""
+    while cached:
+        cached.pop().unpersist()
+
+
 def _choose(top: list, tokens: list[str], tok_ids: dict[str, int], limit: int, room: int) -> list:
     """Pick the merges of one round from the ranked list ``top`` (see module doc)."""
     taken, used, new = [], set(), set()
@@ -148,7 +156,7 @@ def _choose(top: list, tokens: list[str], tok_ids: dict[str, int], limit: int, r
 
 def train_bpe(texts: DataFrame, vocab_size: int, text: str = "text",
               specials: list[str] | None = None, unk_token: str = "[UNK]",
-              batch_pairs: int = 512, checkpoint_every: int = 20,
+              batch_pairs: int = 512, checkpoint_every: int = 10,
               word_table: DataFrame | None = None, rows_per_partition: int = 50_000,
               incremental: bool | None = None) -> BpeModel:
     """Train a BPE vocabulary of ``vocab_size`` entries (specials and alphabet included).
@@ -193,9 +201,6 @@ def train_bpe(texts: DataFrame, vocab_size: int, text: str = "text",
     while len(tokens) < vocab_size:
         ranked = pairs if incremental else symbol_pair_counts(work)
         top = ranked.orderBy(F.col("n").desc(), "left", "right").limit(batch_pairs).collect()
-        # everything but the newest word/pair tables has been consumed
-        while len(cached) > 2:
-            cached.pop(0).unpersist()
         if not top or top[0]["n"] < 1:
             break
         picked = _choose(top, tokens, tok_ids, batch_pairs, vocab_size - len(tokens))
@@ -217,9 +222,7 @@ def train_bpe(texts: DataFrame, vocab_size: int, text: str = "text",
             if cut:
                 # a written table in the shared folder cuts the lineage
                 new_work = materialize(new_work, "bpe-symbols")
-                for old in cached:
-                    old.unpersist()
-                cached = []
+                _release(cached)
             else:
                 # materialised by the next round's pair count (one job per round)
                 new_work = new_work.persist()
@@ -234,24 +237,22 @@ def train_bpe(texts: DataFrame, vocab_size: int, text: str = "text",
         new_pairs = (pairs.unionByName(delta).groupBy("left", "right")
                      .agg(F.sum("n").cast("long").alias("n")).where(F.col("n") > 0))
         new_work = step.select("n", "s").where(_multi_symbol(F.col("s")))
+        cached.append(step)
         if cut:
             # written tables in the shared folder cut the lineage of both
             new_work = materialize(new_work, "bpe-symbols")
             new_pairs = materialize(new_pairs, "bpe-pairs")
-            step.unpersist()
-            for old in cached:
-                old.unpersist()
-            cached = []
+            _release(cached)
         else:
-            # materialised by the next round's top-k (one job per round); the
-            # small pair table is also checkpointed (lazily, from the cache) so
-            # its lineage does not grow round over round
+            # materialised by the next round's top-k; the small pair table is
+            # also checkpointed (lazily, from the cache) every round: it refers
+            # to the previous pair table and to the word table, and without a
+            # cut its plan description would double round over round
             new_pairs = new_pairs.persist()
-            cached += [step, new_pairs]
+            cached.append(new_pairs)
             new_pairs = new_pairs.checkpoint(eager=False)
         work, pairs = new_work, new_pairs
-    for old in cached:
-        old.unpersist()
+    _release(cached)
     model.rounds = rounds
     model.tokens, model.kinds = tokens, kinds
     return model
