@@ -234,6 +234,15 @@ def q_shifted_tokens(spark, sf):
                     F.col("label").cast("long").alias("label"), F.col("mask").cast("long").alias("mask"))
 
 
+def q_scored_batches(spark, sf):
+    """The batch scoring hook over LM batches with a per-batch unigram scorer."""
+    _, b = _lm_batches(spark, sf)
+    sh = prep.lm_shifted(b).select("batch_id", "doc_id", "labels", "labels_mask")
+    scored = M.score_batches(sh, prep.unigram_batch_scorer(),
+                             "batch_id long, doc_id long, pos int, loss double, mask int")
+    return M.batch_losses(scored).select("batch_id", _r(F.col("batch_loss")).alias("batch_loss"), "n_tokens")
+
+
 def q_unpadded(spark, sf):
     _, b = _lm_batches(spark, sf)
     kept = B.unpad(F.col("ids"), F.col("ids_attention_mask"))
@@ -403,6 +412,7 @@ def queries() -> dict[str, Query]:
         "lm_batches": q_lm_batches,
         "lm_collated": q_lm_collated,
         "shifted_tokens": q_shifted_tokens,
+        "scored_batches": q_scored_batches,
         "unpadded": q_unpadded,
         "ids_to_tokens": q_ids_to_tokens,
         "cadence_resume": q_cadence_resume,

@@ -227,6 +227,16 @@ FROM pb GROUP BY batch_id"""
 sh AS (SELECT doc_id, batch_id, ids[2:] AS lab, mask[2:] AS lm FROM pb)
 SELECT doc_id, batch_id::BIGINT AS batch_id, (generate_subscripts(lab, 1) - 1)::BIGINT AS pos,
        unnest(lab)::BIGINT AS label, unnest(lm)::BIGINT AS mask FROM sh"""
+    q["scored_batches"] = f"""WITH {LM_CTE},
+sh AS (SELECT batch_id, ids[2:] AS lab, mask[2:] AS lm FROM pb),
+tk AS (SELECT batch_id, unnest(lab) AS label, unnest(lm) AS m FROM sh),
+cnt AS (SELECT batch_id, label, count(*) AS c FROM tk WHERE m = 1 GROUP BY ALL),
+tot AS (SELECT batch_id, sum(c) AS t FROM cnt GROUP BY ALL),
+sc AS (SELECT tk.batch_id, CASE WHEN tk.m = 1 THEN -ln(cnt.c::DOUBLE / tot.t) ELSE 0.0 END AS loss, tk.m
+       FROM tk LEFT JOIN cnt ON cnt.batch_id = tk.batch_id AND cnt.label = tk.label
+       LEFT JOIN tot ON tot.batch_id = tk.batch_id)
+SELECT batch_id::BIGINT AS batch_id, {_r('sum(loss * m) / nullif(sum(m), 0)')} AS batch_loss, sum(m)::BIGINT AS n_tokens
+FROM sc GROUP BY batch_id"""
     q["unpadded"] = f"""WITH {LM_CTE}
 SELECT doc_id, len(raw)::BIGINT AS n_kept, (len(raw) - 1)::BIGINT AS last_pos, {_ints('raw')} AS kept_str FROM pb"""
     q["ids_to_tokens"] = f"""WITH {LM_CTE},

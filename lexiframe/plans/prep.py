@@ -107,3 +107,28 @@ def document_bleu_pairs(texts: DataFrame, key: str = "doc_id", text: str = "text
     ref = w.select(F.col(key).alias("_next"), F.col("w").alias("ref"))
     return (w.join(succ, key).join(ref, "_next")
             .select(F.col(key).alias("pair_id"), F.col("w").alias("hyp"), F.array("ref").alias("refs")))
+
+
+def unigram_batch_scorer(labels: str = "labels", mask: str = "labels_mask"):
+    """A stand-in scorer for the batch hook: each label is scored by the
+    batch's own unigram distribution over its counted labels
+    (loss = -log(count / total)); positions with mask 0 get loss 0."""
+    def score(pdf):
+        import math
+
+        import pandas as pd
+
+        counts: dict = {}
+        for lab, msk in zip(pdf[labels], pdf[mask]):
+            for t, m in zip(lab, msk):
+                if m == 1:
+                    counts[t] = counts.get(t, 0) + 1
+        total = sum(counts.values())
+        out = []
+        for b, d, lab, msk in zip(pdf["batch_id"], pdf["doc_id"], pdf[labels], pdf[mask]):
+            for p, (t, m) in enumerate(zip(lab, msk)):
+                loss = -math.log(counts[t] / total) if m == 1 else 0.0
+                out.append((int(b), int(d), p, loss, int(m)))
+        return pd.DataFrame(out, columns=["batch_id", "doc_id", "pos", "loss", "mask"])
+
+    return score
