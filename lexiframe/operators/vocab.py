@@ -85,11 +85,20 @@ def vocab_size(vocab: DataFrame) -> DataFrame:
     return vocab.agg(F.count(F.lit(1)).alias("vocab_size"))
 
 
+# A vocabulary table is broadcast only up to this many rows (checked by count);
+# larger ones are joined with a shuffle.
+BROADCAST_VOCAB_ROWS = 5_000_000
+
+
+def _bounded(vocab: DataFrame) -> DataFrame:
+    return F.broadcast(vocab) if vocab.count() <= BROADCAST_VOCAB_ROWS else vocab
+
+
 def token_ids(tokens: DataFrame, vocab: DataFrame, token: str = "token", unk_id: int = 0) -> DataFrame:
-    """token -> id (unknown -> ``unk_id``).  The vocabulary is bounded by its
-    configured size, so it is broadcast."""
-    v = vocab.select(F.col("token").alias(token), F.col("id").alias("_id"))
-    return tokens.join(F.broadcast(v), token, "left").withColumn(
+    """token -> id (unknown -> ``unk_id``).  The vocabulary is broadcast when
+    its row count is under ``BROADCAST_VOCAB_ROWS``."""
+    v = _bounded(vocab.select(F.col("token").alias(token), F.col("id").alias("_id")))
+    return tokens.join(v, token, "left").withColumn(
         "id", F.coalesce(F.col("_id"), F.lit(unk_id))).drop("_id")
 
 
@@ -97,13 +106,14 @@ def ids_to_tokens(seqs: DataFrame, vocab: DataFrame, key: str, ids: str = "ids",
                   remove_id: int | None = None, out: str = "tokens") -> DataFrame:
     """id arrays -> token arrays, dropping every ``remove_id`` (e.g. EOS).
 
-    The sequences are exploded with their positions, joined to the broadcast
-    vocabulary and re-assembled in position order per key.
+    The sequences are exploded with their positions, joined to the
+    vocabulary (broadcast under the size bound) and re-assembled in position
+    order per key; a group is one sequence.
     """
     arr = F.col(ids)
     if remove_id is not None:
         arr = F.array_remove(arr, F.lit(remove_id))
-    v = F.broadcast(vocab.select(F.col("id").alias("_tid"), F.col("token").alias("_tok")))
+    v = _bounded(vocab.select(F.col("id").alias("_tid"), F.col("token").alias("_tok")))
     exploded = posexplode_rows(seqs, arr, "_pos", "_tid", key)
     joined = exploded.join(v, "_tid", "left")
     back = joined.groupBy(key).agg(
