@@ -57,3 +57,17 @@ def test_write_records(spark):
         if f.endswith(".json"):
             rows += [json.loads(line) for line in open(os.path.join(path, f))]
     assert sorted(r["step"] for r in rows) == [0, 256]
+
+
+def test_tokenizer_tables_round_trip(spark):
+    from lexiframe.operators.bpe import train_bpe
+
+    docs = spark.createDataFrame([(0, "lower lowest newer newest"), (1, "low low new")], "doc_id long, text string")
+    m = train_bpe(docs, 25)
+    path = os.path.join(tempfile.mkdtemp(dir="/tmp"), "tok")
+    S.save_tokenizer(m.vocab_frame(spark), m.merges_frame(spark), path)
+    vocab, merges = S.load_tokenizer(spark, path)
+    back = BpeModel.from_frames(vocab, merges)
+    assert back.tokens == m.tokens and back.merges == m.merges
+    t = spark.createDataFrame([("lowest newer",)], "t string")
+    assert t.select(encode(F.col("t"), back)).first()[0] == t.select(encode(F.col("t"), m)).first()[0]
