@@ -18,8 +18,12 @@ def spread(df: DataFrame) -> DataFrame:
     """Round-robin the rows over the default parallelism when the scan gives
     fewer partitions (few large row groups).  Per-row text work is CPU bound;
     on a cluster the scan already has many partitions and nothing changes."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+    try:
+        par = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view of the plan: leave it
+        return df
+    return df.repartition(par) if parts < par else df
 
 
 def text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
