@@ -198,6 +198,20 @@ def q_encode_unseen(spark, sf):
 
 # --------------------------------------------------------------- batch queries
 
+def q_web_batches(spark, sf):
+    """Web-text flow: prepared dataset -> train split -> marker-wrapped encoding
+    with a supplied vocabulary plus an added pad token -> shuffled, padded batches."""
+    path = scratch_path(spark, "web-prepared")
+    S.save_prepared(C.assign_split(_docs(spark, sf), "doc_id", SEED, SPLIT_FRACTIONS), path)
+    train = C.read_prepared(spark, path, "train").select("doc_id", "text")
+    model = prep.web_model(train)
+    seqs = prep.web_sequences(train, model, max_length=MAX_LENGTH)
+    b = prep.lm_batches(seqs, model, batch_size=BATCH_SIZE, seed=SEED)
+    return b.select("doc_id", "batch_id", F.col("slot").cast("long").alias("slot"),
+                    _join_ints(F.col("ids")).alias("ids_str"),
+                    _join_ints(F.col("ids_attention_mask")).alias("mask_str"))
+
+
 def q_shuffle_batches(spark, sf):
     b = B.assign_batches(_docs(spark, sf).select("doc_id"), "doc_id", BATCH_SIZE, SEED)
     return b.select("doc_id", "idx", "batch_id", F.col("slot").cast("long").alias("slot"))
@@ -417,6 +431,7 @@ def queries() -> dict[str, Query]:
         "ids_to_tokens": q_ids_to_tokens,
         "cadence_resume": q_cadence_resume,
         "mt_batches": q_mt_batches,
+        "web_batches": q_web_batches,
         "token_vectors": q_token_vectors,
         "token_losses": q_token_losses,
         "batch_losses": q_batch_losses,

@@ -213,6 +213,22 @@ SELECT c[i] AS "left", c[i + 1] AS "right", sum(n)::BIGINT AS n FROM pi GROUP BY
 e AS (SELECT c.conv_id, c.turn, {_char_ids('c.text')} AS ids FROM conversations c, amap)
 SELECT conv_id, turn, len(ids)::BIGINT AS n_ids, len(list_filter(ids, lambda x: x = 0))::BIGINT AS n_unk,
        {_ints('ids')} AS ids_str FROM e"""
+    web_ids = (f"list_transform(flatten(list_transform({_words('d.text')}, lambda w: regexp_extract_all(w, '.'))), "
+               f"lambda c: wmap.m[c])")
+    q["web_batches"] = f"""WITH tr AS (SELECT doc_id, text FROM documents WHERE {_split_case('doc_id')} = 'train'),
+walpha AS (
+  SELECT token, row_number() OVER (ORDER BY token)::BIGINT AS id FROM (
+    SELECT DISTINCT unnest(regexp_extract_all({NORM.format('text')}, '{NONSPACE_RE}')) AS token FROM tr) a
+),
+wmap AS (SELECT map(list(token), list(id)) AS m, max(id) + 1 AS pad FROM walpha),
+enc AS (SELECT d.doc_id, list_concat([0], {web_ids}, [0])[1:{MAX_LENGTH}] AS ids, wmap.pad FROM tr d, wmap),
+idx AS (SELECT *, row_number() OVER (ORDER BY md5('{SEED}:' || doc_id::VARCHAR), doc_id) - 1 AS idx FROM enc),
+b AS (SELECT *, idx // {BATCH_SIZE} AS batch_id, idx % {BATCH_SIZE} AS slot,
+             max(len(ids)) OVER (PARTITION BY idx // {BATCH_SIZE}) AS L FROM idx)
+SELECT doc_id, batch_id::BIGINT AS batch_id, slot::BIGINT AS slot,
+  {_ints("list_concat(ids, list_transform(range(L - len(ids)), lambda x: pad))")} AS ids_str,
+  {_ints("list_concat(list_transform(range(len(ids)), lambda x: 1), list_transform(range(L - len(ids)), lambda x: 0))")} AS mask_str
+FROM b"""
     q["shuffle_batches"] = f"""
 SELECT doc_id, idx::BIGINT AS idx, (idx // {BATCH_SIZE})::BIGINT AS batch_id, (idx % {BATCH_SIZE})::BIGINT AS slot
 FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('{SEED}:' || doc_id::VARCHAR), doc_id) - 1 AS idx FROM documents) x"""

@@ -132,3 +132,25 @@ def unigram_batch_scorer(labels: str = "labels", mask: str = "labels_mask"):
         return pd.DataFrame(out, columns=["batch_id", "doc_id", "pos", "loss", "mask"])
 
     return score
+
+
+def web_model(texts: DataFrame, marker: str = "<|endoftext|>", pad: str = "[PAD]",
+              text: str = "text") -> BpeModel:
+    """Web-text vocabulary stand-in: the marker as the only special, the
+    alphabet after it, then a pad token added at ``max(id) + 1`` (the supplied
+    vocabulary has none of its own)."""
+    from lexiframe.operators.bpe import add_pad_token
+
+    vocab = char_vocab(texts, text, specials=[marker])
+    base = BpeModel.from_frames(vocab, texts.sparkSession.createDataFrame(
+        [], "rank int, left string, right string, merged string"), specials=[marker], unk_token=marker)
+    return add_pad_token(base, pad)
+
+
+def web_sequences(texts: DataFrame, model: BpeModel, key: str = "doc_id", text: str = "text",
+                  max_length: int = 256, marker: str = "<|endoftext|>") -> DataFrame:
+    """Web-text rows: ``marker + text + marker``, encoded and truncated (no
+    empty-row filter and no heading clean-up in this variant)."""
+    mid = model.token_to_id(marker)
+    ids = with_markers(encode(F.col(text), model, max_ids=max_length - 1), mid, mid, max_length)
+    return texts.select(key, ids.alias("ids"))
