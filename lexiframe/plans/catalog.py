@@ -198,6 +198,23 @@ def q_encode_unseen(spark, sf):
 
 # --------------------------------------------------------------- batch queries
 
+def q_bleu_translation(spark, sf):
+    """Sub-word BLEU of the translation flow: references = un-padded target ids
+    as tokens with every EOS removed ([SEP] kept); hypotheses = a stand-in
+    generation, the [SEP] seed followed by the un-padded source ids."""
+    model = _char(spark, sf)
+    pairs = C.project_pair(C.parallel_rows(spark, sf), "user-assistant")
+    b = prep.mt_batches(prep.mt_sequences(pairs, model, max_length=MAX_LENGTH), model,
+                        batch_size=BATCH_SIZE, seed=SEED)
+    ref_ids = B.unpad(F.col("target_ids"), F.col("target_ids_attention_mask"))
+    gen_ids = F.slice(F.concat(F.array(F.lit(SEP)), B.unpad(F.col("source_ids"), F.col("source_ids_attention_mask"))),
+                      1, MAX_LENGTH)
+    bp = b.select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("pair_id"),
+                  ids_to_tokens_col(gen_ids, model.tokens, remove_id=EOS).alias("hyp"),
+                  F.array(ids_to_tokens_col(ref_ids, model.tokens, remove_id=EOS)).alias("refs"))
+    return _bleu_cols(corpus_bleu(bp))
+
+
 def q_web_batches(spark, sf):
     """Web-text flow: prepared dataset -> train split -> marker-wrapped encoding
     with a supplied vocabulary plus an added pad token -> shuffled, padded batches."""
@@ -439,6 +456,7 @@ def queries() -> dict[str, Query]:
         "history": q_history,
         "results": q_results,
         "bleu_conversations": q_bleu_conversations,
+        "bleu_translation": q_bleu_translation,
         "bleu_sentence_stats": q_bleu_sentence_stats,
         "bleu_documents": q_bleu_documents,
         "bleu_identity": q_bleu_identity,

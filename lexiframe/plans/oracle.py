@@ -298,6 +298,20 @@ SELECT {_r('avg(batch_loss)')} AS eval_loss,
     q["history"] = f"WITH {SCORED_CTE} SELECT epoch, step, {_r('loss')} AS loss, {_r('val_loss')} AS val_loss FROM hist"
     q["results"] = f"""WITH {SCORED_CTE}
 SELECT {_r('arg_max(val_loss, step)')} AS val_loss, {_r('(SELECT eval_loss FROM ev)')} AS test_loss FROM hist"""
+    tr_bp = f"""{ALPHA_CTE}, {PAIRS_CTE},
+voc AS (SELECT map(list(id), list(token)) AS v FROM ({SPECIALS_SQL} UNION ALL SELECT token, id FROM alpha) u),
+e AS (
+  SELECT p.conv_id, p.turn, ({_char_ids('p.source')})[1:{MAX_LENGTH}] AS s,
+         list_concat([3], {_char_ids('p.target')}, [5])[1:{MAX_LENGTH}] AS t
+  FROM pairs p, amap
+),
+bp AS (
+  SELECT conv_id * 1000000 + turn AS pair_id,
+         list_transform(list_filter(list_concat([3], s)[1:{MAX_LENGTH}], lambda x: x <> 5), lambda i: voc.v[i]) AS hyp,
+         list_transform(list_filter(t, lambda x: x <> 5), lambda i: voc.v[i]) AS ref
+  FROM e, voc
+)"""
+    q["bleu_translation"] = _bleu_sql(tr_bp)
     q["bleu_conversations"] = _bleu_sql(_CONV_BP)
     q["bleu_sentence_stats"] = _bleu_stats_sql(_CONV_BP)
     q["bleu_documents"] = _bleu_sql(_DOC_BP)
