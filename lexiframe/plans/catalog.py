@@ -274,6 +274,31 @@ def q_scored_batches(spark, sf):
     return M.batch_losses(scored).select("batch_id", _r(F.col("batch_loss")).alias("batch_loss"), "n_tokens")
 
 
+def q_lm_eval_loss(spark, sf):
+    """Evaluation loss (mean of batch means), token-weighted loss and perplexity
+    over the scored LM batches."""
+    _, b = _lm_batches(spark, sf)
+    sh = prep.lm_shifted(b).select("batch_id", "doc_id", "labels", "labels_mask")
+    scored = M.score_batches(sh, prep.unigram_batch_scorer(),
+                             "batch_id long, doc_id long, pos int, loss double, mask int")
+    e = M.evaluation_loss(M.batch_losses(scored))
+    return e.select(_r(F.col("eval_loss")).alias("eval_loss"),
+                    _r(F.col("token_weighted_loss")).alias("token_weighted_loss"),
+                    F.col("n_batches").cast("long").alias("n_batches"),
+                    _r(F.col("perplexity")).alias("perplexity"))
+
+
+def q_bpe_lm_batches(spark, sf):
+    """The LM batch flow with the trained BPE vocabulary (no SQL form)."""
+    docs = _docs(spark, sf)
+    model = _trained(spark, sf)
+    seqs = prep.lm_sequences(docs, model, max_length=MAX_LENGTH)
+    b = prep.lm_batches(seqs, model, batch_size=BATCH_SIZE, seed=SEED)
+    return b.select("doc_id", "batch_id", F.col("slot").cast("long").alias("slot"),
+                    _join_ints(F.col("ids")).alias("ids_str"),
+                    _join_ints(F.col("ids_attention_mask")).alias("mask_str"))
+
+
 def q_unpadded(spark, sf):
     _, b = _lm_batches(spark, sf)
     kept = B.unpad(F.col("ids"), F.col("ids_attention_mask"))
@@ -437,6 +462,7 @@ def queries() -> dict[str, Query]:
         "char_pair_counts": q_char_pair_counts,
         "bpe_vocab": q_bpe_vocab,
         "bpe_encode": q_bpe_encode,
+        "bpe_lm_batches": q_bpe_lm_batches,
         "encode_chars": q_encode_chars,
         "encode_unseen": q_encode_unseen,
         "shuffle_batches": q_shuffle_batches,
@@ -444,6 +470,7 @@ def queries() -> dict[str, Query]:
         "lm_collated": q_lm_collated,
         "shifted_tokens": q_shifted_tokens,
         "scored_batches": q_scored_batches,
+        "lm_eval_loss": q_lm_eval_loss,
         "unpadded": q_unpadded,
         "ids_to_tokens": q_ids_to_tokens,
         "cadence_resume": q_cadence_resume,

@@ -253,6 +253,13 @@ sc AS (SELECT tk.batch_id, CASE WHEN tk.m = 1 THEN -ln(cnt.c::DOUBLE / tot.t) EL
        LEFT JOIN tot ON tot.batch_id = tk.batch_id)
 SELECT batch_id::BIGINT AS batch_id, {_r('sum(loss * m) / nullif(sum(m), 0)')} AS batch_loss, sum(m)::BIGINT AS n_tokens
 FROM sc GROUP BY batch_id"""
+    sb = q["scored_batches"]
+    q["lm_eval_loss"] = (sb[:sb.index("SELECT batch_id::BIGINT AS batch_id")] +
+                         """, bl AS (SELECT batch_id, sum(loss * m) / nullif(sum(m), 0) AS batch_loss, sum(m) AS n_tokens
+FROM sc GROUP BY batch_id)
+SELECT """ + _r("avg(batch_loss)") + """ AS eval_loss,
+       """ + _r("sum(batch_loss * n_tokens) / sum(CASE WHEN batch_loss IS NOT NULL THEN n_tokens END)") + """ AS token_weighted_loss,
+       count(*)::BIGINT AS n_batches, """ + _r("exp(avg(batch_loss))") + """ AS perplexity FROM bl""")
     q["unpadded"] = f"""WITH {LM_CTE}
 SELECT doc_id, len(raw)::BIGINT AS n_kept, (len(raw) - 1)::BIGINT AS last_pos, {_ints('raw')} AS kept_str FROM pb"""
     q["ids_to_tokens"] = f"""WITH {LM_CTE},

@@ -19,7 +19,7 @@ def test_every_query_registered():
     qs = queries()
     assert set(oracle_sql()) <= set(qs)
     missing = set(qs) - set(oracle_sql())
-    assert missing == {"bpe_vocab", "bpe_encode"}
+    assert missing == {"bpe_vocab", "bpe_encode", "bpe_lm_batches"}
 
 
 def test_entry(spark):
