@@ -85,3 +85,34 @@ def test_truncated_encoding_equals_whole_then_cut(spark):
     rows = both.collect()
     assert any(r["n"] > 50 for r in rows)
     assert all(r["a"] == r["b"] for r in rows)
+
+
+@pytest.mark.slow
+def test_lm_sequences_equal_library_with_markers_and_truncation(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    from tokenizers.models import BPE
+    from tokenizers.normalizers import NFD, Lowercase, Sequence, StripAccents
+    from tokenizers.pre_tokenizers import Whitespace
+    from tokenizers.trainers import BpeTrainer
+
+    from lexiframe.plans.prep import lm_sequences
+
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text")
+    V, L = 110, 64
+    model = train_bpe(docs, V)
+    rows = docs.orderBy("doc_id").collect()
+    d = tempfile.mkdtemp(dir="/tmp")
+    f = os.path.join(d, "corpus.txt")
+    with open(f, "w") as fp:
+        for r in rows:
+            if r.text.strip():
+                fp.write(r.text + "\n")
+    tok = tokenizers.Tokenizer(BPE(unk_token="[UNK]"))
+    tok.normalizer = Sequence([NFD(), Lowercase(), StripAccents()])
+    tok.pre_tokenizer = Whitespace()
+    tok.train([f], BpeTrainer(vocab_size=V, special_tokens=SPECIAL_TOKENS, show_progress=False))
+    tok.enable_truncation(max_length=L)
+    got = {r.doc_id: list(r.ids) for r in lm_sequences(docs, model, max_length=L).collect()}
+    for r in rows:
+        if r.text != "":
+            assert got[r.doc_id] == tok.encode("[BOS]" + r.text + "[EOS]").ids, r.doc_id
