@@ -93,3 +93,29 @@ def test_collate_orders_slots(spark):
     df = spark.createDataFrame([(0, 1, "b"), (0, 0, "a"), (1, 0, "c")], "batch_id long, slot int, v string")
     got = {r["batch_id"]: r["v"] for r in B.collate(df, ["v"]).collect()}
     assert got == {0: ["a", "b"], 1: ["c"]}
+
+
+def test_resume_plus_prefix_is_whole(spark):
+    df = spark.range(0, 300).withColumnRenamed("id", "k")
+    b = B.assign_batches(df, "k", 64, 5)
+    for k in (0, 2, 4, 9):
+        head = b.where(F.col("batch_id") < k)
+        tail = B.resume_from(b, k)
+        assert head.count() + tail.count() == 300
+        assert head.unionByName(tail).exceptAll(b).count() == 0
+
+
+def test_mask_sums_equal_lengths_on_lm_batches(spark):
+    from conftest import SF001
+    from lexiframe.plans import prep
+
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text")
+    m = prep.char_model(docs)
+    seqs = prep.lm_sequences(docs, m, max_length=40)
+    b = prep.lm_batches(seqs, m, batch_size=16, seed=1)
+    r = b.join(seqs.withColumnRenamed("ids", "raw"), "doc_id").agg(
+        F.sum(B.real_length(F.col("ids_attention_mask"))).alias("masked"),
+        F.sum(F.size("raw")).alias("lengths"),
+        F.sum(F.when(B.unpad(F.col("ids"), F.col("ids_attention_mask")) == F.col("raw"), 1).otherwise(0)).alias("same"),
+        F.count(F.lit(1)).alias("n")).first()
+    assert r["masked"] == r["lengths"] and r["same"] == r["n"]
