@@ -132,6 +132,15 @@ def q_bilingual_lines(spark, sf):
         "conv_id", "turn", F.col("side").cast("long").alias("side"), "value")
 
 
+def q_bilingual_export(spark, sf):
+    """Bilingual line export written as text (first language, then second, in
+    pair order) and read back: one row per written line."""
+    path = scratch_path(spark, "bilingual")
+    lines = S.bilingual_lines(C.parallel_rows(spark, sf), "user-assistant")
+    S.export_lines(lines, path, order=["conv_id", "turn", "side"])
+    return C.read_lines(spark, path).select(F.col("value").alias("line"))
+
+
 # ------------------------------------------------------------ vocabulary queries
 
 def q_char_vocab(spark, sf):
@@ -458,6 +467,7 @@ def queries() -> dict[str, Query]:
         "parallel_pairs": q_parallel_pairs,
         "parallel_reversed": q_parallel_reversed,
         "bilingual_lines": q_bilingual_lines,
+        "bilingual_export": q_bilingual_export,
         "char_vocab": q_char_vocab,
         "char_pair_counts": q_char_pair_counts,
         "bpe_vocab": q_bpe_vocab,

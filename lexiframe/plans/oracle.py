@@ -200,6 +200,9 @@ SELECT doc_id, length(text)::BIGINT AS n_chars FROM documents WHERE doc_id IN (S
     q["bilingual_lines"] = f"""WITH {PAIRS_CTE}
 SELECT conv_id, turn, 0::BIGINT AS side, source AS value FROM pairs
 UNION ALL SELECT conv_id, turn, 1::BIGINT AS side, target AS value FROM pairs"""
+    q["bilingual_export"] = f"""WITH {PAIRS_CTE},
+v AS (SELECT source AS value FROM pairs UNION ALL SELECT target AS value FROM pairs)
+SELECT unnest(string_split(value, chr(10))) AS line FROM v"""
     q["char_vocab"] = f"""WITH {ALPHA_CTE}
 SELECT token, id::BIGINT AS id, 'special' AS kind FROM ({SPECIALS_SQL}) s
 UNION ALL SELECT token, id, 'alphabet' AS kind FROM alpha"""
