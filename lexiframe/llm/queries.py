@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiframe.llm import langid, packing, quality, sharding, simhash, toxicity, urls
+from lexiframe.llm import langid, neighbours, packing, pieces, quality, sharding, simhash, toxicity, urls
 from lexiframe.llm.common import fold, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,9 +55,18 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(docs, forest)
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = read(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return neighbours.nearest(table, F.col("id") % 20 == 0)
+
+
+def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_sampled(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_packing, op2_simhash, op3_url_filter, op4_sharding, op6_language_id,
-                                    op7_toxicity, op8_quality_rules)}
+                                    op7_toxicity, op8_quality_rules, op9_nearest_neighbours, op10_piece_sampling)}
 
 
 def oracle_sql() -> dict[str, str]:
