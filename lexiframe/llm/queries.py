@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiframe.llm import langid, neighbours, packing, pieces, quality, sharding, simhash, toxicity, urls
+from lexiframe.llm import langid, lm, neighbours, packing, pieces, quality, sharding, simhash, toxicity, urls
 from lexiframe.llm.common import fold, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm.score_documents(read(spark, sf_dir, "documents", "doc_id", "text"), fold(F.col("doc_id"), 7) != 2)
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                      "base_score", "score")
+
+
 def _lang_model(docs: DataFrame):
     return langid.count_matrix(docs, fold(F.col("doc_id"), 4) != 2)
 
@@ -65,7 +71,7 @@ def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_url_filter, op4_sharding, op6_language_id,
+    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_url_filter, op4_sharding, op5_lm_scoring, op6_language_id,
                                     op7_toxicity, op8_quality_rules, op9_nearest_neighbours, op10_piece_sampling)}
 
 
