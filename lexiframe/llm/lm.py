@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from lexiframe.llm.common import WORDS, lower_az, pack_array, scratch_path, unpack_array
 from lexiframe.llm.trie import Trie
 
-PART_CHARS = 32 << 20
-SHARD_TOKENS = 1_500_000
+PART_CHARS = 14 << 20
+SHARD_TOKENS = 1_000_000
 STRENGTH2, STRENGTH3 = 20.0, 10.0
 MAX_HOT = 100_000
 END = "\n"  # not a word of any text
@@ -307,13 +307,16 @@ def _score_shard(group: list[dict], log_total: float, strength2: float, strength
     if not blobs:
         return _batch([], _SUM_TYPES)
     v, u, w, text = map(np.concatenate, (v_, u_, w_, t_))
+    del v_, u_, w_
     words, first = np.unique(np.concatenate([*dw, hw]), return_index=True)
     log1 = np.log10(np.concatenate([*dc, hc])[first] + 1.0) - log_total
 
     # distinct trigrams, in the order (v, u, w)
     vs, vi = np.unique(v, return_inverse=True)
     pair, pi = np.unique(vi * span + u, return_inverse=True)
+    del v, u, vi
     tri, ti = np.unique(pi * span + w, return_inverse=True)
+    del pi, w
     tw, tp = tri % span, tri // span
     tu, tv = pair[tp] % span, vs[pair[tp] // span]
     count = np.bincount(ti[(text & 1) > 0], minlength=len(tri))
