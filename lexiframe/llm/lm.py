@@ -115,7 +115,7 @@ def write_parts(docs: DataFrame, train: Column, path: str, n_ranges: int, key: s
             for k, t, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 ws = WORDS.findall(lower_az(t)) if t else []
                 ws.append(END)
-                ids.append(np.array([number.setdefault(w, len(number)) for w in ws], dtype=np.int64))
+                ids.append(np.array([number.setdefault(w, len(number)) for w in ws], dtype=np.int32))
                 lens.append(len(ws))
                 flags.append(f)
                 keys.append(k)
@@ -138,7 +138,9 @@ def _grouped(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[int,
     """Consecutive rows with the same ``by``."""
     held: list[dict] = []
     for b in batches:
-        for r in b.to_pylist():
+        cols = list(zip(b.schema.names, b.columns))
+        for i in range(b.num_rows):  # one row at a time: rows are large
+            r = {n: c[i].as_py() for n, c in cols}
             if held and r[by] != held[0][by]:
                 yield held[0][by], held
                 held = []
@@ -282,7 +284,8 @@ def _spread_pairs(batches: Iterator[pa.RecordBatch], n_shards: int, hot_ids, hot
         for salt in range(int(hot_salts[at].max()) if len(at) else 0):
             mine = np.flatnonzero(hot_salts[at] > salt)
             shard = salted_shard(v[mine], np.full(len(mine), salt), n_shards)
-            out = [(int(s), 5, -1, pack_array(np.stack([x[mine[shard == s]] for x in (v, w, k, c)])), None, None)
+            # the salt stands in place of a part, to tell two salts that meet in one shard apart
+            out = [(int(s), 5, salt, pack_array(np.stack([x[mine[shard == s]] for x in (v, w, k, c)])), None, None)
                    for s in np.unique(shard)]
             yield _batch(out, _BLOB_TYPES)
 
@@ -302,14 +305,14 @@ def _score_shard(group: list[dict], log_total: float, strength2: float, strength
         v_.append(np.cumsum(_unplanes(b2, np.int64)))
         u_.append(_unplanes(c1, np.int64))
         t_.append(_unplanes(c2, np.uint32).astype(np.int64))
-    pairs = [unpack_array(g["a"], np.int64).reshape(4, -1) for g in group if g["kind"] == 5]
-    hv, hw, hn, hc = np.concatenate(pairs, axis=1) if pairs else np.zeros((4, 0), np.int64)
+        g["a"] = g["b"] = g["c"] = None
     if not blobs:
         return _batch([], _SUM_TYPES)
     v, u, w, text = map(np.concatenate, (v_, u_, w_, t_))
     del v_, u_, w_
-    words, first = np.unique(np.concatenate([*dw, hw]), return_index=True)
-    log1 = np.log10(np.concatenate([*dc, hc])[first] + 1.0) - log_total
+    words, first = np.unique(np.concatenate(dw), return_index=True)
+    log1 = np.log10(np.concatenate(dc)[first] + 1.0) - log_total
+    del dw, dc
 
     # distinct trigrams, in the order (v, u, w)
     vs, vi = np.unique(v, return_inverse=True)
@@ -324,15 +327,43 @@ def _score_shard(group: list[dict], log_total: float, strength2: float, strength
     # pairs (v, w): counted here, but for hot words, whose full counts came along
     big, bi = np.unique(np.searchsorted(vs, tv[at]) * span + tw[at], return_inverse=True)
     bv, bw, bc = vs[big // span], big % span, np.bincount(bi, weights=count[at], minlength=len(big)).astype(np.int64)
-    if len(hv):
-        own = ~np.isin(bv, hv)
-        bv, bw, bc = (np.concatenate(x) for x in ((bv[own], hv), (bw[own], hw), (bc[own], hn)))
+    # A hot word's pairs come along with their full counts.  Only the pairs of this shard's trigrams are looked up
+    # here, so the rest only add to the word's total.
+    asked = np.unique(np.searchsorted(vs, tv) * span + tw)
+    full, total = [(bv, bw, bc)], {}
+    for g in group:
+        if g["kind"] == 5:
+            hv, hw, hn, _ = unpack_array(g["a"], np.int64).reshape(4, -1)
+            g["a"] = None
+            here = np.flatnonzero(np.isin(hv, vs))
+            key = np.searchsorted(vs, hv[here]) * span + hw[here]
+            pos = np.minimum(np.searchsorted(asked, key), len(asked) - 1)
+            wanted = asked[pos] == key
+            wanted[np.unique(hv[here], return_index=True)[1]] = True  # one pair at least, so that the word is a context
+            here_too = here[wanted]
+            for x in np.unique(hv):
+                # rows of one word may come in several pieces, and twice if two of its salts meet in a shard
+                total.setdefault((int(x), g["part"]), 0)
+                total[int(x), g["part"]] += int(hn[hv == x].sum())
+            full.append((hv[here_too], hw[here_too], hn[here_too], g["part"]))
+    hot_v = np.array(sorted({x for x, _ in total}), dtype=np.int64)
+    if len(hot_v):
+        first_salt = {x: min(salt for y, salt in total if y == x) for x in hot_v.tolist()}
+        own = ~np.isin(bv, hot_v)
+        rows = [(bv[own], bw[own], bc[own])]
+        for hv, hw, hn, salt in full[1:]:
+            mine = np.array([first_salt[x] == salt for x in hv.tolist()], dtype=bool) if len(hv) else np.zeros(0, bool)
+            rows.append((hv[mine], hw[mine], hn[mine]))
+        bv, bw, bc = (np.concatenate(x) for x in zip(*rows))
         order = np.lexsort((bw, bv))
         bv, bw, bc = bv[order], bw[order], bc[order]
-        new = np.r_[True, (np.diff(bv) != 0) | (np.diff(bw) != 0)]  # two salts of a word can meet in a shard
-        bv, bw, bc = bv[new], bw[new], bc[new]
-    trie, file = Trie.build(tv[at], tu[at], tw[at], count[at], bv, bw, bc, log1[np.searchsorted(words, bw)], strength2,
-                            strength3, span).mapped()
+    of_v = np.unique(bv)
+    v_total = np.bincount(np.searchsorted(of_v, bv), weights=bc, minlength=len(of_v))
+    for x in hot_v.tolist():
+        at_v = np.flatnonzero(of_v == x)
+        v_total[at_v] = total[x, first_salt[x]]
+    trie, file = Trie.build(tv[at], tu[at], tw[at], count[at], bv, bw, bc, v_total, log1[np.minimum(np.searchsorted(words, bw), len(words) - 1)],
+                            strength2, strength3, span).mapped()
     try:
         step = 1 << 18
         found = [trie.query(tv[i:i + step], tu[i:i + step], tw[i:i + step], log1[np.searchsorted(words, tw[i:i + step])])

@@ -141,9 +141,10 @@ class Trie:
         self.levels, self.tables, self.span = levels, tables, span
 
     @classmethod
-    def build(cls, v, u, w, count, bv, bw, bc, b_log1, strength2: float, strength3: float, span: int) -> Trie:
-        """``v, u, w, count``: distinct training trigrams sorted by ``(v, u, w)``.  ``bv, bw, bc``: all training
-        pairs of their middle words, sorted, with counts; ``b_log1``: unigram log10 probabilities of ``bw``.
+    def build(cls, v, u, w, count, bv, bw, bc, v_total, b_log1, strength2: float, strength3: float, span: int) -> Trie:
+        """``v, u, w, count``: distinct training trigrams sorted by ``(v, u, w)``.  ``bv, bw, bc``: training
+        pairs of their middle words, sorted, with counts, and every pair of the trigrams among them; ``v_total``:
+        counts of the distinct ``bv`` as contexts; ``b_log1``: unigram log10 probabilities of ``bw``.
         ``span`` is above every id.
 
         Each level is smoothed by the one below, with its mass as pseudo-counts (a Dirichlet prior):
@@ -151,7 +152,7 @@ class Trie:
         ``s / (c + s)``, so unseen words come out by the same formula."""
         vs, v_at = np.unique(bv, return_index=True)
         rank = np.repeat(np.arange(len(vs)), np.diff(np.r_[v_at, len(bv)]))
-        total = np.add.reduceat(bc, v_at).astype(np.float64) if len(bv) else np.zeros(0)
+        total = np.asarray(v_total, dtype=np.float64)
         p2 = (bc + strength2 * 10.0 ** b_log1) / (total[rank] + strength2)
         new = np.r_[True, (v[1:] != v[:-1]) | (u[1:] != u[:-1])] if len(v) else np.zeros(0, bool)
         c_at = np.flatnonzero(new)

@@ -98,7 +98,8 @@ def test_trie_is_a_distribution():
     key, inv = np.unique(v * 100 + w, return_inverse=True)
     bc = np.bincount(inv, weights=count).astype(np.int64)
     log1 = np.log10(np.full(12, 1 / 12))
-    t, path = Trie.build(v, u, w, count, key // 100, key % 100, bc, log1[key % 100], 3.0, 2.0, 100).mapped()
+    total = np.array([bc[key // 100 == x].sum() for x in np.unique(key // 100)])
+    t, path = Trie.build(v, u, w, count, key // 100, key % 100, bc, total, log1[key % 100], 3.0, 2.0, 100).mapped()
     for a in range(0, 13):
         for b in range(0, 13):
             p = 10 ** t.query(np.full(12, a), np.full(12, b), np.arange(12), log1)
