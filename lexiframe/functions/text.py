@@ -6,6 +6,8 @@ Everything here returns a ``Column``; all but the non-ASCII branch of
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,18 +31,27 @@ WORD_PATTERN = r"\w+|[^\w\s]+"
 # ``[^\n]`` is Python's ``.`` without DOTALL.
 _JAVA_HEADING = r"(?sdm)\A(.*?)^ ?(?:= )+([^\n]+) ?(?:= ?)+$"
 
-# Specials are swapped for Unicode noncharacters (reserved for internal use)
-# before normalisation so they survive lower-casing and pre-tokenization as
-# single tokens.  Noncharacters are untouched by NFD, case mapping and accent
-# stripping.
-_SENTINEL_BASE = 0xFDD0
+# Specials are swapped for marked numbers before normalisation, so they survive lower-casing and
+# pre-tokenization as single tokens: a mark, digits, a mark, all Unicode noncharacters (untouched by NFD, case
+# mapping and accent stripping).  A mark that stands in the text itself is doubled up with an escape first, so
+# no text can pass for a special, and there is no limit on the number of specials.
+_MARK, _ESCAPE = "\uFDD0", "\uFDD1"
+_DIGITS = [chr(c) for c in range(0xFDD2, 0xFDF0)]
 _SENTINEL_CLASS = "\\uFDD0-\\uFDEF"
 
 
 def sentinel_for(index: int) -> str:
-    if index >= 32:
-        raise ValueError("at most 32 special tokens are supported")
-    return chr(_SENTINEL_BASE + index)
+    digits = ""
+    while True:
+        index, d = divmod(index, len(_DIGITS))
+        digits = _DIGITS[d] + digits
+        if not index:
+            return _MARK + digits + _MARK
+
+
+def unescape(token: str) -> str:
+    """A pre-token with its escaped marks restored."""
+    return token.replace(_MARK + _ESCAPE, _MARK)
 
 
 def non_blank(text: Column) -> Column:
@@ -62,42 +73,24 @@ def _is_ascii_or_sentinel(text: Column) -> Column:
     return ~text.rlike(f"[^\\x00-\\x7f{_SENTINEL_CLASS}]")
 
 
-_MARKS = None
-
-
-def _strip_marks(s: str) -> str:
-    """Remove every character of general category Mark (Mn, Mc, Me)."""
-    global _MARKS
-    if _MARKS is None:
-        import sys
-        import unicodedata
-
-        # built once per Python worker from the category rule
-        _MARKS = {cp: None for cp in range(sys.maxunicode + 1)
-                  if unicodedata.category(chr(cp)).startswith("M")}
-    return s.translate(_MARKS)
-
-
 @F.pandas_udf(T.StringType())
-def _nfd_lower_strip(texts: pd.Series) -> pd.Series:
+def _nfd_lower(texts: pd.Series) -> pd.Series:
     import unicodedata
 
-    def one(t):
-        if t is None:
-            return None
-        return _strip_marks(unicodedata.normalize("NFD", t).lower())
-
-    return texts.map(one)
+    # characters are lowered one by one, so a final capital sigma is not special
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFD", t).replace("\u03A3", "\u03C3").lower())
 
 
 def normalize(text: Column) -> Column:
     """NFD -> lowercase -> strip accents.
 
     ASCII rows (the bulk of most corpora) are lower-cased in the JVM; only
-    rows with non-ASCII characters go through an Arrow-batched Python UDF.
+    rows with non-ASCII characters go through an Arrow-batched Python UDF,
+    and the JVM drops the accent marks (category Mark).
     """
     fast = _is_ascii_or_sentinel(text)
-    return F.when(fast, F.lower(text)).otherwise(_nfd_lower_strip(F.when(~fast, text)))
+    return F.when(fast, F.lower(text)).otherwise(
+        F.regexp_replace(_nfd_lower(F.when(~fast, text)), r"\p{M}+", ""))
 
 
 def pretokenize(text: Column) -> Column:
@@ -106,23 +99,32 @@ def pretokenize(text: Column) -> Column:
 
 
 def pretokenize_keep_specials(text: Column) -> Column:
-    """Like ``pretokenize`` but every sentinel character is a token of its own."""
-    pattern = f"(?U)[{_SENTINEL_CLASS}]|\\w+|[^\\w\\s{_SENTINEL_CLASS}]+"
+    """Like ``pretokenize`` but every special is a token of its own (escaped marks stay escaped)."""
+    pattern = (f"(?U){_MARK}[{_DIGITS[0]}-{_DIGITS[-1]}]+{_MARK}|\\w+"
+               f"|(?:{_MARK}{_ESCAPE}|[^\\w\\s{_MARK}])+")
     return F.regexp_extract_all(text, F.lit(pattern), 0)
 
 
 def protect_specials(text: Column, specials: list[str]) -> Column:
-    """Replace every occurrence of a special string by its sentinel character.
+    """Replace every occurrence of a special string by its sentinel.
 
-    One match test per row; only rows that contain a special run the
-    replacements (one pass per special)."""
+    One match test per row; only rows that contain a special are cut into
+    special and ordinary segments by one regular expression, whatever the
+    number of specials, and put together again."""
+    escaped = F.regexp_replace(text, _MARK, _MARK + _ESCAPE)
     if not specials:
-        return text
-    out = text
-    for i, tok in enumerate(specials):
-        out = F.regexp_replace(out, _java_quote(tok), sentinel_for(i))
+        return escaped
     any_special = "|".join(_java_quote(t) for t in specials)
-    return F.when(text.rlike(any_special), out).otherwise(text)
+    segments = F.regexp_extract_all(text, F.lit(f"(?s){any_special}|(?:(?!{any_special}).)+"), 0)
+    names = F.from_json(F.lit(json.dumps(specials)), "array<string>")
+    marks = F.from_json(F.lit(json.dumps([sentinel_for(i) for i in range(len(specials))])), "array<string>")
+
+    def replaced(seg: Column) -> Column:
+        at = F.array_position(names, seg)
+        return F.when(at > 0, F.get(marks, (at - 1).cast("int"))).otherwise(
+            F.regexp_replace(seg, _MARK, _MARK + _ESCAPE))
+
+    return F.when(text.rlike(any_special), F.array_join(F.transform(segments, replaced), "")).otherwise(escaped)
 
 
 def _java_quote(s: str) -> str:
@@ -133,7 +135,3 @@ def words(text: Column) -> Column:
     """Normalised pre-tokens of a text (what vocabulary training counts)."""
     return pretokenize(normalize(text))
 
-
-def wrap_text(text: Column, begin: str, end: str) -> Column:
-    """String form of the boundary markers."""
-    return F.concat(F.lit(begin), text, F.lit(end))

@@ -8,62 +8,52 @@ from pyspark.sql import functions as F
 from lexiframe.functions.rows import posexplode_rows
 from lexiframe.sources.corpus import hash_key
 
-# A per-batch table is broadcast only below this many rows (about 24 bytes a row).
-BROADCAST_BATCH_ROWS = 2_000_000
-
-
 # Buckets per shuffle partition for the hash-ordered index (balance).
 BUCKETS_PER_PARTITION = 16
 
 
 def global_index(df: DataFrame, key: str | list[str], seed: int | None = 0, n_parts: int | None = None,
                  out: str = "idx") -> DataFrame:
-    return global_index_counted(df, key, seed, n_parts, out)[0]
-
-
-def global_index_counted(df: DataFrame, key: str | list[str], seed: int | None = 0, n_parts: int | None = None,
-                         out: str = "idx") -> tuple[DataFrame, int | None]:
     """Add ``idx`` (0-based) in the total order ``md5('<seed>:<key>'), key``
     (or plain key order when ``seed`` is None).  Keys must be unique.
 
-    No one-partition window.  With a seed the order is a uniform hash, so the
-    hash prefix gives buckets that are already in order: one light job counts
-    rows per bucket on the key columns only (partial aggregation; a table of
-    ``BUCKETS_PER_PARTITION`` rows per partition, collected), then the rows are
-    hash-partitioned on the bucket and sorted inside partitions, and each row
-    gets ``offset(bucket) + position``.  Partitioning and sort are
-    deterministic, so a recomputed partition after executor loss gets the same
-    numbers, and the heavy rows are shuffled once and never sampled.
+    No one-partition window over rows, and no action while the plan is built.
+    With a seed the order is a uniform hash, so the hash prefix gives buckets
+    that are already in order: rows per bucket are counted on the key columns
+    only (partial aggregation), and a running sum over that table, which has
+    ``BUCKETS_PER_PARTITION`` rows per partition whatever the data, gives each
+    bucket's offset.  The rows are hash-partitioned on the bucket and sorted
+    inside partitions, and each row gets ``offset(bucket) + position`` from a
+    broadcast join with the offsets.  Partitioning and sort are deterministic,
+    so a partition recomputed after executor loss gets the same numbers.
     """
     spark = df.sparkSession
     keys = [key] if isinstance(key, str) else list(key)
     n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     if seed is None:
-        return _ordered_index(df, keys, n, out), None
+        return _ordered_index(df, keys, n, out)
     nb = n * BUCKETS_PER_PARTITION
     h = hash_key(seed, keys)
     bucket = (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") * F.lit(nb) / F.lit(1 << 32)).cast("long")
-    counts = (df.select(bucket.alias("_b")).groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-              .withColumn("_p", F.pmod(F.hash(F.col("_b")), F.lit(n)))
-              .collect())
-    delta, total, part_used = {}, 0, {}
-    for r in sorted(counts, key=lambda r: r["_b"]):
-        # rows before this bucket globally, minus rows before it in its own partition
-        delta[r["_b"]] = total - part_used.get(r["_p"], 0)
-        total += r["_n"]
-        part_used[r["_p"]] = part_used.get(r["_p"], 0) + r["_n"]
-    if not delta:
-        return df.withColumn(out, F.lit(None).cast("long")).limit(0), 0
-    dmap = F.map_from_arrays(F.array(*[F.lit(k).cast("long") for k in delta]),
-                             F.array(*[F.lit(v).cast("long") for v in delta.values()]))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    # the partition of a bucket is that of the row shuffle below
+    own = Window.partitionBy("_p").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    offsets = (df.select(bucket.alias("_b")).groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+               .withColumn("_p", F.pmod(F.hash(F.col("_b")), F.lit(n)))
+               .withColumn("_all", F.coalesce(F.sum("_n").over(before), zero))
+               .withColumn("_own", F.coalesce(F.sum("_n").over(own), zero))
+               .select("_b", (F.col("_all") - F.col("_own")).alias("_delta")))
     pos = F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)
     return (
         df.withColumn("_h", h).withColumn("_b", bucket)
         .repartition(n, "_b")
         .sortWithinPartitions("_b", "_h", *keys)
-        .withColumn(out, (pos + F.element_at(dmap, F.col("_b"))).cast("long"))
-        .drop("_h", "_b")
-    ), total
+        .withColumn("_pos", pos)
+        .join(F.broadcast(offsets), "_b")
+        .withColumn(out, (F.col("_pos") + F.col("_delta")).cast("long"))
+        .drop("_h", "_b", "_pos", "_delta")
+    )
 
 
 def _ordered_index(df: DataFrame, keys: list[str], n: int, out: str) -> DataFrame:
@@ -111,25 +101,11 @@ def next_row(df: DataFrame, group: str, order: str, cols: list[str], prefix: str
 def assign_batches(df: DataFrame, key: str | list[str], batch_size: int = 64, seed: int = 0) -> DataFrame:
     """Shuffle by seed, then ``batch_id = idx div batch_size``, ``slot = idx mod batch_size``.
     The last partial batch is kept."""
-    return assign_batches_counted(df, key, batch_size, seed)[0]
-
-
-def assign_batches_counted(df: DataFrame, key: str | list[str], batch_size: int = 64,
-                           seed: int = 0) -> tuple[DataFrame, int]:
-    """``assign_batches`` plus the number of batches (known from the index's counts)."""
     if batch_size <= 0:
         raise ValueError("batch_size must be positive")
-    out, total = global_index_counted(df, key, seed)
-    out = out.withColumn("batch_id", F.floor(F.col("idx") / batch_size).cast("long")) \
-             .withColumn("slot", (F.col("idx") % batch_size).cast("int"))
-    n_batches = -(-total // batch_size) if total is not None else count_batches(out)
-    return out, n_batches
-
-
-def count_batches(indexed: DataFrame, batch_col: str = "batch_id") -> int:
-    """Number of batches of an indexed frame (max batch id + 1; 0 when empty)."""
-    row = indexed.agg(F.max(batch_col).alias("m")).first()
-    return 0 if row["m"] is None else int(row["m"]) + 1
+    return (global_index(df, key, seed)
+            .withColumn("batch_id", F.floor(F.col("idx") / batch_size).cast("long"))
+            .withColumn("slot", (F.col("idx") % batch_size).cast("int")))
 
 
 def pad_to(ids: Column, length: Column, pad_id: int) -> Column:
@@ -148,25 +124,14 @@ def batch_max_length(df: DataFrame, ids_cols: list[str], batch_col: str = "batch
 
 
 def pad_batches(df: DataFrame, ids_cols: list[str], pad_id: int,
-                batch_col: str = "batch_id", mask_suffix: str = "_attention_mask",
-                n_batches: int | None = None) -> DataFrame:
+                batch_col: str = "batch_id", mask_suffix: str = "_attention_mask") -> DataFrame:
     """Right-pad every id array to the longest in its batch; add the attention masks.
 
     Each id column is padded on its own (source and target independently).
-    The per-batch lengths are a table of one row per batch: broadcast when its
-    row count is below ``BROADCAST_BATCH_ROWS``, else a window over the batch
-    (one hash shuffle of the rows on the batch id).  Pass ``n_batches`` when it
-    is known (``count_batches``) to avoid a counting job.
+    The per-batch lengths are a table of one row per batch, joined on the
+    batch; Spark picks the join from its size at run time.
     """
-    lengths = batch_max_length(df, ids_cols, batch_col)
-    est = n_batches if n_batches is not None else lengths.count()
-    if est <= BROADCAST_BATCH_ROWS:
-        out = df.join(F.broadcast(lengths), batch_col)
-    else:
-        w = Window.partitionBy(batch_col)
-        out = df
-        for c in ids_cols:
-            out = out.withColumn(f"_len_{c}", F.max(F.size(c)).over(w))
+    out = df.join(batch_max_length(df, ids_cols, batch_col), batch_col)
     for c in ids_cols:
         L = F.col(f"_len_{c}")
         out = out.withColumn(f"{c}{mask_suffix}", mask_of(F.col(c), L)) \

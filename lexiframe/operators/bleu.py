@@ -1,4 +1,4 @@
-"""Corpus BLEU as grouped aggregations (Papineni et al. 2002).
+"""Corpus BLEU (Papineni et al. 2002): per-row statistics, then one small sum.
 
 Semantics of the corpus-level score the reference reports: per hypothesis and
 order n, clipped n-gram matches against the maximum count over its
@@ -6,121 +6,90 @@ references; the denominator of a hypothesis is ``max(1, #n-grams)``; sums over
 the corpus; brevity penalty from summed hypothesis lengths and summed closest
 reference lengths (ties to the shorter); 0 when no unigram matches; an order
 with no match contributes the smallest positive double (no smoothing).
+
+A hypothesis and its references share one row, so its n-grams are counted
+within the row: nothing but four numbers per order is ever shuffled.
 """
 
 from __future__ import annotations
 
 import sys
+from collections import Counter
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiframe.functions.rows import explode_rows, posexplode_rows
-
 # Uniform weights over orders 1..4; the value an order without
 # any match contributes instead of zero (smallest positive normal double).
 DEFAULT_WEIGHTS = (0.25, 0.25, 0.25, 0.25)
 ZERO_MATCH_VALUE = sys.float_info.min
 
-_SEP = "\u0001"
-
-
-def ngrams(tokens: Column, n: int) -> Column:
-    """array<string> of the n-grams of a token array, each n tokens followed by
-    \\u0001 (tokens must not contain that control character).
 
-    A look-ahead regular expression over the joined tokens finds the n-gram
-    starting after every separator: a JVM regex pass instead of a per-position
-    interpreted lambda."""
-    joined = F.concat(F.lit(_SEP), F.array_join(tokens, _SEP), F.lit(_SEP))
-    pattern = f"{_SEP}(?=((?:[^{_SEP}]+{_SEP}){{{n}}}))"
-    return F.when(F.size(tokens) < n, F.array().cast("array<string>")).otherwise(
-        F.regexp_extract_all(joined, F.lit(pattern), 1))
+def ngram_counts(tokens: list, n: int) -> Counter:
+    return Counter(zip(*[tokens[i:] for i in range(n)]))
 
 
-def _gram_rows(df: DataFrame, key: str, tokens: str, side: F.Column, orders: int) -> DataFrame:
-    """``(key, side, n, gram)`` rows: one explode per order, unioned."""
-    out = None
+def row_stats(hyp: list, refs: list[list], orders: int) -> list[tuple[int, int, int]]:
+    """``(n, clipped matches, denominator)`` of one hypothesis."""
+    out = []
     for n in range(1, orders + 1):
-        part = explode_rows(df, ngrams(F.col(tokens), n), "gram", key, side.alias("side"), F.lit(n).alias("n"))
-        out = part if out is None else out.unionByName(part)
+        h = ngram_counts(hyp, n)
+        best: Counter = Counter()
+        for r in refs:
+            best |= ngram_counts(r, n)
+        out.append((n, sum(min(c, best[g]) for g, c in h.items()), max(1, len(hyp) - n + 1)))
     return out
 
 
-def sentence_stats(pairs: DataFrame, key: str = "pair_id", hyp: str = "hyp", refs: str = "refs",
-                   orders: int = 4, materialize_pairs: bool = True) -> DataFrame:
-    """Per hypothesis and order: clipped matches, denominator, lengths.
-
-    Hypothesis n-grams (side -1) and reference n-grams (side = reference
-    number) are one stream of rows.  Counting by ``(pair, n, gram, side)`` is
-    combined map-side; a second aggregation by ``(pair, n, gram)`` takes the
-    hypothesis count and the largest reference count; a third sums per
-    ``(pair, n)``.  When no hypothesis has more than one reference the first
-    two collapse into one.  No join, and a hot pair is spread over its grams.
-
-    The pairs feed three branches (hypothesis grams, reference grams,
-    lengths); they are written once to the checkpoint folder so tokenization
-    upstream runs once (``materialize_pairs=False`` when they are cheap).
-    """
-    if materialize_pairs:
-        from lexiframe.session import materialize
-
-        pairs = materialize(pairs.select(key, hyp, refs), "bleu-pairs")
-    h = _gram_rows(pairs.select(key, hyp), key, hyp, F.lit(-1), orders)
-    ref_rows = posexplode_rows(pairs, F.col(refs), "ref_no", "ref", key)
-    r = _gram_rows(ref_rows, key, "ref", F.col("ref_no"), orders)
-    rows = h.unionByName(r)
-    max_refs = pairs.agg(F.max(F.size(refs)).alias("m")).first()["m"] if materialize_pairs else None
-    if max_refs is not None and max_refs <= 1:
-        # one reference per hypothesis: its count is the maximum, one aggregation
-        per_gram = rows.groupBy(key, "n", "gram").agg(
-            F.count_if(F.col("side") < 0).alias("hc"), F.count_if(F.col("side") >= 0).alias("rc"))
-        per_gram = per_gram.withColumn("hc", F.when(F.col("hc") > 0, F.col("hc")))
-    else:
-        per_side = rows.groupBy(key, "n", "gram", "side").agg(F.count(F.lit(1)).alias("c"))
-        per_gram = per_side.groupBy(key, "n", "gram").agg(
-            F.sum(F.when(F.col("side") < 0, F.col("c"))).alias("hc"),
-            F.max(F.when(F.col("side") >= 0, F.col("c"))).alias("rc"))
-    clipped = (per_gram.where(F.col("hc").isNotNull()).groupBy(key, "n")
-               .agg(F.sum(F.least(F.col("hc"), F.coalesce(F.col("rc"), F.lit(0)))).alias("num"),
-                    F.sum("hc").alias("total")))
-    hyp_len = F.size(F.col(hyp))
-    # closest reference length, ties to the shorter one
-    closest = F.aggregate(
-        F.transform(F.col(refs), lambda x: F.size(x)),
-        F.lit(None).cast("int"),
-        lambda acc, L: F.when(
-            acc.isNull()
-            | (F.abs(L - hyp_len) < F.abs(acc - hyp_len))
-            | ((F.abs(L - hyp_len) == F.abs(acc - hyp_len)) & (L < acc)), L).otherwise(acc),
-    )
-    lens = pairs.select(key, hyp_len.alias("hyp_len"), closest.alias("ref_len"))
-    orders_df = lens.select(key, "hyp_len", "ref_len",
-                            F.explode(F.sequence(F.lit(1), F.lit(orders))).alias("n"))
-    return (
-        orders_df.join(clipped, [key, "n"], "left")
-        .select(key, "n", "hyp_len", "ref_len",
-                F.coalesce(F.col("num"), F.lit(0)).cast("long").alias("num"),
-                F.greatest(F.coalesce(F.col("total"), F.lit(0)), F.lit(1)).cast("long").alias("den"))
-    )
-
-
-def corpus_bleu(pairs: DataFrame, key: str = "pair_id", hyp: str = "hyp", refs: str = "refs",
-                weights: tuple[float, ...] = DEFAULT_WEIGHTS, materialize_pairs: bool = True) -> DataFrame:
+def sentence_stats(pairs: DataFrame, keys: str | tuple[str, ...] = "pair_id", hyp: str = "hyp", refs: str = "refs",
+                   orders: int = 4) -> DataFrame:
+    """Per hypothesis and order: clipped matches, denominator, lengths.  One
+    Arrow-batched pass, no shuffle; null token arrays count as empty."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    rows = pairs.select(*keys, hyp, refs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, cols = [], [[] for _ in range(5)]
+            for i, (h, rs) in enumerate(zip(b.column(len(keys)).to_pylist(), b.column(len(keys) + 1).to_pylist())):
+                h, rs = h or [], [r or [] for r in rs or []]
+                # closest reference length, ties to the shorter one
+                near = min((len(r) for r in rs), key=lambda x: (abs(x - len(h)), x), default=None)
+                for n, num, den in row_stats(h, rs, orders):
+                    at.append(i)
+                    for c, v in zip(cols, (n, len(h), near, num, den)):
+                        c.append(v)
+            own = [b.column(k).take(pa.array(at, pa.int64())) for k in range(len(keys))]
+            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays(own + [pa.array(c, t) for c, t in zip(cols, kinds)],
+                                             names=[*keys, "n", "hyp_len", "ref_len", "num", "den"])
+
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    return rows.mapInArrow(run, f"{kinds}, n int, hyp_len int, ref_len int, num long, den long")
+
+
+def pair_up(hyps: DataFrame, refs: DataFrame, on: tuple[str, ...] = ("batch_id", "slot"), hyp: str = "hyp",
+            ref: str = "ref") -> DataFrame:
+    """Generated and target sequences from two tables, paired by their place
+    ``(batch_id, slot)``: ``(*on, hyp, refs)``.  A generated row without a
+    target keeps an empty reference list."""
+    r = refs.groupBy(*on).agg(F.collect_list(ref).alias("refs"))
+    return (hyps.select(*on, F.col(hyp).alias("hyp")).join(r, list(on), "left")
+            .withColumn("refs", F.coalesce("refs", F.array().cast(r.schema["refs"].dataType))))
+
+
+def corpus_bleu(pairs: DataFrame, keys: str | tuple[str, ...] = "pair_id", hyp: str = "hyp", refs: str = "refs",
+                weights: tuple[float, ...] = DEFAULT_WEIGHTS) -> DataFrame:
     """One row: ``bleu`` plus the per-order precisions and lengths."""
     orders = len(weights)
-    st = sentence_stats(pairs, key, hyp, refs, orders, materialize_pairs)
-    per_n = st.groupBy("n").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
-    lengths = st.where(F.col("n") == 1).agg(F.sum("hyp_len").alias("c"), F.sum("ref_len").alias("r"))
-    agg_n = per_n.agg(*[
+    per_n = sentence_stats(pairs, keys, hyp, refs, orders).groupBy("n").agg(
+        F.sum("num").alias("num"), F.sum("den").alias("den"), F.sum("hyp_len").alias("c"), F.sum("ref_len").alias("r"))
+    one = per_n.agg(*[
         F.max(F.when(F.col("n") == n, F.col(c))).alias(f"{c}{n}")
         for n in range(1, orders + 1) for c in ("num", "den")
-    ])
-    # both frames have exactly one row; a union + max folds them without a join
-    cols = [f"{c}{n}" for n in range(1, orders + 1) for c in ("num", "den")]
-    u = agg_n.select(*cols, F.lit(None).cast("long").alias("c"), F.lit(None).cast("long").alias("r")) \
-        .unionByName(lengths.select(*[F.lit(None).cast("long").alias(x) for x in cols], "c", "r"))
-    one = u.agg(*[F.max(x).alias(x) for x in cols + ["c", "r"]])
+    ], F.max("c").alias("c"), F.max("r").alias("r"))
     logs = None
     for n, w in enumerate(weights, start=1):
         p = F.when(F.col(f"num{n}") == 0, F.lit(ZERO_MATCH_VALUE)).otherwise(

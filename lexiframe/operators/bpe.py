@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from lexiframe.functions.rows import explode_rows
 from lexiframe.functions.text import SPECIAL_TOKENS, normalize, pretokenize_keep_specials, \
-    protect_specials, sentinel_for
+    protect_specials, sentinel_for, unescape
 from lexiframe.operators.vocab import MERGES_SCHEMA, VOCAB_SCHEMA, alphabet, chars, word_counts
 from lexiframe.session import checkpoint_dir, materialize
 
@@ -281,7 +281,7 @@ def _word_encoder(model: BpeModel):
         if w in sentinel_ids:
             out = [sentinel_ids[w]]
         else:
-            syms = [tok_ids.get(ch, unk) for ch in w]
+            syms = [tok_ids.get(ch, unk) for ch in unescape(w)]
             while len(syms) > 1:
                 best = None
                 for i in range(len(syms) - 1):

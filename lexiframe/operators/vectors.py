@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Vector tables are broadcast only below this many bytes (rows x width x 8).
-BROADCAST_VECTOR_BYTES = 256 * 1024 * 1024
-
-
 def positional_value(pos: Column, dim: Column, d_model: int) -> Column:
     """sin for even dims, cos for odd dims, of ``pos / 10000^(dim/d_model)``
     (every dim has its own frequency, odd ones included)."""
@@ -30,18 +26,13 @@ def positional_table(spark, max_len: int, d_model: int) -> DataFrame:
 
 
 def lookup_vectors(tokens: DataFrame, vectors: DataFrame, token_col: str = "token_id",
-                   id_col: str = "id", vec_col: str = "vector", width: int | None = None) -> DataFrame:
-    """Equi-join token rows with a vector table.  The table is broadcast only
-    when rows x width x 8 bytes is under ``BROADCAST_VECTOR_BYTES`` (checked
-    with a count); otherwise a shuffle join."""
+                   id_col: str = "id", vec_col: str = "vector") -> DataFrame:
+    """Equi-join token rows with a vector table; Spark picks the join from the
+    sizes at run time.  A token without a vector keeps its row, with a null
+    vector, so nothing is lost silently (``count_if(vector is null)`` tells
+    how many)."""
     v = vectors.select(F.col(id_col).alias(token_col), F.col(vec_col).cast("array<double>").alias(vec_col))
-    n = vectors.count()
-    if width is None:
-        first = vectors.select(F.size(vec_col).alias("w")).first()
-        width = first["w"] if first else 0
-    if n * max(width, 1) * 8 <= BROADCAST_VECTOR_BYTES:
-        v = F.broadcast(v)
-    return tokens.join(v, token_col, "inner")
+    return tokens.join(v, token_col, "left")
 
 
 def add_positions(vec: Column, pos: Column, d_model: int) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,18 +59,6 @@ def char_vocab(texts: DataFrame, text: str = "text", specials: list[str] | None
     return specials_frame(spark, specials).unionByName(alphabet(wc, specials=specials, first_id=len(specials)))
 
 
-def pair_counts(symbol_words: DataFrame, syms: str = "syms", n: str = "n") -> DataFrame:
-    """Adjacent symbol pairs weighted by word frequency: ``(left, right, n)``."""
-    s = F.col(syms)
-    k = F.size(s) - 1
-    pairs = F.when(k <= 0, F.array().cast("array<struct<l:int,r:int>>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.greatest(k, F.lit(1))),
-                    lambda i: F.struct(F.element_at(s, i).alias("l"), F.element_at(s, i + 1).alias("r"))))
-    return (explode_rows(symbol_words, pairs, "_p", F.col(n).alias("_w"))
-            .groupBy(F.col("_p.l").alias("left"), F.col("_p.r").alias("right"))
-            .agg(F.sum("_w").cast("long").alias("n")))
-
-
 def string_pair_counts(word_table: DataFrame, word: str = "word", n: str = "n") -> DataFrame:
     """Character-pair counts of a ``(word, n)`` table: ``(left, right, n)`` as strings."""
     c = chars(F.col(word))
@@ -85,19 +75,9 @@ def vocab_size(vocab: DataFrame) -> DataFrame:
     return vocab.agg(F.count(F.lit(1)).alias("vocab_size"))
 
 
-# A vocabulary table is broadcast only up to this many rows (checked by count);
-# larger ones are joined with a shuffle.
-BROADCAST_VOCAB_ROWS = 5_000_000
-
-
-def _bounded(vocab: DataFrame) -> DataFrame:
-    return F.broadcast(vocab) if vocab.count() <= BROADCAST_VOCAB_ROWS else vocab
-
-
 def token_ids(tokens: DataFrame, vocab: DataFrame, token: str = "token", unk_id: int = 0) -> DataFrame:
-    """token -> id (unknown -> ``unk_id``).  The vocabulary is broadcast when
-    its row count is under ``BROADCAST_VOCAB_ROWS``."""
-    v = _bounded(vocab.select(F.col("token").alias(token), F.col("id").alias("_id")))
+    """token -> id (unknown -> ``unk_id``).  Spark picks the join from the sizes at run time."""
+    v = vocab.select(F.col("token").alias(token), F.col("id").alias("_id"))
     return tokens.join(v, token, "left").withColumn(
         "id", F.coalesce(F.col("_id"), F.lit(unk_id))).drop("_id")
 
@@ -107,13 +87,13 @@ def ids_to_tokens(seqs: DataFrame, vocab: DataFrame, key: str, ids: str = "ids",
     """id arrays -> token arrays, dropping every ``remove_id`` (e.g. EOS).
 
     The sequences are exploded with their positions, joined to the
-    vocabulary (broadcast under the size bound) and re-assembled in position
+    vocabulary and re-assembled in position
     order per key; a group is one sequence.
     """
     arr = F.col(ids)
     if remove_id is not None:
         arr = F.array_remove(arr, F.lit(remove_id))
-    v = _bounded(vocab.select(F.col("id").alias("_tid"), F.col("token").alias("_tok")))
+    v = vocab.select(F.col("id").alias("_tid"), F.col("token").alias("_tok"))
     exploded = posexplode_rows(seqs, arr, "_pos", "_tid", key)
     joined = exploded.join(v, "_tid", "left")
     back = joined.groupBy(key).agg(
@@ -122,15 +102,9 @@ def ids_to_tokens(seqs: DataFrame, vocab: DataFrame, key: str, ids: str = "ids",
         out, F.coalesce(F.col(out), F.array().cast("array<string>")))
 
 
-# Vocabularies up to this many entries are looked up from an array literal
-# (narrow, no shuffle); larger ones go through the join form above.
-LITERAL_VOCAB_LIMIT = 200_000
-
-
 def ids_to_tokens_col(ids: Column, tokens: list[str], remove_id: int | None = None) -> Column:
-    """Column form of id -> token for a dense vocabulary (ids 0..V-1) of bounded size."""
-    if len(tokens) > LITERAL_VOCAB_LIMIT:
-        raise ValueError("vocabulary too large for the literal form; use ids_to_tokens")
-    table = F.array(*[F.lit(t) for t in tokens])
+    """Column form of id -> token for a dense vocabulary (ids 0..V-1): narrow, no join.  The table is one
+    literal, folded from JSON when the plan is optimised, so its size does not grow the plan."""
+    table = F.from_json(F.lit(json.dumps(tokens)), "array<string>")
     arr = F.array_remove(ids, F.lit(remove_id)) if remove_id is not None else ids
     return F.transform(arr, lambda i: F.get(table, i))

@@ -16,7 +16,7 @@ from lexiframe.functions.rows import posexplode_rows
 from lexiframe.functions.text import SPECIAL_TOKENS, non_empty, normalize, pretokenize, strip_heading
 from lexiframe.operators import batches as B
 from lexiframe.operators import metrics as M
-from lexiframe.operators.bleu import corpus_bleu, sentence_stats
+from lexiframe.operators.bleu import corpus_bleu, pair_up, sentence_stats
 from lexiframe.operators.bpe import encode, train_bpe
 from lexiframe.operators.vectors import lookup_vectors, with_positions
 from lexiframe.operators.vocab import char_vocab, ids_to_tokens_col, string_pair_counts, word_counts
@@ -218,10 +218,9 @@ def q_bleu_translation(spark, sf):
     ref_ids = B.unpad(F.col("target_ids"), F.col("target_ids_attention_mask"))
     gen_ids = F.slice(F.concat(F.array(F.lit(SEP)), B.unpad(F.col("source_ids"), F.col("source_ids_attention_mask"))),
                       1, MAX_LENGTH)
-    bp = b.select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("pair_id"),
-                  ids_to_tokens_col(gen_ids, model.tokens, remove_id=EOS).alias("hyp"),
-                  F.array(ids_to_tokens_col(ref_ids, model.tokens, remove_id=EOS)).alias("refs"))
-    return _bleu_cols(corpus_bleu(bp))
+    hyps = b.select("batch_id", "slot", ids_to_tokens_col(gen_ids, model.tokens, remove_id=EOS).alias("hyp"))
+    refs = b.select("batch_id", "slot", ids_to_tokens_col(ref_ids, model.tokens, remove_id=EOS).alias("ref"))
+    return _bleu_cols(corpus_bleu(pair_up(hyps, refs), ("batch_id", "slot")))
 
 
 def q_web_batches(spark, sf):
@@ -348,7 +347,7 @@ def q_token_vectors(spark, sf):
     _, _, seqs = _char_lm(spark, sf)
     toks = posexplode_rows(seqs, F.col("ids"), "pos", "token_id", "doc_id")
     emb = C.read_table(spark, sf, "embeddings")
-    j = lookup_vectors(toks, emb, token_col="token_id", id_col="vec_id", vec_col="embedding", width=D_MODEL)
+    j = lookup_vectors(toks, emb, token_col="token_id", id_col="vec_id", vec_col="embedding")
     j = with_positions(j, "embedding", "pos", D_MODEL, MAX_LENGTH)
     total = F.aggregate(F.col("embedding"), F.lit(0.0).cast("double"), lambda a, x: a + x)
     return j.select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("token_id").cast("long").alias("token_id"),
@@ -417,13 +416,13 @@ def _bleu_cols(df):
 
 def q_bleu_conversations(spark, sf):
     pairs = prep.conversation_bleu_pairs(C.project_pair(C.parallel_rows(spark, sf), "user-assistant"))
-    return _bleu_cols(corpus_bleu(pairs))
+    return _bleu_cols(corpus_bleu(pairs, ("conv_id", "turn")))
 
 
 def q_bleu_sentence_stats(spark, sf):
     pairs = prep.conversation_bleu_pairs(C.project_pair(C.parallel_rows(spark, sf), "user-assistant"))
-    st = sentence_stats(pairs)
-    return st.select(F.col("pair_id").cast("long").alias("pair_id"), F.col("n").cast("long").alias("n"),
+    st = sentence_stats(pairs, ("conv_id", "turn"))
+    return st.select("conv_id", "turn", F.col("n").cast("long").alias("n"),
                      "num", "den", F.col("hyp_len").cast("long").alias("hyp_len"),
                      F.col("ref_len").cast("long").alias("ref_len"))
 

@@ -7,7 +7,7 @@ form of NFD -> lowercase -> strip marks.
 
 from __future__ import annotations
 
-from lexiframe.plans.catalog import BATCH_SIZE, D_MODEL, EVAL_STEPS, MAX_LENGTH, RESUME_AT, SEED, \
+from lexiframe.plans.catalog import BATCH_SIZE, BPE_VOCAB_SIZE, D_MODEL, EVAL_STEPS, MAX_LENGTH, RESUME_AT, SEED, \
     SMOOTHING, SPLIT_FRACTIONS
 from lexiframe.sources.corpus import _hex_threshold
 
@@ -77,6 +77,45 @@ pb AS (
   FROM b
 )"""
 
+# Pair-by-pair training as a recursion.  A step holds the words (kind 0: word, count, symbols each between two
+# spaces) and the vocabulary (kind 1: token, id); it counts the pairs, takes the top one by (count, left id,
+# right id), replaces it from left to right, and adds the merged token unless the vocabulary has it.
+BPE_CTE = f"""{ALPHA_CTE},
+wc AS (SELECT word, count(*)::BIGINT AS n FROM (SELECT unnest({_words('text')}) AS word FROM documents) w GROUP BY word),
+train(step, kind, word, n, s) AS (
+  SELECT 0, 0, word, n, list_aggregate(list_transform(regexp_extract_all(word, '.'), lambda c: ' ' || amap.m[c] || ' '), 'string_agg', '')
+  FROM wc, amap
+  UNION ALL SELECT 0, 1, token, id, NULL FROM ({SPECIALS_SQL} UNION ALL SELECT token, id FROM alpha) v
+  UNION ALL
+  SELECT * FROM (
+    WITH sym AS (SELECT n, string_split(trim(s), '  ') AS t FROM train WHERE kind = 0 AND contains(s, '  ')),
+    pr AS (SELECT n, unnest(t[:-2]) AS l, unnest(t[2:]) AS r FROM sym),
+    top AS (SELECT l::BIGINT AS l, r::BIGINT AS r FROM pr GROUP BY l, r
+            HAVING (SELECT count(*) FROM train WHERE kind = 1) < {BPE_VOCAB_SIZE}
+            ORDER BY sum(n) DESC, l::BIGINT, r::BIGINT LIMIT 1),
+    made AS (SELECT top.l, top.r, a.word || b.word AS token FROM top
+             JOIN train a ON a.kind = 1 AND a.n = top.l JOIN train b ON b.kind = 1 AND b.n = top.r),
+    named AS (SELECT made.*, (SELECT n FROM train x WHERE x.kind = 1 AND x.word = made.token) AS old,
+                     (SELECT max(n) + 1 FROM train WHERE kind = 1) AS new FROM made)
+    SELECT t.step + 1, t.kind, t.word, t.n,
+           replace(t.s, ' ' || named.l || '  ' || named.r || ' ', ' ' || coalesce(old, new) || ' ')
+    FROM train t, named
+    UNION ALL
+    SELECT (SELECT max(step) + 1 FROM train), 1, token, new, NULL FROM named WHERE old IS NULL
+  ) x
+),
+fin AS (SELECT * FROM train WHERE step = (SELECT max(step) FROM train)),
+seg AS (SELECT word, list_transform(string_split(trim(s), '  '), lambda x: x::BIGINT) AS ids FROM fin WHERE kind = 0)"""
+
+
+def _bpe_ids(docs: str) -> str:
+    """``enc(doc_id, ids)`` of ``docs(doc_id, text)``: every word replaced by its segmentation."""
+    return f"""dw AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i
+        FROM (SELECT doc_id, {_words('text')} AS w FROM ({docs}) d) x),
+di AS (SELECT doc_id, flatten(list(ids ORDER BY i)) AS ids FROM dw JOIN seg USING (word) GROUP BY doc_id),
+bpe AS (SELECT d.doc_id, coalesce(di.ids, []) AS ids FROM ({docs}) d LEFT JOIN di USING (doc_id))"""
+
+
 PAIRS_CTE = """c AS (
   SELECT conv_id, turn, role, text,
          lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nr,
@@ -151,12 +190,12 @@ def _bleu_stats_sql(pairs_sql: str) -> str:
     full = _bleu_sql(pairs_sql)
     head = full[:full.index("pn AS (")].rstrip().rstrip(",")
     return head + """
-SELECT pair_id::BIGINT AS pair_id, n::BIGINT AS n, num::BIGINT AS num, den::BIGINT AS den,
+SELECT pair_id[1]::BIGINT AS conv_id, pair_id[2]::BIGINT AS turn, n::BIGINT AS n, num::BIGINT AS num, den::BIGINT AS den,
        hyp_len::BIGINT AS hyp_len, ref_len::BIGINT AS ref_len FROM st"""
 
 
 _CONV_BP = PAIRS_CTE + f""",
-bp AS (SELECT conv_id * 1000000 + turn AS pair_id, {_words('source')} AS hyp, {_words('target')} AS ref FROM pairs)"""
+bp AS (SELECT (conv_id, turn) AS pair_id, {_words('source')} AS hyp, {_words('target')} AS ref FROM pairs)"""
 
 _DOC_BP = f"""dw AS (SELECT doc_id, {_words('text')} AS w FROM documents),
 bp AS (
@@ -211,6 +250,18 @@ WITH wc AS (SELECT word, count(*) AS n FROM (SELECT unnest({_words('text')}) AS
 ch AS (SELECT regexp_extract_all(word, '.') AS c, n FROM wc),
 pi AS (SELECT c, n, unnest(range(1, len(c))) AS i FROM ch)
 SELECT c[i] AS "left", c[i + 1] AS "right", sum(n)::BIGINT AS n FROM pi GROUP BY 1, 2"""
+    q["bpe_vocab"] = f"""WITH RECURSIVE {BPE_CTE}
+SELECT word AS token, n::BIGINT AS id,
+       CASE WHEN n < 7 THEN 'special' WHEN n < 7 + (SELECT count(*) FROM alpha) THEN 'alphabet' ELSE 'merge' END AS kind
+FROM fin WHERE kind = 1"""
+    q["bpe_encode"] = f"""WITH RECURSIVE {BPE_CTE}, {_bpe_ids('SELECT doc_id, text FROM documents')}
+SELECT doc_id, len(ids)::BIGINT AS n_ids, {_ints('ids')} AS ids_str FROM bpe"""
+    lm_docs = f"SELECT doc_id, regexp_replace(text, '{HEADING_RE}', '\\1\\2') AS text FROM documents WHERE text <> ''"
+    q["bpe_lm_batches"] = f"""WITH RECURSIVE {BPE_CTE}, {_bpe_ids(lm_docs)},
+enc AS (SELECT doc_id, list_concat([6], ids, [5])[1:{MAX_LENGTH}] AS ids FROM bpe),
+{LM_CTE[LM_CTE.index("idx AS ("):]}
+SELECT doc_id, batch_id::BIGINT AS batch_id, slot::BIGINT AS slot, {_ints('ids')} AS ids_str, {_ints('mask')} AS mask_str
+FROM pb"""
     q["encode_chars"] = f"WITH {LM_CTE} SELECT doc_id, len(ids)::BIGINT AS n_ids, {_ints('ids')} AS ids_str FROM enc"
     q["encode_unseen"] = f"""WITH {ALPHA_CTE},
 e AS (SELECT c.conv_id, c.turn, {_char_ids('c.text')} AS ids FROM conversations c, amap)
@@ -293,7 +344,7 @@ FROM b"""
           f"ELSE cos(pos / pow(10000.0, d / {float(D_MODEL)})) END")
     q["token_vectors"] = f"""WITH {LM_CTE},
 tk AS (SELECT doc_id, generate_subscripts(ids, 1) - 1 AS pos, unnest(ids) AS token_id FROM enc),
-j AS (SELECT tk.*, CAST(e.embedding AS DOUBLE[]) AS v FROM tk JOIN embeddings e ON e.vec_id = tk.token_id)
+j AS (SELECT tk.*, CAST(e.embedding AS DOUBLE[]) AS v FROM tk LEFT JOIN embeddings e ON e.vec_id = tk.token_id)
 SELECT doc_id, pos::BIGINT AS pos, token_id::BIGINT AS token_id,
        {_r(f"list_sum(list_transform(range({D_MODEL}), lambda d: v[d + 1] + {pe}))")} AS checksum FROM j"""
     q["token_losses"] = f"""WITH {SCORED_CTE}
@@ -316,7 +367,7 @@ e AS (
   FROM pairs p, amap
 ),
 bp AS (
-  SELECT conv_id * 1000000 + turn AS pair_id,
+  SELECT (conv_id, turn) AS pair_id,
          list_transform(list_filter(list_concat([3], s)[1:{MAX_LENGTH}], lambda x: x <> 5), lambda i: voc.v[i]) AS hyp,
          list_transform(list_filter(t, lambda x: x <> 5), lambda i: voc.v[i]) AS ref
   FROM e, voc

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiframe.functions.text import non_empty, strip_heading, words
-from lexiframe.operators.batches import assign_batches_counted, pad_batches, shift
+from lexiframe.operators.batches import assign_batches, pad_batches, shift
 from lexiframe.operators.bpe import BpeModel, encode, with_markers
 from lexiframe.operators.vocab import char_vocab
 
@@ -43,8 +43,7 @@ def lm_batches(seqs: DataFrame, model: BpeModel, key: str = "doc_id", batch_size
     The encoded rows (at most ``max_length`` ids each) are what the index
     shuffle moves; the text is not carried along.
     """
-    indexed, n = assign_batches_counted(seqs, key, batch_size, seed)
-    return pad_batches(indexed, ["ids"], model.token_to_id(pad), n_batches=n)
+    return pad_batches(assign_batches(seqs, key, batch_size, seed), ["ids"], model.token_to_id(pad))
 
 
 def lm_shifted(batches: DataFrame, ids: str = "ids", mask: str = "ids_attention_mask") -> DataFrame:
@@ -63,8 +62,8 @@ def mt_sequences(pairs: DataFrame, model: BpeModel, keys: tuple[str, ...] = ("co
 
 def mt_batches(seqs: DataFrame, model: BpeModel, keys: tuple[str, ...] = ("conv_id", "turn"),
                batch_size: int = 64, seed: int = 0, pad: str = "[PAD]") -> DataFrame:
-    indexed, n = assign_batches_counted(seqs, list(keys), batch_size, seed)
-    return pad_batches(indexed, ["source_ids", "target_ids"], model.token_to_id(pad), n_batches=n)
+    indexed = assign_batches(seqs, list(keys), batch_size, seed)
+    return pad_batches(indexed, ["source_ids", "target_ids"], model.token_to_id(pad))
 
 
 def scored_tokens(embeddings: DataFrame, batch_size: int = 64) -> DataFrame:
@@ -82,7 +81,7 @@ def scored_tokens(embeddings: DataFrame, batch_size: int = 64) -> DataFrame:
 def conversation_bleu_pairs(pairs: DataFrame) -> DataFrame:
     """Hypothesis = words of the user turn, one reference = words of the reply."""
     return pairs.select(
-        (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("pair_id"),
+        "conv_id", "turn",
         words(F.col("source")).alias("hyp"),
         F.array(words(F.col("target"))).alias("refs"),
     )
@@ -92,21 +91,19 @@ def document_bleu_pairs(texts: DataFrame, key: str = "doc_id", text: str = "text
     """Each document against the next one in key order (near copies exist among
     neighbours).
 
-    The word arrays are computed once (written to the checkpoint folder); only
-    the keys go through the distributed index (range partitions, light);
-    successor keys come from an equi-join on the rank and the word arrays are
+    Only the keys go through the distributed index (range partitions, light);
+    successor keys come from an equi-join on the rank and the texts are
     joined on by key.  No window over the whole table.
     """
     from lexiframe.operators.batches import global_index
-    from lexiframe.session import materialize
 
-    w = materialize(texts.select(key, words(F.col(text)).alias("w")), "doc-words")
-    idx = global_index(w.select(key), key, seed=None, out="_idx")
+    t = texts.select(key, text)
+    idx = global_index(t.select(key), key, seed=None, out="_idx")
     succ = idx.join(idx.select((F.col("_idx") - 1).alias("_idx"), F.col(key).alias("_next")), "_idx") \
               .select(key, "_next")
-    ref = w.select(F.col(key).alias("_next"), F.col("w").alias("ref"))
-    return (w.join(succ, key).join(ref, "_next")
-            .select(F.col(key).alias("pair_id"), F.col("w").alias("hyp"), F.array("ref").alias("refs")))
+    pairs = t.join(succ, key).join(t.select(F.col(key).alias("_next"), F.col(text).alias("_ref")), "_next")
+    return pairs.select(F.col(key).alias("pair_id"), words(F.col(text)).alias("hyp"),
+                        F.array(words(F.col("_ref"))).alias("refs"))
 
 
 def unigram_batch_scorer(labels: str = "labels", mask: str = "labels_mask"):

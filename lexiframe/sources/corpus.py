@@ -14,21 +14,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the rows over the default parallelism when the scan gives
-    fewer partitions (few large row groups).  Per-row text work is CPU bound;
-    on a cluster the scan already has many partitions and nothing changes."""
-    try:
-        par = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view of the plan: leave it
-        return df
-    return df.repartition(par) if parts < par else df
-
-
 def text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id long, text string)`` rows of the documents table."""
-    return spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return read_table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def paragraph_rows(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -44,19 +32,19 @@ def parallel_rows(spark: SparkSession, sf_dir: str,
     when that one is the assistant's (``lead`` over ``conv_id`` by ``turn``).
 
     ``translation`` is a struct with one field per side (pruned column-wise
-    by Parquet, unlike a map).  The successor comes from ``next_row``, which
-    splits a long conversation over many tasks instead of one window task.
+    by Parquet, unlike a map).  Only ids and roles go through the index that
+    finds the next turn (a long conversation is split over many tasks); the
+    two texts are then fetched by their unique ``(conv_id, turn)``.
     """
     from lexiframe.operators.batches import next_row
 
     conv = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    nxt = next_row(conv, "conv_id", "turn", ["role", "text"]).where(
-        (F.col("role") == "user") & (F.col("next_role") == "assistant"))
-    return nxt.select(
-        "conv_id",
-        "turn",
-        F.struct(F.col("text").alias(src_lang), F.col("next_text").alias(tgt_lang)).alias("translation"),
-    )
+    pairs = next_row(conv.drop("text"), "conv_id", "turn", ["role", "turn"]).where(
+        (F.col("role") == "user") & (F.col("next_role") == "assistant")).select("conv_id", "turn", "next_turn")
+    src = conv.select("conv_id", "turn", F.col("text").alias("_src"))
+    tgt = conv.select("conv_id", F.col("turn").alias("next_turn"), F.col("text").alias("_tgt"))
+    return pairs.join(src, ["conv_id", "turn"]).join(tgt, ["conv_id", "next_turn"]).select(
+        "conv_id", "turn", F.struct(F.col("_src").alias(src_lang), F.col("_tgt").alias(tgt_lang)).alias("translation"))
 
 
 def project_pair(rows: DataFrame, pair: str, source_lang: str | None = None,

@@ -61,17 +61,17 @@ def write_records(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
 
 
 def save_progress(spark: SparkSession, path: str, run_id: str, next_batch: int) -> None:
-    """Append a progress marker ``(run_id, next_batch)``."""
+    """Append a progress marker ``(run_id, next_batch)`` with the time it was made."""
     spark.createDataFrame([(run_id, int(next_batch))], "run_id string, next_batch long") \
-        .write.mode("append").parquet(path)
+        .withColumn("saved_at", F.current_timestamp()).write.mode("append").parquet(path)
 
 
 def load_progress(spark: SparkSession, path: str, run_id: str) -> int:
-    """Last stored position; 0 when there is none (an absent marker means start)."""
-    try:
-        df = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - nothing written yet
+    """The run's last stored position, even if it is lower than an earlier one; 0 when nothing was stored
+    (a path that does not exist).  Any other read error is raised."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
         return 0
-    row = df.where(F.col("run_id") == run_id).agg(
-        F.coalesce(F.max("next_batch"), F.lit(0)).alias("b")).first()
-    return int(row["b"])
+    row = (spark.read.parquet(path).where(F.col("run_id") == run_id)
+           .agg(F.max_by("next_batch", "saved_at").alias("b")).first())
+    return int(row["b"]) if row["b"] is not None else 0

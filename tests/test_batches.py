@@ -41,8 +41,7 @@ def test_padding_and_masks(spark):
     assert [r["ids_attention_mask"] for r in out] == [[1, 0, 0], [1, 1, 1]]
 
 
-def test_padding_window_fallback(spark, monkeypatch):
-    monkeypatch.setattr(B, "BROADCAST_BATCH_ROWS", 0)
+def test_padding_is_per_batch(spark):
     df = spark.createDataFrame([(0, 0, [7]), (0, 1, [7, 8, 9]), (1, 0, [4, 4])],
                                "batch_id long, slot int, ids array<int>")
     out = {(r["batch_id"], r["slot"]): r["ids"] for r in B.pad_batches(df, ["ids"], 1).collect()}
