@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from lexiframe.llm.common import texts_of
 
 ALPHA, SEED = 1.0, 11
-ARENA_EDGES = 3_000_000
+ARENA_EDGES = 6_000_000
 BLOCK_CHARS = 1 << 20
 _LONG_UNIT = 64
 SPACE_MARK = "▁"
@@ -44,6 +44,24 @@ def default_path() -> str:
     return P.path("piece_bpe_32k.model")
 
 
+def char_codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+
+
+def substring_hashes(codes: np.ndarray, length: int, shorter: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of all substrings of one length, by extending those of one less."""
+    with np.errstate(over="ignore"):
+        m = (codes + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        m = (m ^ (m >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        m ^= m >> np.uint64(32)
+        if shorter is not None:
+            return shorter[:len(codes) - length + 1] * np.uint64(0xD6E8FEB86659FD93) + m[length - 1:]
+        h = m
+        for n in range(2, length + 1):
+            h = h[:len(codes) - n + 1] * np.uint64(0xD6E8FEB86659FD93) + m[n - 1:]
+        return h
+
+
 class Vocabulary:
     """Surface strings, ids, log probabilities and byte pieces of a SentencePiece model file."""
 
@@ -76,6 +94,13 @@ class Vocabulary:
             raise ValueError("a piece runs from a non-space into a space")
         line = "" if any("\n" in s for s in self.piece) else r"\n"
         self.units = re.compile(rf" *[^ {line}]+| +" + (r"|\n+" if line else ""))
+        by_length: dict[int, list] = {}
+        for text, (i, lp) in self.piece.items():
+            by_length.setdefault(len(text), []).append((int(substring_hashes(char_codes(text), len(text))[0]), i, lp))
+        self.tables = {}  # length -> sorted hashes, ids, log probabilities
+        for n, rows in by_length.items():
+            h, i, lp = zip(*sorted(rows))
+            self.tables[n] = (np.array(h, dtype=np.uint64), np.array(i, dtype=np.int64), np.array(lp))
         self.pairs = {s[i:i + 2] for s in self.piece for i in range(len(s) - 1)}
 
     def split(self, text: str) -> list[str]:
@@ -112,56 +137,69 @@ class Sampler:
         self.nodes = 0
 
     def _add(self, units: list[str]) -> None:
-        """Forward filtering of new units."""
-        from math import exp, log
-
-        cum, prev, ids, first = [], [], [], []
-        base, n_edges, longest = self.nodes, len(self.cum), self.vocab.longest
-        piece, alpha, byte_id, byte_lp = self.vocab.piece, self.alpha, self.vocab.byte_id, self.vocab.byte_logp
-        node = base
-        for u in units:
-            start = node
-            at = [start]  # node of each character position
-            weight = [0.0]  # log of the summed weight of all paths to it, relative to the best
-            first.append(n_edges + len(cum))
-            node += 1
-            for e in range(1, len(u) + 1):
-                edges = []
-                for s in range(max(0, e - longest), e):
-                    got = piece.get(u[s:e])
-                    if got is not None:
-                        edges.append((weight[s] + alpha * got[1], at[s], got[0]))
-                if u[e - 1] not in piece:  # spelled in bytes, one node a byte
-                    data = u[e - 1].encode("utf-8", "surrogatepass")
-                    p, w = at[e - 1], weight[e - 1] + alpha * byte_lp * len(data)
-                    for x in data[:-1]:
-                        first.append(n_edges + len(cum))
-                        cum.append(node + 1.0)
-                        prev.append(p)
-                        ids.append(byte_id[x])
-                        p = node
-                        node += 1
-                    edges.append((w, p, byte_id[data[-1]]))
-                top = max(x[0] for x in edges)
-                shares = [exp(x[0] - top) for x in edges]
-                total = sum(shares)
-                weight.append(top + log(total))
-                at.append(node)
-                first.append(n_edges + len(cum))
-                run = 0.0
-                for (_, p, i), share in zip(edges, shares):
-                    run += share / total
-                    cum.append(node + run)
-                    prev.append(p)
-                    ids.append(i)
-                cum[-1] = node + 1.0
-                node += 1
-            self.place[u] = (start, at[-1])
-        self.nodes = node
-        self.cum = np.concatenate([self.cum, cum])
-        self.prev = np.concatenate([self.prev, np.array(prev, dtype=np.int64)])
-        self.ids = np.concatenate([self.ids, np.array(ids, dtype=np.int32)])
-        self.first = np.concatenate([self.first, np.array(first, dtype=np.int64)])
+        """Forward filtering of new units, all at once.  A unit of ``n`` characters has ``n + 1`` nodes.  An edge
+        with a negative id spells a character without a piece in bytes."""
+        vocab, base, n_edges = self.vocab, self.nodes, len(self.cum)
+        codes = char_codes("".join(units))
+        lens = np.array([len(u) for u in units], dtype=np.int64)
+        unit = np.repeat(np.arange(len(units)), lens)
+        first_node = np.cumsum(lens) - lens + np.arange(len(units))
+        start, end, ids, logp = [], [], [], []
+        h = None
+        for k in range(1, min(vocab.longest, int(lens.max())) + 1):
+            h = substring_hashes(codes, k, h)
+            at = np.flatnonzero(unit[:len(h)] == unit[k - 1:])
+            if k in vocab.tables:
+                names, of, lp = vocab.tables[k]
+                pos = np.minimum(np.searchsorted(names, h[at]), len(names) - 1)
+                hit = names[pos] == h[at]
+                i = at[hit]
+                start.append(i + unit[i])
+                end.append(i + unit[i] + k)
+                ids.append(of[pos[hit]])
+                logp.append(lp[pos[hit]])
+            else:
+                hit = np.zeros(len(at), dtype=bool)
+            if k == 1 and not hit.all():
+                i = at[~hit]
+                c = codes[i].astype(np.int64)
+                start.append(i + unit[i])
+                end.append(i + unit[i] + 1)
+                ids.append(-c - 1)
+                logp.append(vocab.byte_logp * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)))
+        start, end, ids, logp = map(np.concatenate, (start, end, ids, logp))
+        order = np.lexsort((start, end))
+        start, end, ids, logp = start[order], end[order], ids[order], logp[order] * self.alpha
+        total = int(lens.sum()) + len(units)
+        node_unit = np.repeat(np.arange(len(units)), lens + 1)
+        depth = end - first_node[node_unit[end]]
+        weight = np.zeros(total)  # log of the summed weight of all paths to a node
+        within = np.empty(len(end))
+        by_depth = np.argsort(depth, kind="stable")
+        cut = np.searchsorted(depth[by_depth], np.arange(1, int(lens.max()) + 2))
+        for lo, hi in zip(cut, cut[1:]):
+            at = by_depth[lo:hi]
+            if not len(at):
+                continue
+            node = end[at]
+            seg = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+            size = np.diff(np.r_[seg, len(at)])
+            value = weight[start[at]] + logp[at]
+            top = np.maximum.reduceat(value, seg)
+            share = np.exp(value - np.repeat(top, size))
+            mass = np.add.reduceat(share, seg)
+            weight[node[seg]] = top + np.log(mass)
+            run = np.cumsum(share / np.repeat(mass, size))
+            run -= np.repeat(run[seg] - share[seg] / mass, size)
+            run[np.r_[seg[1:], len(at)] - 1] = 1.0
+            within[at] = run
+        starts, ends = (base + first_node).tolist(), (base + first_node + lens).tolist()
+        self.place.update(zip(units, zip(starts, ends)))
+        self.nodes = base + total
+        self.cum = np.concatenate([self.cum, base + end + within])
+        self.prev = np.concatenate([self.prev, base + start])
+        self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+        self.first = np.concatenate([self.first, n_edges + np.searchsorted(end, np.arange(total))])
 
     def sample(self, texts: list[str], keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts and the number of ids of each."""
@@ -211,7 +249,21 @@ class Sampler:
         out = np.empty(int(n_ids.sum()), dtype=np.int32)
         for k, (at, ids) in enumerate(steps):  # the first draw is the unit's last piece
             out[offset[at] + n_ids[at] - 1 - k] = ids
-        np.add.at(counts, row, n_ids)
+        owner = np.repeat(row, n_ids)
+        size = np.ones(len(out), dtype=np.int64)
+        spelled = np.flatnonzero(out < 0)
+        if len(spelled):
+            chars, which = np.unique(out[spelled], return_inverse=True)
+            data = [chr(-c - 1).encode("utf-8", "surrogatepass") for c in chars.tolist()]
+            size[spelled] = np.array([len(d) for d in data])[which]
+            to = np.cumsum(size) - size
+            flat_ids = np.repeat(out, size)
+            for j, d in enumerate(data):
+                places = to[spelled[which == j]]
+                for k, byte in enumerate(d):
+                    flat_ids[places + k] = self.vocab.byte_id[byte]
+            out = flat_ids
+        counts += np.bincount(owner, weights=size, minlength=len(texts)).astype(np.int64)
         return out, counts
 
 
