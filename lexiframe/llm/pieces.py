@@ -224,7 +224,7 @@ class Sampler:
         unit_no = np.arange(len(flat)) - np.repeat(np.cumsum(n_units) - n_units, n_units)
         with np.errstate(over="ignore"):
             state = row_hash[row] ^ (unit_no.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        live = np.arange(len(flat))
+        live = np.argsort(cur, kind="stable")  # neighbours in the arena are searched together
         steps: list[tuple[np.ndarray, np.ndarray]] = []
         step = 0
         while len(live):
