@@ -106,7 +106,7 @@ class Vocabulary:
     def split(self, text: str) -> list[str]:
         """Units of a text; no piece crosses their borders."""
         out = self.units.findall(text)
-        if any(len(u) > _LONG_UNIT for u in out):
+        if max(map(len, out), default=0) > _LONG_UNIT:
             parts = []
             for u in out:
                 if len(u) <= _LONG_UNIT:
@@ -131,7 +131,8 @@ class Sampler:
         self._reset()
 
     def _reset(self):
-        self.place: dict[str, tuple[int, int]] = {}  # unit -> (start node, end node)
+        self.place: dict[str, int] = {}  # unit -> its number
+        self.starts, self.ends = np.zeros(0, np.int64), np.zeros(0, np.int64)  # nodes of each unit
         self.cum, self.prev, self.ids = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.first = np.zeros(0, np.int64)  # of each node's edges
         self.nodes = 0
@@ -193,8 +194,9 @@ class Sampler:
             run -= np.repeat(run[seg] - share[seg] / mass, size)
             run[np.r_[seg[1:], len(at)] - 1] = 1.0
             within[at] = run
-        starts, ends = (base + first_node).tolist(), (base + first_node + lens).tolist()
-        self.place.update(zip(units, zip(starts, ends)))
+        self.place.update(zip(units, range(len(self.starts), len(self.starts) + len(units))))
+        self.starts = np.concatenate([self.starts, base + first_node])
+        self.ends = np.concatenate([self.ends, base + first_node + lens])
         self.nodes = base + total
         self.cum = np.concatenate([self.cum, base + end + within])
         self.prev = np.concatenate([self.prev, base + start])
@@ -216,8 +218,8 @@ class Sampler:
             new = list(dict.fromkeys(flat))
         if new:
             self._add(new)
-        ends = np.array([self.place[u] for u in flat], dtype=np.int64)
-        start, cur = ends[:, 0], ends[:, 1]
+        unit = np.fromiter(map(self.place.__getitem__, flat), dtype=np.int64, count=len(flat))
+        start, cur = self.starts[unit], self.ends[unit]
         n_units = np.array([len(us) for us in per_text], dtype=np.int64)
         row = np.repeat(np.arange(len(texts)), n_units)
         row_hash = np.array([xxhash.xxh64_intdigest(k, self.seed) for k in keys], dtype=np.uint64)
