@@ -35,6 +35,7 @@ ALPHA, SEED = 1.0, 11
 ARENA_EDGES = 6_000_000
 BLOCK_CHARS = 1 << 20
 _LONG_UNIT = 64
+_FILTER_BITS = 17
 SPACE_MARK = "▁"
 
 
@@ -98,9 +99,12 @@ class Vocabulary:
         for text, (i, lp) in self.piece.items():
             by_length.setdefault(len(text), []).append((int(substring_hashes(char_codes(text), len(text))[0]), i, lp))
         self.tables = {}  # length -> sorted hashes, ids, log probabilities
+        self.maybe = {}  # length -> which leading bits of a hash occur, to skip most searches
         for n, rows in by_length.items():
             h, i, lp = zip(*sorted(rows))
             self.tables[n] = (np.array(h, dtype=np.uint64), np.array(i, dtype=np.int64), np.array(lp))
+            self.maybe[n] = np.zeros(1 << _FILTER_BITS, dtype=bool)
+            self.maybe[n][self.tables[n][0] >> np.uint64(64 - _FILTER_BITS)] = True
         self.pairs = {s[i:i + 2] for s in self.piece for i in range(len(s) - 1)}
 
     def split(self, text: str) -> list[str]:
@@ -149,7 +153,10 @@ class Sampler:
         h = None
         for k in range(1, min(vocab.longest, int(lens.max())) + 1):
             h = substring_hashes(codes, k, h)
-            at = np.flatnonzero(unit[:len(h)] == unit[k - 1:])
+            inside = unit[:len(h)] == unit[k - 1:]
+            if k > 1 and k in vocab.tables:
+                inside &= vocab.maybe[k][h >> np.uint64(64 - _FILTER_BITS)]
+            at = np.flatnonzero(inside)
             if k in vocab.tables:
                 names, of, lp = vocab.tables[k]
                 pos = np.minimum(np.searchsorted(names, h[at]), len(names) - 1)
