@@ -108,15 +108,16 @@ class Graph:
         between = -(x @ x.T)
         taken: list[int] = []
         near = np.full(len(nodes), np.inf)
-        for i in np.argsort(dist, kind="stable").tolist():
+        by_dist = np.argsort(dist, kind="stable").tolist()
+        for i in by_dist:
             if near[i] > dist[i]:
                 taken.append(i)
                 if len(taken) == most:
                     break
                 near = np.minimum(near, between[i])
         if len(taken) < most:
-            rest = [i for i in np.argsort(dist, kind="stable").tolist() if i not in set(taken)]
-            taken += rest[:most - len(taken)]
+            have = set(taken)
+            taken += [i for i in by_dist if i not in have][:most - len(taken)]
         return nodes[taken]
 
     def _insert(self, v: int, level: int, ef: int) -> None:
@@ -137,7 +138,8 @@ class Graph:
                     row[free[0]] = v
                 else:
                     every = np.append(row[:most], np.int32(v))
-                    kept = self._pick(every, self._dist(self.x[w], every), most)
+                    # some places are left free, so that not every later link picks anew
+                    kept = self._pick(every, self._dist(self.x[w], every), most - most // 8)
                     row[:] = -1
                     row[:len(kept)] = kept
         if level > self.top:
