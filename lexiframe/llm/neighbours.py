@@ -177,23 +177,39 @@ def build_index(vectors: DataFrame, n_shards: int, k: int = K, degree: int = DEG
     rows = (vectors.withColumn("_r", F.dense_rank().over(w)).where(F.col("_r") <= k + 1).drop("_r")
             .withColumn("shard", F.pmod(F.xxhash64("vec"), F.lit(n_shards)).cast("int")))
 
-    def build(t: pa.Table) -> pa.Table:
-        x = np.array(t.column("vec").to_pylist(), dtype=np.float64)
-        ids = t.column("id").to_numpy()
+    names = [c.split()[0] for c in _INDEX.split(", ")]
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary(),
+             pa.binary()]
+
+    def graph_row(dim: int, shard: int, x: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
         uniq, inverse = np.unique(x, axis=0, return_inverse=True)
         pairs = np.unique(np.stack([inverse.ravel(), ids], axis=1), axis=0)
         member_first = np.searchsorted(pairs[:, 0], np.arange(len(uniq) + 1))
-        # inserted in a shuffled order that the vectors alone decide
         g = Graph.build(augment(uniq), degree, ef)
-        row = [t.column("dim")[0].as_py(), t.column("shard")[0].as_py(), uniq.tobytes(), g.links.tobytes(),
-               g.first.astype(np.int64).tobytes(), g.entry, g.top, pairs[:, 1].astype(np.int64).tobytes(),
-               member_first.astype(np.int64).tobytes()]
-        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary(),
-                 pa.binary()]
-        names = [c.split()[0] for c in _INDEX.split(", ")]
-        return pa.table([pa.array([v], kind) for v, kind in zip(row, kinds)], names=names)
+        row = [dim, shard, uniq.tobytes(), g.links.tobytes(), g.first.astype(np.int64).tobytes(), g.entry, g.top,
+               pairs[:, 1].astype(np.int64).tobytes(), member_first.astype(np.int64).tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row, kinds)], names=names)
 
-    return rows.groupBy("dim", "shard").applyInArrow(build, _INDEX)
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a partition is one shard, so this holds the vectors of one graph
+        parts: dict[tuple[int, int], list] = {}
+        for b in batches:
+            dims, shards = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("dim", "shard"))
+            ids = b.column(b.schema.get_field_index("id")).to_numpy()
+            vec = b.column(b.schema.get_field_index("vec"))
+            ends = np.concatenate([[0], np.cumsum(dims)])
+            flat = vec.flatten().to_numpy(zero_copy_only=False)
+            for dim in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == dim)
+                x = flat[ends[at][:, None] + np.arange(dim)]
+                for shard in np.unique(shards[at]).tolist():
+                    mine = shards[at] == shard
+                    parts.setdefault((dim, shard), []).append((x[mine], ids[at][mine]))
+        for (dim, shard), got in sorted(parts.items()):
+            yield graph_row(dim, shard, np.concatenate([x for x, _ in got]), np.concatenate([i for _, i in got]))
+
+    # one shard to a partition: hashing would put several graphs into one task
+    return rows.repartitionById(n_shards, F.col("shard")).mapInArrow(build, _INDEX)
 
 
 def search(index: DataFrame, queries: DataFrame, n_shards: int, k: int = K, degree: int = DEGREE,
@@ -206,7 +222,8 @@ def search(index: DataFrame, queries: DataFrame, n_shards: int, k: int = K, degr
     held = index.select(*blank, F.lit(None).cast("long").alias("qid"), F.lit(None).cast("array<double>").alias("qvec"),
                         F.lit(0).alias("kind"))
     # a shard's index row comes before its queries
-    stream = held.unionByName(asked).repartition("dim", "shard").sortWithinPartitions("dim", "shard", "kind")
+    stream = (held.unionByName(asked).repartitionById(n_shards, F.col("shard"))
+              .sortWithinPartitions("dim", "shard", "kind"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, g, x, members, member_first = None, None, None, None, None
