@@ -135,3 +135,43 @@ def words(text: Column) -> Column:
     """Normalised pre-tokens of a text (what vocabulary training counts)."""
     return pretokenize(normalize(text))
 
+
+
+#: Pre-token pattern of byte-level vocabularies (fixed value; must equal the vocabulary's own).
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_alphabet() -> list[str]:
+    """The character that stands for each byte: visible Latin-1 characters for themselves, the others for
+    U+0100 onwards in byte order."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in visible]
+    return [chr(b) if b in visible else chr(0x100 + others.index(b)) for b in range(256)]
+
+
+def byte_chars(text: Column) -> Column:
+    """A text with each of its UTF-8 bytes written as the character that stands for it (JVM only)."""
+    moved = [(chr(b), c) for b, c in enumerate(byte_alphabet()) if chr(b) != c]
+    # Java's translate cannot hold U+0000 in a table, so that byte goes first
+    latin = F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+    return F.translate(F.replace(latin, F.lit("\0"), F.lit(moved[0][1])), "".join(b for b, _ in moved[1:]),
+                       "".join(c for _, c in moved[1:]))
+
+
+def byte_pretokens(text: Column, specials: list[str]) -> Column:
+    """array<string>: pre-tokens of the unchanged text (case and spaces kept) in byte characters; a special string
+    is a token of its own, as its sentinel."""
+    import re
+
+    # (?U) for Unicode white space in \s; \p{L} and \p{N} are Unicode in either case
+    named = "|".join(re.sub(r"([^\w])", r"\\\1", s) for s in specials)
+    # an alternative before the others would not stop a run from swallowing a special, so the text is split first
+    parts = F.split(text, f"(?={named})|(?<={named})") if specials else F.array(text)
+
+    def tokens(part: Column) -> Column:
+        out = F.transform(F.regexp_extract_all(part, F.lit("(?U)" + BYTE_LEVEL_PATTERN), 0), byte_chars)
+        for i, s in enumerate(specials):
+            out = F.when(part == F.lit(s), F.array(F.lit(sentinel_for(i)))).otherwise(out)
+        return out
+
+    return F.flatten(F.transform(parts, tokens))

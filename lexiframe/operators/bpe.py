@@ -19,6 +19,7 @@ break that bound and are taken alone.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexiframe.functions.rows import explode_rows
-from lexiframe.functions.text import SPECIAL_TOKENS, normalize, pretokenize_keep_specials, \
-    protect_specials, sentinel_for, unescape
+from lexiframe.functions.text import SPECIAL_TOKENS, byte_alphabet, byte_pretokens, normalize, \
+    pretokenize_keep_specials, protect_specials, sentinel_for, unescape
 from lexiframe.operators.vocab import MERGES_SCHEMA, VOCAB_SCHEMA, alphabet, chars, word_counts
 from lexiframe.session import checkpoint_dir, materialize
 
@@ -369,3 +370,34 @@ def add_pad_token(model: BpeModel, pad_token: str = "[PAD]") -> BpeModel:
         return model
     return BpeModel(model.tokens + [pad_token], model.kinds + ["special"], list(model.merges),
                     model.specials + [pad_token], model.unk_token)
+
+
+# ---------------------------------------------------------------------------
+# Byte-level vocabularies
+# ---------------------------------------------------------------------------
+
+def byte_model(marker: str = "<|endoftext|>") -> BpeModel:
+    """The byte alphabet alone: the marker is id 0, byte ``b`` is id ``b + 1``."""
+    return BpeModel([marker, *byte_alphabet()], ["special"] + ["alphabet"] * 256, [], [marker], marker)
+
+
+def load_byte_model(spark: SparkSession, path: str, marker: str = "<|endoftext|>") -> BpeModel:
+    """A supplied byte-level vocabulary from a tokenizer JSON file (its size bounds what is read)."""
+    file = json.loads(spark.read.text(path, wholetext=True).first()[0])
+    model = file["model"]
+    ids = model["vocab"] | {t["content"]: t["id"] for t in file.get("added_tokens", [])}
+    tokens = sorted(ids, key=ids.get)
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    merges = [(ids[a], ids[b], ids[a + b]) for a, b in pairs]
+    return BpeModel(tokens, ["special" if t == marker else "alphabet" if len(t) == 1 else "merge" for t in tokens],
+                    merges, [marker], marker)
+
+
+def encode_byte_level(text: Column, model: BpeModel, max_ids: int | None = None) -> Column:
+    """Text -> ids by a byte-level vocabulary: no normalising, byte-level pre-tokens (JVM), then the per-word
+    step of ``encode``.  ``max_ids`` as there."""
+    toks = byte_pretokens(text, model.specials)
+    if max_ids is not None:
+        toks = F.slice(toks, 1, max_ids)
+    out = encode_words_udf(model)(toks)
+    return F.slice(out, 1, max_ids) if max_ids is not None else out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiframe.functions.scores import as_double_array, cross_entropy
@@ -40,27 +40,34 @@ def evaluation_loss(batches: DataFrame) -> DataFrame:
     ).withColumn("perplexity", F.exp("eval_loss"))
 
 
-def history(train_batches: DataFrame, val_loss: float | None, eval_steps: int, batch_size: int,
-            epoch: int = 0) -> DataFrame:
+def history(train_batches: DataFrame, val_loss, eval_steps: int, batch_size: int, epoch: int = 0) -> DataFrame:
     """One row per evaluated batch: ``(epoch, step, loss, val_loss)``.
 
-    ``val_loss`` is the evaluation loss at that point (a scalar).
+    ``val_loss`` is the evaluation loss at that point: a number, or a column such as a scalar subquery
+    (``evaluation_loss(...).select("eval_loss").scalar()``), which stays inside the plan.
     """
     from lexiframe.operators.batches import cadence
 
     at = cadence(train_batches, eval_steps, batch_size)
+    val = val_loss if isinstance(val_loss, Column) else F.lit(val_loss)
     return at.select(F.lit(epoch).alias("epoch"), "step", F.col("batch_loss").alias("loss"),
-                     F.lit(val_loss).cast("double").alias("val_loss"))
-
-
-def results(hist: DataFrame, test_loss: DataFrame) -> DataFrame:
-    """Test loss and the last history row's validation loss, in one aggregation
-    over the union of both inputs (no join)."""
-    h = hist.select("step", "val_loss", F.lit(None).cast("double").alias("test_loss"))
-    t = test_loss.select(F.lit(None).cast("long").alias("step"), F.lit(None).cast("double").alias("val_loss"),
-                         F.col("eval_loss").alias("test_loss"))
-    return h.unionByName(t).agg(F.max_by("val_loss", "step").alias("val_loss"),
-                                F.max("test_loss").alias("test_loss"))
+                     val.cast("double").alias("val_loss"))
+
+
+def results(hist: DataFrame, test_loss: DataFrame, test_bleu: DataFrame | None = None) -> DataFrame:
+    """Test loss and the last history row's validation loss, and ``test_bleu`` when given (a frame with
+    ``bleu``), in one aggregation over the union of the inputs (no join)."""
+    none = F.lit(None).cast("double")
+    rows = hist.select("step", "val_loss", none.alias("test_loss"), none.alias("test_bleu"))
+    step = F.lit(None).cast("long").alias("step")
+    rows = rows.unionByName(test_loss.select(step, none.alias("val_loss"), F.col("eval_loss").alias("test_loss"),
+                                             none.alias("test_bleu")))
+    fields = [F.max_by("val_loss", "step").alias("val_loss"), F.max("test_loss").alias("test_loss")]
+    if test_bleu is not None:
+        rows = rows.unionByName(test_bleu.select(step, none.alias("val_loss"), none.alias("test_loss"),
+                                                 F.col("bleu").alias("test_bleu")))
+        fields.append(F.max("test_bleu").alias("test_bleu"))
+    return rows.agg(*fields)
 
 
 def score_batches(batches: DataFrame, scorer, schema: str, batch: str = "batch_id") -> DataFrame:

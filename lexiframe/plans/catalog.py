@@ -13,13 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiframe.functions.rows import posexplode_rows
-from lexiframe.functions.text import SPECIAL_TOKENS, non_empty, normalize, pretokenize, strip_heading
+from lexiframe.functions.text import SPECIAL_TOKENS, non_blank, non_empty, normalize, pretokenize, strip_heading
 from lexiframe.operators import batches as B
 from lexiframe.operators import metrics as M
 from lexiframe.operators.bleu import corpus_bleu, pair_up, sentence_stats
-from lexiframe.operators.bpe import encode, train_bpe
+from lexiframe.operators.bpe import BpeModel, add_pad_token, byte_model, encode, train_bpe
 from lexiframe.operators.vectors import lookup_vectors, with_positions
-from lexiframe.operators.vocab import char_vocab, ids_to_tokens_col, string_pair_counts, word_counts
+from lexiframe.operators.vocab import char_vocab, ids_to_tokens_col, string_pair_counts, token_ids, word_counts
 from lexiframe.plans import prep
 from lexiframe.session import scratch_path, table_path
 from lexiframe.sources import corpus as C
@@ -33,6 +33,7 @@ EVAL_STEPS = 256
 RESUME_AT = 2
 SMOOTHING = 0.1
 SPLIT_FRACTIONS = (0.9, 0.05)
+EVAL_FRACTIONS = (0.6, 0.2)
 BPE_VOCAB_SIZE = 200
 D_MODEL = 64
 
@@ -393,7 +394,7 @@ def q_eval_loss(spark, sf):
 
 
 def _history(spark, sf):
-    val = M.evaluation_loss(_batch_losses(spark, sf)).first()["eval_loss"]
+    val = M.evaluation_loss(_batch_losses(spark, sf)).select("eval_loss").scalar()
     return M.history(_batch_losses(spark, sf, SMOOTHING), val, EVAL_STEPS, BATCH_SIZE)
 
 
@@ -451,6 +452,116 @@ def q_stream_prepared(spark, sf):
     return r.select("doc_id", "n_words", F.char_length("norm_text").cast("long").alias("norm_chars"))
 
 
+# ------------------------------------------- round trips, splits and edge rows
+
+def q_web_byte_batches(spark, sf):
+    """Web-text flow over bytes: marker-wrapped texts as they stand, by the byte alphabet plus an added pad token."""
+    train = C.select_split(C.assign_split(_docs(spark, sf), "doc_id", SEED, SPLIT_FRACTIONS), "train")
+    model = add_pad_token(byte_model())
+    seqs = prep.web_sequences(train, model, max_length=MAX_LENGTH, byte_level=True)
+    b = prep.lm_batches(seqs, model, batch_size=BATCH_SIZE, seed=SEED)
+    return b.select("doc_id", "batch_id", F.col("slot").cast("long").alias("slot"),
+                    _join_ints(F.col("ids")).alias("ids_str"),
+                    _join_ints(F.col("ids_attention_mask")).alias("mask_str"))
+
+
+def _split_losses(spark, sf, split, smoothing=0.0):
+    rows = C.select_split(C.assign_split(C.read_table(spark, sf, "embeddings"), "vec_id", SEED, EVAL_FRACTIONS), split)
+    return M.batch_losses(M.token_losses(prep.scored_tokens(rows, BATCH_SIZE), smoothing=smoothing))
+
+
+def _split_history(spark, sf):
+    val = M.evaluation_loss(_split_losses(spark, sf, "validation")).select("eval_loss").scalar()
+    return M.history(_split_losses(spark, sf, "train", SMOOTHING), val, EVAL_STEPS, BATCH_SIZE)
+
+
+def q_split_results(spark, sf):
+    """Training history on the train split, validation and test losses on their own splits, and test BLEU."""
+    pairs = prep.conversation_bleu_pairs(C.project_pair(C.parallel_rows(spark, sf), "user-assistant"))
+    r = M.results(_split_history(spark, sf), M.evaluation_loss(_split_losses(spark, sf, "test")),
+                  corpus_bleu(pairs, ("conv_id", "turn")))
+    return r.select(*[_r(F.col(c)).alias(c) for c in ("val_loss", "test_loss", "test_bleu")])
+
+
+def q_history_records(spark, sf):
+    """The split-wise history written as JSON records and read back."""
+    path = scratch_path(spark, "history")
+    S.write_records(_split_history(spark, sf), path)
+    h = spark.read.schema("epoch long, step long, loss double, val_loss double").json(path)
+    return h.select("epoch", "step", _r(F.col("loss")).alias("loss"), _r(F.col("val_loss")).alias("val_loss"))
+
+
+def q_resume_marker(spark, sf):
+    """Batches left after a stored progress marker; the marker stored last counts, though it is lower."""
+    path = scratch_path(spark, "progress")
+    for at in (RESUME_AT + 2, RESUME_AT + 1):
+        S.save_progress(spark, path, "run", at)
+    S.save_progress(spark, path, "other run", 0)
+    b = B.assign_batches(_docs(spark, sf).select("doc_id"), "doc_id", BATCH_SIZE, SEED)
+    per = b.groupBy("batch_id").agg(F.count(F.lit(1)).cast("long").alias("n_rows"))
+    return B.resume_from(per, S.load_progress(spark, path, "run"))
+
+
+def q_encode_loaded(spark, sf):
+    """Conversation texts encoded with a vocabulary that was saved and loaded again."""
+    path = scratch_path(spark, "tokenizer")
+    model = _char(spark, sf)
+    S.save_tokenizer(model.vocab_frame(spark), model.merges_frame(spark), path)
+    loaded = BpeModel.from_frames(*S.load_tokenizer(spark, path))
+    conv = C.read_table(spark, sf, "conversations")
+    return conv.select("conv_id", "turn", _join_ints(encode(F.col("text"), loaded)).alias("ids_str"))
+
+
+def q_word_counts_of_files(spark, sf):
+    """Word counts (the trainer's input) over several exported line files; an existing target is left as it is."""
+    paths = []
+    docs = C.assign_split(_docs(spark, sf), "doc_id", SEED, SPLIT_FRACTIONS)
+    for split in C.SPLITS:
+        path = scratch_path(spark, f"lines-{split}")
+        for rows in (C.select_split(docs, split), docs):
+            paths.append(S.export_text_rows(rows, path))
+    lines = C.read_lines(spark, sorted(set(paths)))
+    return word_counts(lines, "value").select("word", F.col("n").cast("long").alias("n"))
+
+
+def q_stream_encoded(spark, sf):
+    """Non-blank texts encoded on a stream (``availableNow``) with the character vocabulary."""
+    from lexiframe.streaming.incremental import run_incremental
+
+    model = _char(spark, sf)
+    out, ck = scratch_path(spark, "stream-ids"), scratch_path(spark, "stream-ids-ckpt")
+    run_incremental(spark, table_path(sf, "documents").replace(".parquet", "*.parquet"),
+                    "doc_id long, text string", out, ck,
+                    lambda d: d.where(non_blank(F.col("text"))).select("doc_id", encode(F.col("text"), model).alias("ids")))
+    return spark.read.parquet(out).select("doc_id", F.size("ids").cast("long").alias("n_ids"),
+                                          _join_ints(F.col("ids")).alias("ids_str"))
+
+
+def q_specials_in_text(spark, sf):
+    """Special strings inside a text stay single ids; in other case they are ordinary characters."""
+    text = F.concat(F.lit("[SEP]"), F.col("text"), F.lit("[MASK] [mask][EOS][PAD]"))
+    ids = encode(text, _char(spark, sf))
+    return _docs(spark, sf).select("doc_id", ids.alias("ids")).select(
+        "doc_id", F.size("ids").cast("long").alias("n_ids"), _join_ints(F.col("ids")).alias("ids_str"))
+
+
+def q_word_token_ids(spark, sf):
+    """Tokens -> ids against the vocabulary: words of one character have an id of their own, others that of [UNK]."""
+    words = word_counts(_docs(spark, sf)).select(F.col("word").alias("token"))
+    vocab = _char(spark, sf).vocab_frame(spark)
+    return token_ids(words, vocab, unk_id=0).select("token", F.col("id").cast("long").alias("id"))
+
+
+def q_edge_texts(spark, sf):
+    """The row predicates and the heading clean-up on empty, blank and headed rows made from the texts."""
+    kind = F.col("doc_id") % 4
+    text = (F.when(kind == 0, F.lit("")).when(kind == 1, F.lit(" \t\n\u00a0\u2003"))
+            .when(kind == 2, F.concat(F.lit(" = = Title = =\n"), F.col("text"))).otherwise(F.col("text")))
+    d = _docs(spark, sf).select("doc_id", text.alias("text"))
+    return d.select("doc_id", non_blank(F.col("text")).cast("long").alias("is_text"),
+                    non_empty(F.col("text")).cast("long").alias("is_filled"), strip_heading(F.col("text")).alias("text"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "word_counts": q_word_counts,
@@ -497,4 +608,14 @@ def queries() -> dict[str, Query]:
         "bleu_documents": q_bleu_documents,
         "bleu_identity": q_bleu_identity,
         "stream_prepared": q_stream_prepared,
+        "web_byte_batches": q_web_byte_batches,
+        "split_results": q_split_results,
+        "history_records": q_history_records,
+        "resume_marker": q_resume_marker,
+        "encode_loaded": q_encode_loaded,
+        "word_counts_of_files": q_word_counts_of_files,
+        "stream_encoded": q_stream_encoded,
+        "specials_in_text": q_specials_in_text,
+        "word_token_ids": q_word_token_ids,
+        "edge_texts": q_edge_texts,
     }

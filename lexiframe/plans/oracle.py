@@ -7,8 +7,8 @@ form of NFD -> lowercase -> strip marks.
 
 from __future__ import annotations
 
-from lexiframe.plans.catalog import BATCH_SIZE, BPE_VOCAB_SIZE, D_MODEL, EVAL_STEPS, MAX_LENGTH, RESUME_AT, SEED, \
-    SMOOTHING, SPLIT_FRACTIONS
+from lexiframe.plans.catalog import BATCH_SIZE, BPE_VOCAB_SIZE, D_MODEL, EVAL_FRACTIONS, EVAL_STEPS, MAX_LENGTH, \
+    RESUME_AT, SEED, SMOOTHING, SPLIT_FRACTIONS
 from lexiframe.sources.corpus import _hex_threshold
 
 _WORD_CHARS = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200C}\x{200D}"
@@ -28,9 +28,9 @@ def _words(expr: str) -> str:
     return f"regexp_extract_all({NORM.format(expr)}, '{WORDS_RE}')"
 
 
-def _split_case(key: str) -> str:
+def _split_case(key: str, t1: str = T1, t2: str = T2) -> str:
     h = f"substr(md5('{SEED}:' || {key}::VARCHAR), 1, 4)"
-    return f"CASE WHEN {h} < '{T1}' THEN 'train' WHEN {h} < '{T2}' THEN 'validation' ELSE 'test' END"
+    return f"CASE WHEN {h} < '{t1}' THEN 'train' WHEN {h} < '{t2}' THEN 'validation' ELSE 'test' END"
 
 
 def _r(expr: str) -> str:
@@ -380,4 +380,47 @@ bp AS (
     q["stream_prepared"] = f"""
 SELECT doc_id, len({_words('text')})::BIGINT AS n_words, length({NORM.format('text')})::BIGINT AS norm_chars
 FROM documents WHERE regexp_matches(text, '{NONSPACE_RE}')"""
+    wb = q["web_batches"]
+    nibble = "(strpos('0123456789ABCDEF', x[{}]) - 1)"
+    q["web_byte_batches"] = f"""WITH tr AS (SELECT doc_id, text FROM documents WHERE {_split_case('doc_id')} = 'train'),
+enc AS (SELECT doc_id, 257 AS pad, list_concat([0], list_transform(regexp_extract_all(hex(encode(text)), '..'),
+        lambda x: {nibble.format(1)} * 16 + {nibble.format(2)} + 1), [0])[1:{MAX_LENGTH}] AS ids FROM tr),
+{wb[wb.index("idx AS ("):]}"""
+    split = _split_case("vec_id", _hex_threshold(EVAL_FRACTIONS[0]), _hex_threshold(sum(EVAL_FRACTIONS)))
+    parted = SCORED_CTE[:SCORED_CTE.index("bl AS (")].replace("FROM embeddings", f", {split} AS split FROM embeddings", 1) + f"""
+bl AS (SELECT split, batch_id, sum(loss * mask) / nullif(sum(mask), 0)::DOUBLE AS batch_loss,
+              sum(smooth_loss * mask) / nullif(sum(mask), 0)::DOUBLE AS smooth_batch_loss FROM tl GROUP BY ALL),
+ev AS (SELECT split, avg(batch_loss) AS eval_loss FROM bl GROUP BY split),
+hist AS (SELECT 0::BIGINT AS epoch, (batch_id * {BATCH_SIZE})::BIGINT AS step, smooth_batch_loss AS loss,
+                (SELECT eval_loss FROM ev WHERE split = 'validation') AS val_loss
+         FROM bl WHERE split = 'train' AND batch_id % {EVAL_STEPS // BATCH_SIZE} = 0)"""
+    q["split_results"] = f"""WITH {parted}
+SELECT {_r('arg_max(val_loss, step)')} AS val_loss,
+       {_r("(SELECT eval_loss FROM ev WHERE split = 'test')")} AS test_loss,
+       (SELECT bleu FROM ({q["bleu_conversations"]}) b) AS test_bleu FROM hist"""
+    q["history_records"] = f"WITH {parted} SELECT epoch, step, {_r('loss')} AS loss, {_r('val_loss')} AS val_loss FROM hist"
+    q["resume_marker"] = f"""
+SELECT batch_id::BIGINT AS batch_id, count(*)::BIGINT AS n_rows FROM (
+  SELECT (row_number() OVER (ORDER BY md5('{SEED}:' || doc_id::VARCHAR), doc_id) - 1) // {BATCH_SIZE} AS batch_id
+  FROM documents) x
+WHERE batch_id >= {RESUME_AT + 1} GROUP BY batch_id"""
+    q["encode_loaded"] = f"SELECT conv_id, turn, ids_str FROM ({q['encode_unseen']}) x"
+    q["word_counts_of_files"] = f"""
+SELECT word, count(*)::BIGINT AS n FROM (
+  SELECT unnest({_words('text')}) AS word FROM documents WHERE regexp_matches(text, '{NONSPACE_RE}')) w GROUP BY word"""
+    q["stream_encoded"] = f"""WITH {ALPHA_CTE},
+e AS (SELECT d.doc_id, {_char_ids('d.text')} AS ids FROM documents d, amap WHERE regexp_matches(d.text, '{NONSPACE_RE}'))
+SELECT doc_id, len(ids)::BIGINT AS n_ids, {_ints('ids')} AS ids_str FROM e"""
+    q["specials_in_text"] = f"""WITH {ALPHA_CTE},
+e AS (SELECT d.doc_id, list_concat([3], {_char_ids('d.text')}, [4], {_char_ids("'[mask]'")}, [5, 1]) AS ids
+      FROM documents d, amap)
+SELECT doc_id, len(ids)::BIGINT AS n_ids, {_ints('ids')} AS ids_str FROM e"""
+    q["word_token_ids"] = f"""WITH {ALPHA_CTE}
+SELECT w.word AS token, coalesce(v.id, 0)::BIGINT AS id
+FROM (SELECT DISTINCT unnest({_words('text')}) AS word FROM documents) w
+LEFT JOIN ({SPECIALS_SQL} UNION ALL SELECT token, id FROM alpha) v ON v.token = w.word"""
+    q["edge_texts"] = f"""WITH e AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN ' ' || chr(9) || chr(10) || chr(160) || chr(8195)
+    WHEN 2 THEN ' = = Title = =' || chr(10) || text ELSE text END AS text FROM documents)
+SELECT doc_id, regexp_matches(text, '{NONSPACE_RE}')::BIGINT AS is_text, (text <> '')::BIGINT AS is_filled,
+       regexp_replace(text, '{HEADING_RE}', '\\1\\2') AS text FROM e"""
     return {k: v.strip() for k, v in q.items()}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexiframe.functions.text import non_empty, strip_heading, words
 from lexiframe.operators.batches import assign_batches, pad_batches, shift
-from lexiframe.operators.bpe import BpeModel, encode, with_markers
+from lexiframe.operators.bpe import BpeModel, encode, encode_byte_level, with_markers
 from lexiframe.operators.vocab import char_vocab
 
 
@@ -145,9 +145,11 @@ def web_model(texts: DataFrame, marker: str = "<|endoftext|>", pad: str = "[PAD]
 
 
 def web_sequences(texts: DataFrame, model: BpeModel, key: str = "doc_id", text: str = "text",
-                  max_length: int = 256, marker: str = "<|endoftext|>") -> DataFrame:
+                  max_length: int = 256, marker: str = "<|endoftext|>", byte_level: bool = False) -> DataFrame:
     """Web-text rows: ``marker + text + marker``, encoded and truncated (no
-    empty-row filter and no heading clean-up in this variant)."""
+    empty-row filter and no heading clean-up in this variant).  ``byte_level``: the vocabulary is one over
+    bytes, so the text is encoded as it stands."""
     mid = model.token_to_id(marker)
-    ids = with_markers(encode(F.col(text), model, max_ids=max_length - 1), mid, mid, max_length)
+    step = encode_byte_level if byte_level else encode
+    ids = with_markers(step(F.col(text), model, max_ids=max_length - 1), mid, mid, max_length)
     return texts.select(key, ids.alias("ids"))

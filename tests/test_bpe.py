@@ -116,3 +116,30 @@ def test_lm_sequences_equal_library_with_markers_and_truncation(spark):
     for r in rows:
         if r.text != "":
             assert got[r.doc_id] == tok.encode("[BOS]" + r.text + "[EOS]").ids, r.doc_id
+
+
+def test_byte_level_matches_library(spark):
+    """A supplied byte-level vocabulary gives the library's ids: case, spaces, any bytes, specials in the text."""
+    import os
+
+    import pytest
+    from pyspark.sql import functions as F
+    from tokenizers import Tokenizer
+
+    from lexiframe.operators.bpe import encode_byte_level, load_byte_model
+
+    path = os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), "byte_bpe_50k.json")
+    if not os.path.exists(path):
+        pytest.skip("no supplied vocabulary")
+    texts = ["", " ", "Hello  World's  end \n\n x", "\u00c9t\u00e9 \u4f60\u597d \U0001F600!? 12\u00bd", "a\u0000b\u007f\u00a0\u00ad\t",
+             "<|endoftext|>it's<|endoftext|> <|endoftext", "we'll WE'LL   ", "\u039f\u0394\u039f\u03a3 \u0130\u0131"]
+    lib = Tokenizer.from_file(path)
+    model = load_byte_model(spark, path)
+    rows = spark.createDataFrame(list(enumerate([*texts, None])), "i int, text string")
+    got = {r.i: r for r in rows.select("i", encode_byte_level(F.col("text"), model).alias("ids"),
+                                       encode_byte_level(F.col("text"), model, 3).alias("cut")).collect()}
+    for i, t in enumerate(texts):
+        want = lib.encode(t, add_special_tokens=False).ids
+        assert got[i].ids == want, t
+        assert got[i].cut == want[:3]
+    assert got[len(texts)].ids is None
