@@ -15,10 +15,11 @@ same rows.
 
 Tokens: the ids of the public byte-level BPE vocabulary, then id 0.  A text
 that holds the string of an added token is encoded by the ``tokenizers``
-library itself; every other text is cut at single spaces, which are always
-pre-token boundaries of this vocabulary's pattern, and its units are encoded
-through a bounded cache (ids are equal, tests compare both).  A text with two
-spaces in a row is encoded whole.
+library itself.  A space with no other white space beside it is always a
+pre-token boundary of this vocabulary's pattern: a text that has only such
+spaces is cut at them and its units are encoded through a bounded cache (ids
+are equal, tests compare both).  A text with a space next to white space of
+any kind (U+00A0 included) is encoded whole, as one pre-token can hold the run.
 
 Defined results: a null or empty text is the single id 0; null or repeated ids
 are packed like any others; an empty table gives no pieces.
@@ -26,6 +27,7 @@ are packed like any others; an empty table gives no pieces.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -39,6 +41,8 @@ MAX_TOKENS = 1024
 BLOCK_TOKENS = 1 << 20
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048  # attention costs as much as the rest at twice the window
 CACHE_UNITS = 200_000
+# A space beside white space; Python's \s holds all that the pattern's \s does.
+_SPACE_RUN = re.compile(r" (?:\s|(?<=\s ))")
 
 SCHEMA = ("start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long, "
           "sequence_tokens long, cost double")
@@ -69,7 +73,7 @@ class UnitEncoder:
             return b""
         if any(a in text for a in self.added):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if "  " in text:
+        if _SPACE_RUN.search(text):
             return self._ids(text)
         first, *units = text.split(" ")
         cache = self.cache

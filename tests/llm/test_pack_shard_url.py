@@ -1,3 +1,4 @@
+import itertools
 import zlib
 from collections import Counter, defaultdict
 
@@ -23,6 +24,14 @@ def test_ids_equal_the_tokenizer_library():
         assert np.frombuffer(enc.encode(t or ""), "<u4").tolist() == want[:-1], repr(t)[:40]
 
 
+def test_ids_of_mixed_white_space_runs_equal_the_tokenizer_library():
+    enc = packing.UnitEncoder(*packing.default_paths())
+    texts = ["a \u00a0 \u00a0 b", "a" + " \u00a0" * 4 + " b", "a" + "\u00a0 " * 4 + "b", "\u00a0 \u00a0 x y", "x \u00a0 \u00a0",
+             *[f"a{''.join(r)}b c" for n in (2, 3, 4) for r in itertools.product(" \u00a0\n\t\u3000\u2003\x85\x1c", repeat=n)]]
+    for t, want in zip(texts, _library_ids(texts)):
+        assert np.frombuffer(enc.encode(t), "<u4").tolist() == want[:-1], repr(t)
+
+
 def test_pack_block_is_whole_and_balanced():
     rng = np.random.default_rng(3)
     lengths = rng.integers(1, 3000, 400)
