@@ -35,8 +35,8 @@ BITS = 20
 ORDERS = (5,)
 FIT_POSITIVES, FIT_UNLABELLED = 2_000, 6_000
 STEPS, RATE, SHRINK = 400, 0.3, 1e-4
-# A feature needs this many positives (and this share of them), and this lift over the unlabelled documents.
-MIN_POSITIVES, MIN_SHARE, MIN_LIFT = 3, 0.005, 3.0
+# A feature needs this many positives, and this lift over the negatives.
+MIN_POSITIVES, MIN_LIFT = 3, 3.0
 
 
 def text_features(texts: list[str], bits: int = BITS, orders: tuple[int, ...] = ORDERS) -> list[np.ndarray]:
@@ -79,16 +79,18 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, bits: int = BITS, steps: int = STEPS,
              rate: float = RATE, shrink: float = SHRINK, min_positives: int = MIN_POSITIVES,
-             min_share: float = MIN_SHARE, min_lift: float = MIN_LIFT) -> ToxicModel:
+             min_lift: float = MIN_LIFT) -> ToxicModel:
     """Train on feature sets with the non-negative risk estimator.  Features that are not clearly more frequent
-    among positives than among unlabelled documents get no weight."""
+    among positives than among negatives (unlabelled documents less the prior's share of positives) get no
+    weight, whatever share of the documents is positive."""
     weights = np.zeros(1 << bits)
     if not pos:
         return ToxicModel(weights, -40.0, prior, bits)
     in_pos = np.bincount(np.concatenate(pos), minlength=1 << bits)
     in_unl = np.bincount(np.concatenate([*unl, np.zeros(0, np.int32)]), minlength=1 << bits)
-    lift = (in_pos / len(pos)) / ((in_unl + 0.5) / (len(unl) + 1))
-    keep = (in_pos >= min(len(pos), max(min_positives, min_share * len(pos)))) & (lift >= min_lift)
+    in_neg = np.maximum(in_unl - prior * len(unl) * in_pos / len(pos), 0) / (1 - prior)
+    lift = (in_pos / len(pos)) / ((in_neg + 0.5) / (len(unl) + 1))
+    keep = (in_pos >= min(len(pos), min_positives)) & (lift >= min_lift)
     column, chosen = np.cumsum(keep) - 1, np.flatnonzero(keep)
     dense = [[column[r[keep[r]]] for r in rows] for rows in (pos, unl)]
     d = len(chosen)

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lexiframe.llm import langid, quality, toxicity
@@ -124,6 +125,31 @@ def test_toxicity_awkward_rows(spark):
     assert toxicity.score_toxicity(docs(spark, []), none).count() == 0
 
 
+def _fit_plain(pos, unl, prior):
+    return toxicity.fit_nnpu(toxicity.text_features(pos), toxicity.text_features(unl), prior)
+
+
+@pytest.mark.parametrize("share", [1 / 4, 1 / 3, 1 / 2])
+def test_toxicity_learns_whatever_the_toxic_share(share):
+    rows = _toxic_rows(6000)
+    bad, clean = ([t for _, t, y in rows if y == k] for k in (1, 0))
+    bad, held, clean, held_clean = bad[:600], bad[600:], clean[:round(600 * (1 - share) / share)], clean[2500:]
+    model = _fit_plain(bad, bad + clean, share)
+    assert (model.score(held) >= 0.5).mean() >= 0.9
+    assert (model.score(held_clean) >= 0.5).mean() <= 0.03
+
+
+def test_toxicity_learns_beside_a_third_of_copies():
+    rows = _toxic_rows(3000)
+    bad, clean = ([t for _, t, y in rows if y == k] for k in (1, 0))
+    bad, held, clean, held_clean = bad[:200], bad[200:], clean[:1000], clean[1000:]
+    pos = [bad[0]] * 700 + bad
+    model = _fit_plain(pos, pos + clean, len(pos) / (len(pos) + len(clean)))
+    assert model.score([bad[0]])[0] >= 0.5
+    assert (model.score(held) >= 0.5).mean() >= 0.9
+    assert (model.score(held_clean) >= 0.5).mean() <= 0.03
+
+
 # ------------------------------------------------------------------ quality
 
 def _brute_base(t):
