@@ -6,8 +6,9 @@ model is trained by full-batch Adagrad on the risk ``prior * R_P(+) + max(0, R_U
 so the model cannot buy risk by overfitting the unlabelled set.  Soft thresholding keeps only
 features that carry weight, so long clean texts do not add up to a toxic score.
 
-A document is the set of its distinct character n-grams (lower-cased, hashed into ``2 ** bits`` bins), so
-inflected and suffixed forms of a word share features.  Whole texts are hashed in numpy; only n-grams with a
+A document is the set of its distinct character n-grams (lower-cased, hashed to ``KEY_BITS`` bits, wide enough
+that no long text meets a weight by collision), so inflected and suffixed forms of a word share features.  The
+model is a sorted table of the keys that carry weight.  Whole texts are hashed in numpy; only n-grams with a
 weight go on to the per-document sets, which makes scoring sparse.
 
 The fit uses a bounded sample (documented parameters): the ``fit_positives`` training positives and
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 from lexiframe.llm.common import texts_of
 from lexiframe.llm.langid import grams_of
 
-BITS = 20
+KEY_BITS = 51  # all that the n-gram hash gives
+_NEAR_BITS = 20  # keys are looked up only where a table of their low bits has a mark
 ORDERS = (5,)
 FIT_POSITIVES, FIT_UNLABELLED = 2_000, 6_000
 STEPS, RATE, SHRINK = 400, 0.3, 1e-4
@@ -39,37 +41,53 @@ STEPS, RATE, SHRINK = 400, 0.3, 1e-4
 MIN_POSITIVES, MIN_LIFT = 3, 3.0
 
 
-def text_features(texts: list[str], bits: int = BITS, orders: tuple[int, ...] = ORDERS) -> list[np.ndarray]:
+def text_features(texts: list[str], bits: int = KEY_BITS, orders: tuple[int, ...] = ORDERS) -> list[np.ndarray]:
     """Distinct hashed n-grams of each text; a space at both ends marks the text's edge words."""
     out: list[list[np.ndarray]] = [[] for _ in texts]
     for g, o in grams_of([f" {t} " if t else "" for t in texts], orders, bits):
         cut = np.flatnonzero(np.r_[True, o[1:] != o[:-1]]) if len(o) else []
         for own, part in zip(o[cut] if len(o) else (), np.split(g, cut[1:]) if len(o) else ()):
             out[own].append(np.unique(part))
-    none = np.zeros(0, np.int32)
-    return [np.unique(np.concatenate(x)).astype(np.int32) if x else none for x in out]
+    none = np.zeros(0, np.int64)
+    return [np.unique(np.concatenate(x)) if x else none for x in out]
+
+
+def _found(keys: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which n-grams are among the ascending ``keys``, and where those stand."""
+    if not len(keys):
+        return np.zeros(len(grams), bool), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
+    hit = keys[at] == grams
+    return hit, at[hit]
 
 
 @dataclass
 class ToxicModel:
+    """``weights[i]`` belongs to the n-gram ``keys[i]``; the keys ascend."""
+
     weights: np.ndarray
     bias: float
     prior: float
-    bits: int = BITS
+    keys: np.ndarray
+    bits: int = KEY_BITS
     orders: tuple[int, ...] = ORDERS
 
     def score(self, texts: list[str]) -> np.ndarray:
         """Scores in [0, 1] of a batch of texts."""
         z = np.full(len(texts), self.bias)
-        used = self.weights != 0
+        n = len(self.keys)
+        low = (1 << _NEAR_BITS) - 1
+        near = np.zeros(low + 1, bool)
+        near[self.keys & low] = True
         pairs = []
         for g, o in grams_of([f" {t} " if t else "" for t in texts], self.orders, self.bits):
-            at = used[g]
+            at = near[g & low]
             if at.any():
-                pairs.append(np.unique((o[at] << self.bits) | g[at]))
+                hit, col = _found(self.keys, g[at])
+                pairs.append(np.unique(o[at][hit] * n + col))
         if pairs:
             p = np.unique(np.concatenate(pairs))
-            z += np.bincount(p >> self.bits, weights=self.weights[p & ((1 << self.bits) - 1)], minlength=len(texts))
+            z += np.bincount(p // n, weights=self.weights[p % n], minlength=len(texts))
         return _sigmoid(z)
 
 
@@ -77,20 +95,25 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, bits: int = BITS, steps: int = STEPS,
-             rate: float = RATE, shrink: float = SHRINK, min_positives: int = MIN_POSITIVES,
+def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, bits: int | None = None,
+             steps: int = STEPS, rate: float = RATE, shrink: float = SHRINK, min_positives: int = MIN_POSITIVES,
              min_lift: float = MIN_LIFT) -> ToxicModel:
     """Train on feature sets with the non-negative risk estimator.  Features that are not clearly more frequent
     among positives than among negatives (unlabelled documents less the prior's share of positives) get no
-    weight, whatever share of the documents is positive."""
-    weights = np.zeros(1 << bits)
+    weight, whatever share of the documents is positive.  The model holds the features with a weight; given
+    ``bits``, features are numbers below ``2 ** bits`` and the model holds them all."""
+    every = np.arange(1 << bits if bits else 0)
     if not pos:
-        return ToxicModel(weights, -40.0, prior, bits)
-    in_pos = np.bincount(np.concatenate(pos), minlength=1 << bits)
-    in_unl = np.bincount(np.concatenate([*unl, np.zeros(0, np.int32)]), minlength=1 << bits)
+        return ToxicModel(np.zeros(len(every)), -40.0, prior, every, bits or KEY_BITS)
+    # only what positives have can get a weight
+    keys, in_pos = np.unique(np.concatenate(pos), return_counts=True)
+    common = in_pos >= min(len(pos), min_positives)
+    keys, in_pos = keys[common], in_pos[common]
+    pos, unl = ([_found(keys, r)[1] for r in rows] for rows in (pos, unl))
+    in_unl = np.bincount(np.concatenate([*unl, np.zeros(0, np.int64)]), minlength=len(keys))
     in_neg = np.maximum(in_unl - prior * len(unl) * in_pos / len(pos), 0) / (1 - prior)
     lift = (in_pos / len(pos)) / ((in_neg + 0.5) / (len(unl) + 1))
-    keep = (in_pos >= min(len(pos), min_positives)) & (lift >= min_lift)
+    keep = lift >= min_lift
     column, chosen = np.cumsum(keep) - 1, np.flatnonzero(keep)
     dense = [[column[r[keep[r]]] for r in rows] for rows in (pos, unl)]
     d = len(chosen)
@@ -117,13 +140,16 @@ def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, bits: i
         b2 += gb * gb
         b -= rate * gb / np.sqrt(b2)
         w = np.sign(w) * np.maximum(np.abs(w) - step * shrink, 0)
-    weights[chosen] = w
-    return ToxicModel(weights, float(b), prior, bits)
+    if bits:
+        weights = np.zeros(len(every))
+        weights[keys[chosen]] = w
+        return ToxicModel(weights, float(b), prior, every, bits)
+    return ToxicModel(w[w != 0], float(b), prior, keys[chosen][w != 0])
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_id", text: str = "text",
                  label: str = "toxic", prior: float | None = None, fit_positives: int = FIT_POSITIVES,
-                 fit_unlabelled: int = FIT_UNLABELLED, bits: int = BITS) -> ToxicModel:
+                 fit_unlabelled: int = FIT_UNLABELLED) -> ToxicModel:
     """Fit on training rows (``train`` is a condition on the key).  Labels are used for the positives and the
     prior only; the unlabelled set is drawn from all training documents, labelled or not."""
     known = (labels.select(key, label).where(F.col(key).isNotNull() & F.col(label).isNotNull() & train)
@@ -140,7 +166,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, key: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = text_features(texts_of(b, text), bits)
+            f = text_features(texts_of(b, text))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3),
                                               pa.array([x.tobytes() for x in f], pa.binary())], names=[key, "p", "u", "f"])
 
@@ -148,19 +174,19 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, key: str = "
     pos, unl = [], []
     for r in (rows.mapInArrow(run, f"`{key}` {kind}, p int, u int, f binary").dropDuplicates([key])
               .orderBy(*order).toLocalIterator()):
-        f = np.frombuffer(bytes(r["f"]), dtype=np.int32)
+        f = np.frombuffer(bytes(r["f"]), dtype=np.int64)
         if r["p"]:
             pos.append(f)
         if not r["u"]:
             unl.append(f)
-    return fit_nnpu(pos, unl, prior, bits)
+    return fit_nnpu(pos, unl, prior)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicModel, key: str = "doc_id", text: str = "text",
                    keep: tuple[str, ...] = ()) -> DataFrame:
     """``(key, *keep, score, predicted)`` for every row; ``predicted`` is 1 from 0.5 on."""
     rows = docs.select(key, text, *keep)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits weights
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the features with a weight
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

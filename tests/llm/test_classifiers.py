@@ -150,6 +150,17 @@ def test_toxicity_learns_beside_a_third_of_copies():
     assert (model.score(held_clean) >= 0.5).mean() <= 0.03
 
 
+def test_long_varied_clean_texts_are_not_toxic():
+    rows = _toxic_rows(3000)
+    bad, clean = ([t for _, t, y in rows if y == k] for k in (1, 0))
+    model = _fit_plain(bad, bad + clean, len(bad) / len(rows))
+    rng = np.random.default_rng(5)
+    for n in (20_000, 200_000):  # about 140,000 and 1,400,000 distinct 5-grams
+        long = " ".join(map("".join, rng.choice(list("ijklmnopqrstuvwxyz"), (n, 6))))
+        assert model.score([long, long + " " + clean[0], long + " " + bad[0]])[:2].max() < 0.5
+    assert (model.score(bad) >= 0.5).mean() >= 0.9
+
+
 # ------------------------------------------------------------------ quality
 
 def _brute_base(t):
