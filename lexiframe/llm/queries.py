@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiframe.llm import langid, lm, neighbours, packing, pieces, quality, sharding, simhash, toxicity, urls
+from lexiframe.llm import compression, langid, lm, neighbours, packing, pieces, quality, repair, sharding, simhash, \
+    spelling, toxicity, urls
 from lexiframe.llm.common import fold, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,9 +71,26 @@ def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_sampled(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repair.damaged(read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    return repair.repair_digests(rows, repair.repair_plans(rows)).withColumnRenamed("conv", "conv_id")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(spelling.word_counts(read(spark, sf_dir, "documents", "doc_id", "text")))
+
+
+def op13_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    model = compression.fit_compression(docs, read(spark, sf_dir, "labels", "doc_id", "quality"), fold(F.col("doc_id"), 5) != 0)
+    out = compression.score_compression(docs, model)
+    return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_packing, op2_simhash, op3_url_filter, op4_sharding, op5_lm_scoring, op6_language_id,
-                                    op7_toxicity, op8_quality_rules, op9_nearest_neighbours, op10_piece_sampling)}
+                                    op7_toxicity, op8_quality_rules, op9_nearest_neighbours, op10_piece_sampling,
+                                    op11_conversation_repair, op12_spelling_variants, op13_compression_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
