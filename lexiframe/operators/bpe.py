@@ -1,41 +1,34 @@
-"""Byte-pair vocabulary training (exact, several merges per Spark round) and encoding.
-
-Training works on the distinct-word table ``(n, s)`` (``s`` = the symbol ids
-as a spaced string) and a table of pair counts.  A round is one Spark job: the
-top ``batch_pairs`` pairs by ``(count desc, left id, right id)`` fetched to the
-driver (a bounded list), a set of merges chosen so that applying them together
-gives exactly what applying them one at a time would, one narrow pass that
-rewrites the symbol strings, and an update of the pair counts from the words
-that changed (their old pairs subtracted, their new pairs added).  Words left
-with one symbol drop out.
-
-Why several merges per round are exact: merging ``(a, b)`` only changes
-counts of pairs that contain ``a`` or ``b``, and every pair it creates has at
-most the count of such a pair.  So a prefix of the ranking whose pairs share
-no symbol can be merged together as long as each count is strictly above the
-first conflicting count.  Self pairs and merges whose string already exists
-break that bound and are taken alone.
+"""Byte-pair vocabularies: training, encoding, markers, supplied byte-level vocabularies.
+
+Training (``train_bpe``) learns thousands of merges a round on islands of frequent pairs, see ``bpe_training``.
+
+Encoding is narrow: the JVM normalises and cuts texts into pre-tokens; an Arrow UDF turns a batch's pre-tokens into
+a dictionary (each distinct one once, in Arrow's own code), looks each distinct one up in the worker's cache, runs the
+merge loop for new ones only, and gathers the ids of all occurrences with array operations.  No Python code runs per
+occurrence, no occurrence is shuffled, and a hot word is one entry of a batch's dictionary.  The merge loop is a linked
+list with a heap of candidate pairs, ``n log n`` in a word's length.  The vocabulary is broadcast once; the encoder
+built from it and its cache stay with the broadcast value in the worker, for all tasks.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from itertools import chain
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lexiframe.functions.rows import explode_rows
 from lexiframe.functions.text import SPECIAL_TOKENS, byte_alphabet, byte_pretokens, normalize, \
     pretokenize_keep_specials, protect_specials, sentinel_for, unescape
-from lexiframe.operators.vocab import MERGES_SCHEMA, VOCAB_SCHEMA, alphabet, chars, word_counts
+from lexiframe.operators.bpe_training import FIRST_PAIRS, MAX_ISLANDS, MAX_PAIRS, learn_merges
+from lexiframe.operators.vocab import MERGES_SCHEMA, VOCAB_SCHEMA, alphabet, word_counts
 from lexiframe.session import checkpoint_dir, materialize
 
-# Above this many distinct words, pair counts are updated incrementally.
-INCREMENTAL_MIN_WORDS = 2_000_000
-
 
 @dataclass
 class BpeModel:
@@ -47,6 +40,7 @@ class BpeModel:
     specials: list[str] = field(default_factory=lambda: list(SPECIAL_TOKENS))
     unk_token: str = "[UNK]"
     rounds: int = 0
+    _shared: tuple | None = field(default=None, repr=False, compare=False)
 
     def token_to_id(self, tok: str) -> int | None:
         try:
@@ -58,6 +52,14 @@ class BpeModel:
     def unk_id(self) -> int:
         return self.token_to_id(self.unk_token)
 
+    def shared(self):
+        """The vocabulary as one broadcast a session, in plain types (workers need not have this package)."""
+        sc = SparkSession.active().sparkContext
+        if self._shared is None or self._shared[0] != sc.applicationId:
+            value = {"model": (self.tokens, self.merges, self.specials, self.unk_token)}
+            self._shared = (sc.applicationId, sc.broadcast(value))
+        return self._shared[1]
+
     def vocab_frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(
             [(t, i, k) for i, (t, k) in enumerate(zip(self.tokens, self.kinds))], VOCAB_SCHEMA)
@@ -81,181 +83,26 @@ class BpeModel:
         return cls(tokens, kinds, mlist, sp, unk_token)
 
 
-# Symbol sequences are strings of ids with a space on both sides (" 12 7 40 ");
-# pair counting and merging are then codegen'd regular expressions.
-_PAIR = r"(?<= )(?=(\d+ \d+) )"
-
-
-def _initial_symbols(wc: DataFrame, tok_ids: dict[str, int]) -> DataFrame:
-    keys = list(tok_ids.keys())
-    m = F.map_from_arrays(F.array(*[F.lit(k) for k in keys]), F.array(*[F.lit(tok_ids[k]) for k in keys]))
-    ids = F.transform(chars(F.col("word")), lambda c: F.try_element_at(m, c))
-    return wc.select(F.col("n").cast("long").alias("n"),
-                     F.concat(F.lit(" "), F.array_join(ids, " "), F.lit(" ")).alias("s"))
-
-
-def symbol_pair_counts(work: DataFrame, s: str = "s", weight: Column | None = None) -> DataFrame:
-    """``(left, right, n)``: adjacent id pairs weighted by word frequency
-    (or by ``weight``, e.g. ``-n`` to subtract)."""
-    p = F.col("p")
-    w = (weight if weight is not None else F.col("n")).alias("n")
-    return (explode_rows(work, F.regexp_extract_all(s, F.lit(_PAIR), 1), "p", w)
-            .groupBy("p").agg(F.sum("n").alias("n"))
-            .select(F.substring_index(p, " ", 1).cast("int").alias("left"),
-                    F.substring_index(p, " ", -1).cast("int").alias("right"),
-                    F.col("n").cast("long").alias("n")))
-
-
-def _apply_merges(s: Column, merges: list[tuple[int, int, int]]) -> Column:
-    """Left-to-right, non-overlapping replacement of each pair by its new id
-    (the look-arounds do not consume the separators)."""
-    for lft, rgt, nid in merges:
-        s = F.regexp_replace(s, f"(?<= ){lft} {rgt}(?= )", str(nid))
-    return s
-
-
-def _multi_symbol(s: Column) -> Column:
-    return s.rlike(r"^ \d+ \d")
-
-
-def _release(cached: list) -> None:
-    """Drop cached round tables newest first, once a written table has
-    replaced them.  Dropping an older one while newer cached tables still
-    depend on it would make Spark re-cache those with their whole lineage."""
-    while cached:
-        cached.pop().unpersist()
-
-
-def _choose(top: list, tokens: list[str], tok_ids: dict[str, int], limit: int, room: int) -> list:
-    """Pick the merges of one round from the ranked list ``top`` (see module doc)."""
-    taken, used, new = [], set(), set()
-    bound = None
-    for row in top:
-        lft, rgt, cnt = row["left"], row["right"], row["n"]
-        merged = tokens[lft] + tokens[rgt]
-        alone = lft == rgt or merged in tok_ids
-        if not taken:
-            taken.append((lft, rgt, cnt, merged))
-            if alone:
-                return taken
-            used.update((lft, rgt))
-            new.add(merged)
-            continue
-        if alone or lft in used or rgt in used or merged in new:
-            bound = cnt
-            break
-        taken.append((lft, rgt, cnt, merged))
-        used.update((lft, rgt))
-        new.add(merged)
-    else:
-        if len(top) >= limit:
-            bound = top[-1]["n"]
-    if bound is not None:
-        taken = taken[:1] + [t for t in taken[1:] if t[2] > bound]
-    return taken[:max(room, 1)]
-
-
 def train_bpe(texts: DataFrame, vocab_size: int, text: str = "text",
-              specials: list[str] | None = None, unk_token: str = "[UNK]",
-              batch_pairs: int = 512, checkpoint_every: int = 10,
-              word_table: DataFrame | None = None, rows_per_partition: int = 50_000,
-              incremental: bool | None = None) -> BpeModel:
+              specials: list[str] | None = None, unk_token: str = "[UNK]", word_table: DataFrame | None = None,
+              max_islands: int = MAX_ISLANDS, max_pairs: int = MAX_PAIRS, first_pairs: int = FIRST_PAIRS) -> BpeModel:
     """Train a BPE vocabulary of ``vocab_size`` entries (specials and alphabet included).
 
     Ids: specials in list order, then the alphabet by code point, then merges
     in the order they are learned; ties between equal counts go to the
-    smaller ``(left id, right id)``.
-
-    ``incremental``: keep a pair-count table and update it from the words each
-    round changed (work per round ~ changed words + distinct pairs), instead
-    of recounting every pair of every word.  Both give the same merges.  By
-    default the update is used above ``INCREMENTAL_MIN_WORDS`` distinct
-    words; below it a recount is one cheap pass and needs one job less.
+    smaller ``(left id, right id)``.  The other parameters bound a round (see ``bpe_training``) and do not change the
+    result.
     """
     specials = list(SPECIAL_TOKENS if specials is None else specials)
-    spark = texts.sparkSession
-    checkpoint_dir(spark)
+    checkpoint_dir(texts.sparkSession)
     wc = materialize(word_table if word_table is not None else word_counts(texts, text), "bpe-words")
     alpha = sorted(alphabet(wc, specials=specials, first_id=len(specials)).collect(), key=lambda r: r["id"])
     tokens = specials + [r["token"] for r in alpha]
-    kinds = ["special"] * len(specials) + ["alphabet"] * len(alpha)
-    tok_ids = {t: i for i, t in enumerate(tokens)}
-    model = BpeModel(tokens, kinds, [], specials, unk_token)
-    if len(tokens) >= vocab_size or not alpha:
-        return model
-
-    work = materialize(_initial_symbols(wc, {r["token"]: r["id"] for r in alpha})
-                       .where(_multi_symbol(F.col("s"))), "bpe-symbols")
-    # the distinct-word table is small next to the corpus: size its partitions
-    # to the data (rows_per_partition words each) so a round is not all overhead
-    n_words = work.count()
-    parts = max(1, -(-n_words // rows_per_partition))
-    if parts < work.rdd.getNumPartitions():
-        work = work.coalesce(parts)
-    if incremental is None:
-        incremental = n_words > INCREMENTAL_MIN_WORDS
-    # pair counts are kept as a table and updated from the words a round
-    # changed, instead of being recounted over every word each round
-    pairs = materialize(symbol_pair_counts(work), "bpe-pairs") if incremental else None
-    rounds = 0
-    cached: list[DataFrame] = []
-    while len(tokens) < vocab_size:
-        ranked = pairs if incremental else symbol_pair_counts(work)
-        top = ranked.orderBy(F.col("n").desc(), "left", "right").limit(batch_pairs).collect()
-        if not top or top[0]["n"] < 1:
-            break
-        picked = _choose(top, tokens, tok_ids, batch_pairs, vocab_size - len(tokens))
-        applied = []
-        for lft, rgt, _cnt, merged in picked:
-            nid = tok_ids.get(merged)
-            if nid is None:
-                nid = len(tokens)
-                tokens.append(merged)
-                kinds.append("merge")
-                tok_ids[merged] = nid
-            model.merges.append((lft, rgt, nid))
-            applied.append((lft, rgt, nid))
-        rounds += 1
-        cut = rounds % checkpoint_every == 0
-        if not incremental:
-            new_work = work.select("n", _apply_merges(F.col("s"), applied).alias("s")) \
-                           .where(_multi_symbol(F.col("s")))
-            if cut:
-                # a written table in the shared folder cuts the lineage
-                new_work = materialize(new_work, "bpe-symbols")
-                _release(cached)
-            else:
-                # materialised by the next round's pair count (one job per round)
-                new_work = new_work.persist()
-                cached.append(new_work)
-            work = new_work
-            continue
-        # one narrow pass applies the merges; only changed words feed the delta
-        step = work.select("n", F.col("s").alias("old"), _apply_merges(F.col("s"), applied).alias("s")).persist()
-        changed = step.where(F.col("old") != F.col("s"))
-        delta = symbol_pair_counts(changed, "s").unionByName(
-            symbol_pair_counts(changed, "old", -F.col("n")))
-        new_pairs = (pairs.unionByName(delta).groupBy("left", "right")
-                     .agg(F.sum("n").cast("long").alias("n")).where(F.col("n") > 0))
-        new_work = step.select("n", "s").where(_multi_symbol(F.col("s")))
-        cached.append(step)
-        if cut:
-            # written tables in the shared folder cut the lineage of both
-            new_work = materialize(new_work, "bpe-symbols")
-            new_pairs = materialize(new_pairs, "bpe-pairs")
-            _release(cached)
-        else:
-            # materialised by the next round's top-k; the small pair table is
-            # also checkpointed (lazily, from the cache) every round: it refers
-            # to the previous pair table and to the word table, and without a
-            # cut its plan description would double round over round
-            new_pairs = new_pairs.persist()
-            cached.append(new_pairs)
-            new_pairs = new_pairs.checkpoint(eager=False)
-        work, pairs = new_work, new_pairs
-    _release(cached)
-    model.rounds = rounds
-    model.tokens, model.kinds = tokens, kinds
+    model = BpeModel(tokens, ["special"] * len(specials) + ["alphabet"] * len(alpha), [], specials, unk_token)
+    if len(tokens) < vocab_size and alpha:
+        ids_of = {t: i for i, t in enumerate(tokens)}
+        model.merges, model.rounds = learn_merges(wc, tokens, ids_of, vocab_size, max_islands, max_pairs, first_pairs)
+        model.kinds += ["merge"] * (len(tokens) - len(model.kinds))
     return model
 
 
@@ -263,76 +110,98 @@ def train_bpe(texts: DataFrame, vocab_size: int, text: str = "text",
 # Encoding
 # ---------------------------------------------------------------------------
 
-_CACHE_LIMIT = 1_000_000
-
-
-def _word_encoder(model: BpeModel):
-    tok_ids = {t: i for i, t in enumerate(model.tokens)}
-    ranks = {}
-    for r, (a, b, c) in enumerate(model.merges):
-        ranks.setdefault((a, b), (r, c))
-    unk = model.unk_id if model.unk_id is not None else 0
-    sentinel_ids = {sentinel_for(i): tok_ids[s] for i, s in enumerate(model.specials) if s in tok_ids}
-    cache: dict[str, list[int]] = {}
+_CACHE_LIMIT, _CACHED_CHARS = 1_000_000, 256
+_LOW = (1 << 32) - 1
+
+
+def merge_symbols(syms: list[int], ranks: dict[int, int]) -> list[int]:
+    """Merge a word's symbols: always the pair of the lowest rank, the leftmost of them.  ``ranks`` maps
+    ``left << 32 | right`` to ``rank << 32 | new id``."""
+    n = len(syms)
+    if n < 2:
+        return syms
+    syms = list(syms)
+    after, before = [*range(1, n), -1], list(range(-1, n - 1))
+    heap = []
+    for i in range(n - 1):
+        e = ranks.get(syms[i] << 32 | syms[i + 1])
+        if e is not None:
+            heap.append((e >> 32, i, e & _LOW))
+    heapq.heapify(heap)
+    while heap:
+        _, i, new = heapq.heappop(heap)
+        j = after[i]
+        if syms[i] < 0 or j < 0:
+            continue
+        e = ranks.get(syms[i] << 32 | syms[j])
+        if e is None or e & _LOW != new:
+            continue  # a neighbour was merged meanwhile
+        syms[i], syms[j] = new, -1
+        k = after[i] = after[j]
+        if k >= 0:
+            before[k] = i
+            e = ranks.get(new << 32 | syms[k])
+            if e is not None:
+                heapq.heappush(heap, (e >> 32, i, e & _LOW))
+        p = before[i]
+        if p >= 0:
+            e = ranks.get(syms[p] << 32 | new)
+            if e is not None:
+                heapq.heappush(heap, (e >> 32, p, e & _LOW))
+    return [s for s in syms if s >= 0]
+
+
+def word_encoder(tokens: list[str], merges: list[tuple[int, int, int]], specials: list[str], unk_token: str
+                 ) -> Callable[[str], list[int]]:
+    """Pre-token -> ids, with a cache of the words seen."""
+    ids = {t: i for i, t in enumerate(tokens)}
+    ranks: dict[int, int] = {}
+    for r, (a, b, c) in enumerate(merges):
+        ranks.setdefault(a << 32 | b, r << 32 | c)
+    unk = ids.get(unk_token, 0)
+    sentinels = {sentinel_for(i): ids[s] for i, s in enumerate(specials) if s in ids}
+    cache: dict[str, list[int]] = {w: [i] for w, i in sentinels.items()}
 
     def encode_word(w: str) -> list[int]:
-        got = cache.get(w)
-        if got is not None:
-            return got
-        if w in sentinel_ids:
-            out = [sentinel_ids[w]]
-        else:
-            syms = [tok_ids.get(ch, unk) for ch in unescape(w)]
-            while len(syms) > 1:
-                best = None
-                for i in range(len(syms) - 1):
-                    r = ranks.get((syms[i], syms[i + 1]))
-                    if r is not None and (best is None or r[0] < best[0]):
-                        best = r
-                        pair = (syms[i], syms[i + 1])
-                if best is None:
-                    break
-                merged, i, lft, rgt = [], 0, pair[0], pair[1]
-                while i < len(syms):
-                    if i + 1 < len(syms) and syms[i] == lft and syms[i + 1] == rgt:
-                        merged.append(best[1])
-                        i += 2
-                    else:
-                        merged.append(syms[i])
-                        i += 1
-                syms = merged
-            out = syms
-        if len(cache) >= _CACHE_LIMIT:
-            cache.clear()
-        cache[w] = out
+        out = cache.get(w)
+        if out is None:
+            out = merge_symbols([ids.get(ch, unk) for ch in unescape(w)], ranks)
+            if len(w) <= _CACHED_CHARS:
+                if len(cache) >= _CACHE_LIMIT:
+                    cache.clear()
+                    cache.update((w, [i]) for w, i in sentinels.items())
+                cache[w] = out
         return out
 
     return encode_word
 
 
+def encode_lists(words: pa.ListArray, encode_word: Callable[[str], list[int]]) -> pa.ListArray:
+    """Lists of pre-tokens -> lists of ids; each distinct pre-token of the batch is encoded once."""
+    seen = words.flatten().dictionary_encode()
+    per_word = [encode_word(w) for w in seen.dictionary.to_pylist()]
+    lens = np.array([len(x) for x in per_word], dtype=np.int64)
+    ids = np.fromiter(chain.from_iterable(per_word), dtype=np.int32, count=int(lens.sum()))
+    starts = np.cumsum(lens) - lens
+    at = seen.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    size = lens[at]
+    ends = np.r_[0, np.cumsum(size)]
+    flat = ids[np.arange(ends[-1]) + np.repeat(starts[at] - ends[:-1], size)]
+    per_row = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    offsets = pa.array(ends[np.r_[0, np.cumsum(per_row)]].astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()), mask=words.is_null() if words.null_count else None)
+
+
 def encode_words_udf(model: BpeModel):
-    """Arrow-batched UDF: array<string> of pre-tokens -> array<int> of ids.
+    """Arrow UDF: array<string> of pre-tokens -> array<int> of ids."""
+    shared = model.shared()
 
-    Per-row work is a dictionary lookup for words already seen in the worker
-    (frequent words hit the cache); only new words run the merge loop.
-    """
-    state: dict = {}
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def _encode(seqs: pd.Series) -> pd.Series:
-        enc = state.get("enc")
-        if enc is None:
-            enc = state["enc"] = _word_encoder(model)
-        out = []
-        for ws in seqs:
-            if ws is None:
-                out.append(None)
-                continue
-            ids: list[int] = []
-            for w in ws:
-                ids.extend(enc(w))
-            out.append(ids)
-        return pd.Series(out)
+    @F.arrow_udf("array<int>")
+    def _encode(words: pa.Array) -> pa.Array:
+        state = shared.value  # stays in the worker while the broadcast lives, and the encoder with it
+        if "encoder" not in state:
+            state["encoder"] = word_encoder(*state["model"])
+        return encode_lists(words, state["encoder"])
 
     return _encode
 
@@ -383,7 +252,11 @@ def byte_model(marker: str = "<|endoftext|>") -> BpeModel:
 
 def load_byte_model(spark: SparkSession, path: str, marker: str = "<|endoftext|>") -> BpeModel:
     """A supplied byte-level vocabulary from a tokenizer JSON file (its size bounds what is read)."""
-    file = json.loads(spark.read.text(path, wholetext=True).first()[0])
+    if "://" in path:
+        file = json.loads(spark.read.text(path, wholetext=True).first()[0])
+    else:  # a local file of the driver, which executors need not have
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
     model = file["model"]
     ids = model["vocab"] | {t["content"]: t["id"] for t in file.get("added_tokens", [])}
     tokens = sorted(ids, key=ids.get)

@@ -7,7 +7,7 @@ form of NFD -> lowercase -> strip marks.
 
 from __future__ import annotations
 
-from lexiframe.plans.catalog import BATCH_SIZE, BPE_VOCAB_SIZE, D_MODEL, EVAL_FRACTIONS, EVAL_STEPS, MAX_LENGTH, \
+from lexiframe.plans.catalog import BATCH_SIZE, BPE_SMALL_SIZE, D_MODEL, EVAL_FRACTIONS, EVAL_STEPS, MAX_LENGTH, \
     RESUME_AT, SEED, SMOOTHING, SPLIT_FRACTIONS
 from lexiframe.sources.corpus import _hex_threshold
 
@@ -91,7 +91,7 @@ train(step, kind, word, n, s) AS (
     WITH sym AS (SELECT n, string_split(trim(s), '  ') AS t FROM train WHERE kind = 0 AND contains(s, '  ')),
     pr AS (SELECT n, unnest(t[:-2]) AS l, unnest(t[2:]) AS r FROM sym),
     top AS (SELECT l::BIGINT AS l, r::BIGINT AS r FROM pr GROUP BY l, r
-            HAVING (SELECT count(*) FROM train WHERE kind = 1) < {BPE_VOCAB_SIZE}
+            HAVING (SELECT count(*) FROM train WHERE kind = 1) < {BPE_SMALL_SIZE}
             ORDER BY sum(n) DESC, l::BIGINT, r::BIGINT LIMIT 1),
     made AS (SELECT top.l, top.r, a.word || b.word AS token FROM top
              JOIN train a ON a.kind = 1 AND a.n = top.l JOIN train b ON b.kind = 1 AND b.n = top.r),
@@ -250,14 +250,14 @@ WITH wc AS (SELECT word, count(*) AS n FROM (SELECT unnest({_words('text')}) AS
 ch AS (SELECT regexp_extract_all(word, '.') AS c, n FROM wc),
 pi AS (SELECT c, n, unnest(range(1, len(c))) AS i FROM ch)
 SELECT c[i] AS "left", c[i + 1] AS "right", sum(n)::BIGINT AS n FROM pi GROUP BY 1, 2"""
-    q["bpe_vocab"] = f"""WITH RECURSIVE {BPE_CTE}
+    q["bpe_vocab_small"] = f"""WITH RECURSIVE {BPE_CTE}
 SELECT word AS token, n::BIGINT AS id,
        CASE WHEN n < 7 THEN 'special' WHEN n < 7 + (SELECT count(*) FROM alpha) THEN 'alphabet' ELSE 'merge' END AS kind
 FROM fin WHERE kind = 1"""
-    q["bpe_encode"] = f"""WITH RECURSIVE {BPE_CTE}, {_bpe_ids('SELECT doc_id, text FROM documents')}
+    q["bpe_encode_small"] = f"""WITH RECURSIVE {BPE_CTE}, {_bpe_ids('SELECT doc_id, text FROM documents')}
 SELECT doc_id, len(ids)::BIGINT AS n_ids, {_ints('ids')} AS ids_str FROM bpe"""
     lm_docs = f"SELECT doc_id, regexp_replace(text, '{HEADING_RE}', '\\1\\2') AS text FROM documents WHERE text <> ''"
-    q["bpe_lm_batches"] = f"""WITH RECURSIVE {BPE_CTE}, {_bpe_ids(lm_docs)},
+    q["bpe_lm_batches_small"] = f"""WITH RECURSIVE {BPE_CTE}, {_bpe_ids(lm_docs)},
 enc AS (SELECT doc_id, list_concat([6], ids, [5])[1:{MAX_LENGTH}] AS ids FROM bpe),
 {LM_CTE[LM_CTE.index("idx AS ("):]}
 SELECT doc_id, batch_id::BIGINT AS batch_id, slot::BIGINT AS slot, {_ints('ids')} AS ids_str, {_ints('mask')} AS mask_str
@@ -419,8 +419,9 @@ SELECT doc_id, len(ids)::BIGINT AS n_ids, {_ints('ids')} AS ids_str FROM e"""
 SELECT w.word AS token, coalesce(v.id, 0)::BIGINT AS id
 FROM (SELECT DISTINCT unnest({_words('text')}) AS word FROM documents) w
 LEFT JOIN ({SPECIALS_SQL} UNION ALL SELECT token, id FROM alpha) v ON v.token = w.word"""
-    q["edge_texts"] = f"""WITH e AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN ' ' || chr(9) || chr(10) || chr(160) || chr(8195)
-    WHEN 2 THEN ' = = Title = =' || chr(10) || text ELSE text END AS text FROM documents)
-SELECT doc_id, regexp_matches(text, '{NONSPACE_RE}')::BIGINT AS is_text, (text <> '')::BIGINT AS is_filled,
+    q["edge_texts"] = f"""WITH e AS (
+  SELECT doc_id, unnest([0, 1, 2, 3])::BIGINT AS form, unnest(['', ' ' || chr(9) || chr(10) || chr(160) || chr(8195),
+         ' = = Title = =' || chr(10) || text, text]) AS text FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, form, regexp_matches(text, '{NONSPACE_RE}')::BIGINT AS is_text, (text <> '')::BIGINT AS is_filled,
        regexp_replace(text, '{HEADING_RE}', '\\1\\2') AS text FROM e"""
     return {k: v.strip() for k, v in q.items()}

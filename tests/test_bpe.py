@@ -1,4 +1,5 @@
 import os
+import random
 import tempfile
 
 import pytest
@@ -6,26 +7,149 @@ from pyspark.sql import functions as F
 
 from conftest import SF001
 from lexiframe.functions.text import SPECIAL_TOKENS
-from lexiframe.operators.bpe import BpeModel, encode, train_bpe
+from lexiframe.operators.bpe import BpeModel, encode, merge_symbols, train_bpe
 from lexiframe.plans.prep import char_model
 
 
-@pytest.mark.parametrize("incremental", [False, True])
-def test_batched_rounds_equal_one_at_a_time(spark, incremental):
-    words = [("aaaa", 5), ("abab", 7), ("abc", 9), ("bcd", 4), ("cdcd", 6), ("aab", 3), ("dd", 8), ("bcbc", 2)]
+def plain_merges(words, n_tokens, alphabet):
+    """One merge at a time over whole words: the top pair by (count, smaller left id, smaller right id)."""
+    tokens = SPECIAL_TOKENS + alphabet
+    ids = {t: i for i, t in enumerate(tokens)}
+    seqs = [([ids[c] for c in w], n) for w, n in words]
+    merges = []
+    while len(tokens) < n_tokens:
+        counts = {}
+        for s, n in seqs:
+            for p in zip(s, s[1:]):
+                counts[p] = counts.get(p, 0) + n
+        if not counts:
+            break
+        l, r = min(counts, key=lambda p: (-counts[p], p))
+        text = tokens[l] + tokens[r]
+        new = ids.setdefault(text, len(tokens))
+        if new == len(tokens):
+            tokens.append(text)
+        merges.append((l, r, new))
+        for k, (s, n) in enumerate(seqs):
+            out, i = [], 0
+            while i < len(s):
+                if s[i:i + 2] == [l, r]:
+                    out.append(new)
+                    i += 2
+                else:
+                    out.append(s[i])
+                    i += 1
+            seqs[k] = (out, n)
+    return tokens, merges
+
+
+ROUNDS = [dict(first_pairs=1), dict(first_pairs=3, max_pairs=5), dict(first_pairs=64, max_islands=4), {}]
+
+
+@pytest.mark.parametrize("bounds", ROUNDS)
+def test_rounds_equal_one_merge_at_a_time(spark, bounds):
+    """Whatever a round may hold; words with runs, and merges whose text is a token already."""
+    rng = random.Random(4)
+    words = [("aaaa", 5), ("aaaaaaa", 3), ("abab", 7), ("abc", 9), ("bcd", 4), ("cdcd", 6), ("dd", 8), ("x", 50)]
+    words += [("".join(rng.choice("abcd") for _ in range(rng.randint(2, 12))), rng.randint(1, 6)) for _ in range(60)]
+    words = sorted(dict(words).items())
     wt = spark.createDataFrame(words, "word string, n long")
     docs = spark.createDataFrame([(0, "x")], "doc_id long, text string")
-    fast = train_bpe(docs, 40, word_table=wt, batch_pairs=64, incremental=incremental, checkpoint_every=3)
-    slow = train_bpe(docs, 40, word_table=wt, batch_pairs=1, incremental=False)
-    assert fast.tokens == slow.tokens
-    assert fast.merges == slow.merges
+    m = train_bpe(docs, 60, word_table=wt, **bounds)
+    assert (m.tokens, m.merges) == plain_merges(words, 60, list("abcdx"))
 
 
-def test_incremental_equals_recount_on_corpus(spark):
-    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text")
-    a = train_bpe(docs, 90, incremental=True, checkpoint_every=7)
-    b = train_bpe(docs, 90, incremental=False)
-    assert a.tokens == b.tokens and a.merges == b.merges
+def test_a_merge_whose_text_is_a_token(spark):
+    """``ab`` is a special here, so merging a and b gives an old id."""
+    words = [("abab", 9), ("abc", 7), ("cab", 5), ("bc", 3)]
+    wt = spark.createDataFrame(words, "word string, n long")
+    m = train_bpe(wt, 12, word_table=wt, specials=["[UNK]", "ab"], first_pairs=2)
+    assert m.merges[0] == (2, 3, 1) and m.tokens[:5] == ["[UNK]", "ab", "a", "b", "c"]
+
+
+def test_islands_are_whole_when_counts_pass_doubles(spark):
+    big = 2 ** 55
+    words = [("ab", big + 1), ("cd", big), ("abcd", 1), ("xy", 2)]
+    wt = spark.createDataFrame(words, "word string, n long")
+    m = train_bpe(wt, 30, word_table=wt)
+    assert (m.tokens, m.merges) == plain_merges(words, 30, list("abcdxy"))
+
+
+def test_long_words_are_merged_in_order_of_rank():
+    """The heap against a plain loop, and a word of a million characters."""
+    rng = random.Random(9)
+    merges = [(1, 2, 3), (3, 1, 4), (2, 2, 5), (4, 5, 6), (6, 6, 7), (1, 1, 8)]
+    ranks = {a << 32 | b: r << 32 | c for r, (a, b, c) in enumerate(merges)}
+
+    def plain(s):
+        while True:
+            here = [(ranks[a << 32 | b], i) for i, (a, b) in enumerate(zip(s, s[1:])) if a << 32 | b in ranks]
+            if not here:
+                return s
+            e, i = min(here)
+            s = s[:i] + [e & (1 << 32) - 1] + s[i + 2:]
+
+    for _ in range(300):
+        s = [rng.choice((1, 2)) for _ in range(rng.randint(0, 14))]
+        assert merge_symbols(s, ranks) == plain(s)
+    assert len(merge_symbols([1, 2] * 500_000, ranks)) == 500_000
+
+
+def _library(texts, size):
+    tokenizers = pytest.importorskip("tokenizers")
+    from tokenizers import models, normalizers, pre_tokenizers, trainers
+
+    tok = tokenizers.Tokenizer(models.BPE(unk_token="[UNK]"))
+    tok.normalizer = normalizers.Sequence([normalizers.NFD(), normalizers.Lowercase(), normalizers.StripAccents()])
+    tok.pre_tokenizer = pre_tokenizers.Whitespace()
+    tok.train_from_iterator(texts, trainers.BpeTrainer(vocab_size=size, special_tokens=SPECIAL_TOKENS, show_progress=False))
+    return tok
+
+
+@pytest.mark.slow
+def test_thirty_thousand_entries_equal_the_library(spark):
+    """Vocabulary, merges and all encodings of the registered queries at full size."""
+    from conftest import SF01
+    from lexiframe.plans import catalog
+
+    docs = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    tok = _library([r.text for r in rows], catalog.BPE_VOCAB_SIZE)
+    theirs = sorted(tok.get_vocab(), key=tok.get_vocab().get)
+    vocab = {r.id: r.token for r in catalog.q_bpe_vocab(spark, SF01).collect()}
+    assert [vocab[i] for i in range(len(vocab))] == theirs and len(theirs) == 30_000
+    got = {r.doc_id: r.ids_str for r in catalog.q_bpe_encode(spark, SF01).collect()}
+    assert got == {r.doc_id: " ".join(map(str, tok.encode(r.text).ids)) for r in rows}
+
+
+@pytest.mark.slow
+def test_training_on_files_and_web_flow_equal_the_library(spark):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+    from lexiframe.plans import catalog
+    from lexiframe.sources import corpus
+
+    docs = corpus.assign_split(corpus.text_rows(spark, SF001), "doc_id", catalog.SEED, catalog.SPLIT_FRACTIONS).collect()
+    tok = _library([r.text for r in docs if r.split != "test"], catalog.BPE_SMALL_SIZE)
+    conv = {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{SF001}/conversations.parquet").collect()}
+    got = {(r.conv_id, r.turn): r.ids_str for r in catalog.q_bpe_of_files(spark, SF001).collect()}
+    assert got == {k: " ".join(map(str, tok.encode(t).ids)) for k, t in conv.items()}
+
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pad, mark = lib.get_vocab_size(), lib.token_to_id("<|endoftext|>")
+    want = {r.doc_id: ([mark] + lib.encode(r.text, add_special_tokens=False).ids + [mark])[:catalog.MAX_LENGTH]
+            for r in docs if r.split == "train"}
+    rows = catalog.q_web_supplied_batches(spark, SF001).collect()
+    assert {r.doc_id for r in rows} == set(want)
+    longest = {}
+    for r in rows:
+        longest[r.batch_id] = max(longest.get(r.batch_id, 0), len(want[r.doc_id]))
+    for r in rows:
+        ids = want[r.doc_id]
+        more = longest[r.batch_id] - len(ids)
+        assert r.ids_str == " ".join(map(str, ids + [pad] * more))
+        assert r.mask_str == " ".join(["1"] * len(ids) + ["0"] * more)
 
 
 def test_specials_and_unknown(spark):
