@@ -116,6 +116,100 @@ def test_non_negative_risk_does_not_collapse():
     assert min(map(z, pos)) > 0 > max(map(z, neg))
 
 
+def test_risk_gradient_equals_differences_of_the_risk():
+    rng = np.random.default_rng(1)
+
+    def risk(pz, uz, prior):
+        soft = lambda z: np.log1p(np.exp(z))
+        inside = np.mean(soft(uz)) - prior * np.mean(soft(pz))
+        return prior * np.mean(soft(-pz)) + max(0.0, inside), inside
+
+    both = set()
+    for prior in (0.1, 0.5, 0.9):
+        pz, uz = rng.normal(size=5) + 1, rng.normal(size=9) - 2 * prior
+        gp, gu = toxicity.risk_gradient(pz, uz, prior)
+        both.add(risk(pz, uz, prior)[1] > 0)
+        for z, g in ((pz, gp), (uz, gu)):
+            for i in range(len(z)):
+                z[i] += 1e-5
+                up = risk(pz, uz, prior)[0]
+                z[i] -= 2e-5
+                down = risk(pz, uz, prior)[0]
+                z[i] += 1e-5
+                assert (up - down) / 2e-5 == pytest.approx(g[i], abs=1e-6)
+    assert both == {True, False}
+
+
+def test_levels_count_occurrences_across_slices(monkeypatch):
+    texts = ["abcde abcde xyz", "abcde " * 40, "", LONG[:9000]]
+    whole = toxicity.text_features(texts)
+    for t, f in zip(texts, whole):
+        s = f" {t} ".lower()
+        times = Counter(s[i:i + 5] for i in range(len(s) - 4)) if t else {}
+        assert len(f) == sum(n >= level for n in times.values() for level in toxicity.LEVELS)
+    model = toxicity.ToxicModel(np.arange(1.0, len(whole[1]) + 1) / 20, -3.0, 0.1, whole[1])
+    want = [-3.0 + model.weights[np.isin(model.keys, f)].sum() for f in whole]
+    for size in (1 << 20, 50):  # texts in one piece, and cut
+        monkeypatch.setattr(langid, "_SLICE", size)
+        got = model.score(texts)
+        assert np.allclose(np.log(got / (1 - got)), want)
+
+
+def test_long_clean_texts_of_the_training_words_stay():
+    """A toxic stem in one form comes up in long clean texts by chance; toxic texts have it in several forms."""
+    rng = random.Random(8)
+    ends = ["ing", "er", "ed", "est", "ly", "ous", "al", "ic"]
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+
+    def text(n, stems):
+        ws = [rng.choice(vocab) for _ in range(n)]
+        for e in rng.sample(ends, stems):
+            ws.insert(rng.randrange(len(ws)), "zorg" + e)
+        return " ".join(ws)
+
+    def clean(n):
+        return text(n, int(rng.random() < min(0.9, n / 3000)))
+
+    pos = [text(rng.randint(30, 600), rng.randint(3, 6)) for _ in range(300)]
+    neg = [clean(rng.randint(30, 600)) for _ in range(2400)]
+    model = _fit_plain(pos, pos + neg, 300 / 2700)
+    for n in (100, 1000, 5000, 20_000):
+        assert (model.score([clean(n) for _ in range(100)]) >= 0.5).mean() <= 0.02
+    assert (model.score([text(400, 4) for _ in range(200)]) >= 0.5).mean() >= 0.9
+
+
+def test_repeated_ids_give_one_fit(spark):
+    rows = _toxic_rows(300)
+    d = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(i, "other " + t) for i, t, _ in rows[:50]], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, y) for i, _, y in rows] + [(i, 1) for i in range(20)], "doc_id long, toxic int")
+    a = toxicity.fit_toxicity(d, lab, F.lit(True))
+    b = toxicity.fit_toxicity(d.orderBy(F.desc("text")).repartition(5), lab.repartition(3), F.lit(True))
+    assert a.bias == b.bias and (a.keys == b.keys).all() and (a.weights == b.weights).all()
+
+
+def test_runs_on_workers_without_the_package():
+    """A driver that started elsewhere, without PYTHONPATH: what tasks get must be plain."""
+    import os
+    import subprocess
+    import sys
+    import tempfile
+
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"""
+import sys
+sys.path.insert(0, {repo!r})
+from lexiframe.session import local_session
+spark = local_session(2)
+from lexiframe.llm import queries
+print(sum(queries.queries()[q](spark, "/root/testdata/sf0.001").count() > 0 for q in ("op7_toxicity", "op11_conversation_repair",
+      "op12_spelling_variants", "op13_compression_quality")))
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    got = subprocess.run([sys.executable, "-c", code], cwd=tempfile.mkdtemp(dir="/tmp"), env=env, capture_output=True, text=True,
+                         timeout=400)
+    assert got.stdout.strip().endswith("4"), got.stderr[-2000:]
+
+
 def test_toxicity_awkward_rows(spark):
     labels = spark.createDataFrame([(0, 1), (3, 0), (None, 1), (9, None)], "doc_id long, toxic int")
     model = toxicity.fit_toxicity(docs(spark), labels, F.lit(True))
