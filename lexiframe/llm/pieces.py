@@ -35,7 +35,7 @@ ALPHA, SEED = 1.0, 11
 ARENA_EDGES = 6_000_000
 BLOCK_CHARS = 1 << 20
 _LONG_UNIT = 64
-_FILTER_BITS = 17
+_FILTER_BITS = 20
 SPACE_MARK = "▁"
 
 
@@ -63,6 +63,12 @@ def substring_hashes(codes: np.ndarray, length: int, shorter: np.ndarray | None
         return h
 
 
+def extended(shorter: np.ndarray, mixed: np.ndarray) -> np.ndarray:
+    """Hashes of substrings that are one character longer (``mixed`` are the hashes of that character)."""
+    with np.errstate(over="ignore"):
+        return shorter * np.uint64(0xD6E8FEB86659FD93) + mixed
+
+
 class Vocabulary:
     """Surface strings, ids, log probabilities and byte pieces of a SentencePiece model file."""
 
@@ -97,14 +103,19 @@ class Vocabulary:
         self.units = re.compile(rf" *[^ {line}]+| +" + (r"|\n+" if line else ""))
         by_length: dict[int, list] = {}
         for text, (i, lp) in self.piece.items():
-            by_length.setdefault(len(text), []).append((int(substring_hashes(char_codes(text), len(text))[0]), i, lp))
+            by_length.setdefault(len(text), []).append((text, i, lp))
         self.tables = {}  # length -> sorted hashes, ids, log probabilities
-        self.maybe = {}  # length -> which leading bits of a hash occur, to skip most searches
+        # length -> which leading bits occur in hashes of piece beginnings of that length, to drop places early
+        self.maybe = {n: np.zeros(1 << _FILTER_BITS, dtype=bool) for n in range(1, self.longest + 1)}
         for n, rows in by_length.items():
-            h, i, lp = zip(*sorted(rows))
-            self.tables[n] = (np.array(h, dtype=np.uint64), np.array(i, dtype=np.int64), np.array(lp))
-            self.maybe[n] = np.zeros(1 << _FILTER_BITS, dtype=bool)
-            self.maybe[n][self.tables[n][0] >> np.uint64(64 - _FILTER_BITS)] = True
+            texts, i, lp = zip(*rows)
+            codes, first = char_codes("".join(texts)), np.arange(len(rows)) * n
+            h = None
+            for k in range(1, n + 1):  # all pieces of one length at once
+                h = substring_hashes(codes, k, h)
+                self.maybe[k][h[first] >> np.uint64(64 - _FILTER_BITS)] = True
+            order = np.argsort(h[first])
+            self.tables[n] = (h[first][order], np.array(i, dtype=np.int64)[order], np.array(lp)[order])
         self.pairs = {s[i:i + 2] for s in self.piece for i in range(len(s) - 1)}
 
     def split(self, text: str) -> list[str]:
@@ -139,8 +150,27 @@ class Sampler:
         self.starts, self.ends = np.zeros(0, np.int64), np.zeros(0, np.int64)  # nodes of each unit
         self.cum, self.prev, self.ids = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.first = np.zeros(0, np.int64)  # of each node's edges
+        self.used = np.zeros(0, np.int64)  # how often each unit came up
         self.nodes = 0
 
+    def _evict(self) -> None:
+        """Keep the units that came up most, up to half of the arena."""
+        last = np.r_[self.first, len(self.cum)]
+        edges = last[self.ends + 1] - last[self.starts]
+        order = np.argsort(-self.used, kind="stable")
+        keep = np.sort(order[np.cumsum(edges[order]) <= self.arena_edges // 2])
+        names = list(self.place)
+        lens, n = self.ends[keep] - self.starts[keep] + 1, edges[keep]
+        at_node, at_edge = np.cumsum(lens) - lens, np.cumsum(n) - n
+        shift = at_node - self.starts[keep]  # of node numbers
+        nodes = np.arange(lens.sum()) + np.repeat(self.starts[keep] - at_node, lens)
+        own = np.arange(n.sum()) + np.repeat(last[self.starts[keep]] - at_edge, n)
+        self.first = self.first[nodes] + np.repeat(at_edge - last[self.starts[keep]], lens)
+        self.cum, self.prev, self.ids = self.cum[own] + np.repeat(shift, n), self.prev[own] + np.repeat(shift, n), self.ids[own]
+        self.place = {names[u]: i for i, u in enumerate(keep.tolist())}
+        self.starts, self.ends, self.nodes = at_node, at_node + lens - 1, int(lens.sum())
+        self.used = self.used[keep] // 2
+
     def _add(self, units: list[str]) -> None:
         """Forward filtering of new units, all at once.  A unit of ``n`` characters has ``n + 1`` nodes.  An edge
         with a negative id spells a character without a piece in bytes."""
@@ -149,41 +179,44 @@ class Sampler:
         lens = np.array([len(u) for u in units], dtype=np.int64)
         unit = np.repeat(np.arange(len(units)), lens)
         first_node = np.cumsum(lens) - lens + np.arange(len(units))
-        start, end, ids, logp = [], [], [], []
-        h = None
+        start, ids, logp, length = [], [], [], []
+        mixed = substring_hashes(codes, 1)
+        room = np.cumsum(lens)[unit] - np.arange(len(codes))  # characters left in the unit
+        at, h = np.arange(len(codes)), mixed
         for k in range(1, min(vocab.longest, int(lens.max())) + 1):
-            h = substring_hashes(codes, k, h)
-            inside = unit[:len(h)] == unit[k - 1:]
-            if k > 1 and k in vocab.tables:
-                inside &= vocab.maybe[k][h >> np.uint64(64 - _FILTER_BITS)]
-            at = np.flatnonzero(inside)
+            if k > 1:  # places where a piece may still go on
+                stay = (room[at] >= k) & vocab.maybe[k - 1][h >> np.uint64(64 - _FILTER_BITS)]
+                at = at[stay]
+                h = extended(h[stay], mixed[at + k - 1])
             if k in vocab.tables:
                 names, of, lp = vocab.tables[k]
-                pos = np.minimum(np.searchsorted(names, h[at]), len(names) - 1)
-                hit = names[pos] == h[at]
-                i = at[hit]
+                near = np.flatnonzero(vocab.maybe[k][h >> np.uint64(64 - _FILTER_BITS)])
+                pos = np.minimum(np.searchsorted(names, h[near]), len(names) - 1)
+                hit = names[pos] == h[near]
+                i, pos = at[near[hit]], pos[hit]
                 start.append(i + unit[i])
-                end.append(i + unit[i] + k)
-                ids.append(of[pos[hit]])
-                logp.append(lp[pos[hit]])
-            else:
-                hit = np.zeros(len(at), dtype=bool)
-            if k == 1 and not hit.all():
-                i = at[~hit]
+                ids.append(of[pos])
+                logp.append(lp[pos])
+                length.append(np.full(len(i), k))
+            if k == 1:
+                alone = np.ones(len(codes), dtype=bool)
+                alone[i if k in vocab.tables else []] = False
+                i = np.flatnonzero(alone)
                 c = codes[i].astype(np.int64)
                 start.append(i + unit[i])
-                end.append(i + unit[i] + 1)
                 ids.append(-c - 1)
                 logp.append(vocab.byte_logp * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)))
-        start, end, ids, logp = map(np.concatenate, (start, end, ids, logp))
-        order = np.lexsort((start, end))
-        start, end, ids, logp = start[order], end[order], ids[order], logp[order] * self.alpha
+                length.append(np.ones(len(i), dtype=np.int64))
+        start, ids, logp, length = map(np.concatenate, (start, ids, logp, length))
+        # by end, then start: few sorted runs, which a stable sort merges
+        order = np.argsort((start + length) * (vocab.longest + 1) + vocab.longest - length, kind="stable")
+        start, end, ids, logp = start[order], (start + length)[order], ids[order], logp[order] * self.alpha
         total = int(lens.sum()) + len(units)
         node_unit = np.repeat(np.arange(len(units)), lens + 1)
         depth = end - first_node[node_unit[end]]
         weight = np.zeros(total)  # log of the summed weight of all paths to a node
         within = np.empty(len(end))
-        by_depth = np.argsort(depth, kind="stable")
+        by_depth = np.argsort(depth.astype(np.uint16) if int(lens.max()) < 1 << 16 else depth, kind="stable")
         cut = np.searchsorted(depth[by_depth], np.arange(1, int(lens.max()) + 2))
         for lo, hi in zip(cut, cut[1:]):
             at = by_depth[lo:hi]
@@ -220,12 +253,11 @@ class Sampler:
         if not flat:
             return np.zeros(0, np.int32), counts
         new = [u for u in dict.fromkeys(flat) if u not in self.place]
-        if len(self.cum) > self.arena_edges:
-            self._reset()
-            new = list(dict.fromkeys(flat))
         if new:
             self._add(new)
+            self.used = np.r_[self.used, np.zeros(len(new), np.int64)]
         unit = np.fromiter(map(self.place.__getitem__, flat), dtype=np.int64, count=len(flat))
+        self.used += np.bincount(unit, minlength=len(self.used))
         start, cur = self.starts[unit], self.ends[unit]
         n_units = np.array([len(us) for us in per_text], dtype=np.int64)
         row = np.repeat(np.arange(len(texts)), n_units)
@@ -258,6 +290,8 @@ class Sampler:
         out = np.empty(int(n_ids.sum()), dtype=np.int32)
         for k, (at, ids) in enumerate(steps):  # the first draw is the unit's last piece
             out[offset[at] + n_ids[at] - 1 - k] = ids
+        if len(self.cum) > self.arena_edges:
+            self._evict()
         owner = np.repeat(row, n_ids)
         size = np.ones(len(out), dtype=np.int64)
         spelled = np.flatnonzero(out < 0)

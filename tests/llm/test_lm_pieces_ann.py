@@ -191,3 +191,18 @@ def test_neighbours_awkward_rows(spark):
         got = [(-r.score, r.vec_id) for r in sorted((r for r in out if r.query_id == q), key=lambda r: r.rank)]
         assert got == want
     assert neighbours.nearest(df.limit(0), F.col("id") % 20 == 0).count() == 0
+
+
+def test_eviction_changes_no_sample():
+    """An arena that is always too small gives the samples of a large one."""
+    import random
+
+    vocab = pieces.Vocabulary(pieces.default_path())
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdeé ") for _ in range(rng.randint(1, 14))) for _ in range(400)]
+    blocks = [([str(i)], [" ".join(rng.choice(words) for _ in range(150))]) for i in range(12)]
+    small, large = (pieces.Sampler(vocab, arena_edges=n) for n in (2000, 10 ** 9))
+    for keys, texts in blocks:
+        (a, na), (b, nb) = (s.sample(texts, keys) for s in (small, large))
+        assert a.tolist() == b.tolist() and na.tolist() == nb.tolist()
+    assert len(small.cum) <= 2000 < len(large.cum)
