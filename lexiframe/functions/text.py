@@ -1,17 +1,16 @@
 """Column functions on text: predicates, heading clean-up, normalisation, pre-tokenization.
 
-Everything here returns a ``Column``; all but the non-ASCII branch of
-``normalize`` are JVM expressions inside whole-stage codegen.
+Everything here returns a ``Column`` of JVM expressions; no Python worker runs.
 """
 
 from __future__ import annotations
 
 import json
+import unicodedata
+from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference's behaviour)
@@ -20,8 +19,6 @@ from pyspark.sql import types as T
 SPECIAL_TOKENS = ["[UNK]", "[PAD]", "[CLS]", "[SEP]", "[MASK]", "[EOS]", "[BOS]"]
 # Boundary markers of the web-text variant (both ends).
 WEB_MARKER = "<|endoftext|>"
-# Wiki heading pattern (multiline), replaced by its 2nd group, first match only.
-HEADING_PATTERN = r"^ ?(= )+(.+) ?(= ?)+$"
 # Pre-tokenizer: runs of word characters, or runs of other non-space characters.
 WORD_PATTERN = r"\w+|[^\w\s]+"
 # ---------------------------------------------------------------------------
@@ -73,24 +70,29 @@ def _is_ascii_or_sentinel(text: Column) -> Column:
     return ~text.rlike(f"[^\\x00-\\x7f{_SENTINEL_CLASS}]")
 
 
-@F.pandas_udf(T.StringType())
-def _nfd_lower(texts: pd.Series) -> pd.Series:
-    import unicodedata
+def _decomposed(text: Column) -> Column:
+    """Canonical decomposition (NFD), by the Unicode library that Spark itself uses for collations."""
+    return F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), text, F.lit(False))
 
-    # characters are lowered one by one, so a final capital sigma is not special
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFD", t).replace("\u03A3", "\u03C3").lower())
+
+@lru_cache(maxsize=1)
+def _marks() -> str:
+    """Class of the accent marks: Java's own, and those of newer Unicode versions, from the driver's tables."""
+    own = [c for c in range(0x110000) if unicodedata.category(chr(c))[0] == "M"]
+    first = [c for i, c in enumerate(own) if not i or own[i - 1] != c - 1]
+    last = [c for i, c in enumerate(own) if i + 1 == len(own) or own[i + 1] != c + 1]
+    return "[\\p{M}" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(first, last)) + "]+"
 
 
 def normalize(text: Column) -> Column:
-    """NFD -> lowercase -> strip accents.
+    """NFD -> lowercase -> strip accents, in the JVM.
 
-    ASCII rows (the bulk of most corpora) are lower-cased in the JVM; only
-    rows with non-ASCII characters go through an Arrow-batched Python UDF,
-    and the JVM drops the accent marks (category Mark).
+    ASCII rows are lower-cased only.  Characters are lowered one by one, so a final capital sigma is not
+    special; accent marks (category Mark) go last.
     """
-    fast = _is_ascii_or_sentinel(text)
-    return F.when(fast, F.lower(text)).otherwise(
-        F.regexp_replace(_nfd_lower(F.when(~fast, text)), r"\p{M}+", ""))
+    other = F.lower(F.replace(_decomposed(text), F.lit("\u03A3"), F.lit("\u03C3")))
+    return (F.when(_is_ascii_or_sentinel(text), F.lower(text))
+            .when(text.isNotNull(), F.regexp_replace(other, _marks(), "")))
 
 
 def pretokenize(text: Column) -> Column:

@@ -123,15 +123,20 @@ def batch_max_length(df: DataFrame, ids_cols: list[str], batch_col: str = "batch
     return df.groupBy(batch_col).agg(*[F.max(F.size(c)).alias(f"_len_{c}") for c in ids_cols])
 
 
-def pad_batches(df: DataFrame, ids_cols: list[str], pad_id: int,
-                batch_col: str = "batch_id", mask_suffix: str = "_attention_mask") -> DataFrame:
+def pad_batches(df: DataFrame, ids_cols: list[str], pad_id: int, batch_col: str = "batch_id",
+                mask_suffix: str = "_attention_mask", by_batch: bool = False) -> DataFrame:
     """Right-pad every id array to the longest in its batch; add the attention masks.
 
     Each id column is padded on its own (source and target independently).
     The per-batch lengths are a table of one row per batch, joined on the
-    batch; Spark picks the join from its size at run time.
+    batch; Spark picks the join from its size at run time.  ``by_batch``: deal the rows by batch instead and
+    take the lengths there (a batch is ``batch_size`` rows), for steps that need whole batches anyway.
     """
-    out = df.join(batch_max_length(df, ids_cols, batch_col), batch_col)
+    if by_batch:
+        own = Window.partitionBy(batch_col)
+        out = df.repartition(batch_col).select("*", *[F.max(F.size(c)).over(own).alias(f"_len_{c}") for c in ids_cols])
+    else:
+        out = df.join(batch_max_length(df, ids_cols, batch_col), batch_col)
     for c in ids_cols:
         L = F.col(f"_len_{c}")
         out = out.withColumn(f"{c}{mask_suffix}", mask_of(F.col(c), L)) \

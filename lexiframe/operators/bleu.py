@@ -8,15 +8,15 @@ reference lengths (ties to the shorter); 0 when no unigram matches; an order
 with no match contributes the smallest positive double (no smoothing).
 
 A hypothesis and its references share one row, so its n-grams are counted
-within the row: nothing but four numbers per order is ever shuffled.
+within the row, by array operations over a batch of rows: nothing but four numbers per order is ever shuffled.
 """
 
 from __future__ import annotations
 
 import sys
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,20 +27,56 @@ DEFAULT_WEIGHTS = (0.25, 0.25, 0.25, 0.25)
 ZERO_MATCH_VALUE = sys.float_info.min
 
 
-def ngram_counts(tokens: list, n: int) -> Counter:
-    return Counter(zip(*[tokens[i:] for i in range(n)]))
-
-
-def row_stats(hyp: list, refs: list[list], orders: int) -> list[tuple[int, int, int]]:
-    """``(n, clipped matches, denominator)`` of one hypothesis."""
-    out = []
+def _grams(tokens: np.ndarray, owner: np.ndarray, orders: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each order the n-grams that lie within one owner, as dense numbers, and their owners.  An n-gram is numbered by
+    the (n-1)-gram it begins with and its last token, so numbers are equal only for equal n-grams."""
+    grams, width = tokens.astype(np.int64), int(tokens.max(initial=0)) + 1
     for n in range(1, orders + 1):
-        h = ngram_counts(hyp, n)
-        best: Counter = Counter()
-        for r in refs:
-            best |= ngram_counts(r, n)
-        out.append((n, sum(min(c, best[g]) for g, c in h.items()), max(1, len(hyp) - n + 1)))
-    return out
+        if n > 1:
+            grams = np.unique(grams[:-1] * width + tokens[n - 1:], return_inverse=True)[1] if len(grams) > 1 else grams[:0]
+        k = len(grams)
+        whole = owner[:k] == owner[n - 1:n - 1 + k]
+        yield n, grams[whole], owner[:k][whole]
+
+
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(keys, return_counts=True)
+
+
+def batch_stats(hyps: pa.ListArray, refs: pa.ListArray, orders: int) -> tuple[np.ndarray, np.ndarray, list, np.ndarray]:
+    """Clipped matches and denominators ``(row, order)``, and the lengths of each hypothesis and of its closest reference
+    (None without one).  All rows of a batch at once."""
+    rows = len(hyps)
+    lens = lambda a: a.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    each = refs.flatten()  # the references of all rows
+    words = pa.chunked_array([hyps.flatten().cast(pa.string()), each.flatten().cast(pa.string())]).combine_chunks()
+    tokens = words.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    h_len, r_len, of_row = lens(hyps), lens(each), np.repeat(np.arange(rows), lens(refs))
+    # owners: the hypotheses are 0 .. rows-1, the references follow
+    owner = np.repeat(np.arange(rows + len(each)), np.r_[h_len, r_len])
+    row_of = np.r_[np.arange(rows), of_row]
+    num = np.zeros((rows, orders), dtype=np.int64)
+    for n, grams, own in _grams(tokens, owner, orders):
+        width = int(grams.max(initial=0)) + 1
+        is_hyp = own < rows
+        h_keys, h_n = _counted(own[is_hyp] * width + grams[is_hyp])
+        keys, counts = _counted(own[~is_hyp] * width + grams[~is_hyp])
+        # the most that one reference of the row has of it
+        keys = row_of[keys // width] * width + keys % width
+        order = np.lexsort((-counts, keys))
+        keys, counts = keys[order], counts[order]
+        top = np.r_[True, keys[1:] != keys[:-1]][:len(keys)]
+        keys, counts = keys[top], counts[top]
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, h_keys), len(keys) - 1)
+            clipped = np.where(keys[at] == h_keys, np.minimum(h_n, counts[at]), 0)
+            num[:, n - 1] = np.bincount(h_keys // width, weights=clipped, minlength=rows)
+    den = np.maximum(h_len[:, None] - np.arange(orders), 1)
+    near: list = [None] * rows
+    for i, k in zip(of_row.tolist(), r_len.tolist()):  # closest reference length, ties to the shorter one
+        if near[i] is None or (abs(k - h_len[i]), k) < (abs(near[i] - h_len[i]), near[i]):
+            near[i] = k
+    return num, den, near, h_len
 
 
 def sentence_stats(pairs: DataFrame, keys: str | tuple[str, ...] = "pair_id", hyp: str = "hyp", refs: str = "refs",
@@ -52,18 +88,12 @@ def sentence_stats(pairs: DataFrame, keys: str | tuple[str, ...] = "pair_id", hy
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, cols = [], [[] for _ in range(5)]
-            for i, (h, rs) in enumerate(zip(b.column(len(keys)).to_pylist(), b.column(len(keys) + 1).to_pylist())):
-                h, rs = h or [], [r or [] for r in rs or []]
-                # closest reference length, ties to the shorter one
-                near = min((len(r) for r in rs), key=lambda x: (abs(x - len(h)), x), default=None)
-                for n, num, den in row_stats(h, rs, orders):
-                    at.append(i)
-                    for c, v in zip(cols, (n, len(h), near, num, den)):
-                        c.append(v)
-            own = [b.column(k).take(pa.array(at, pa.int64())) for k in range(len(keys))]
-            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays(own + [pa.array(c, t) for c, t in zip(cols, kinds)],
+            num, den, near, lens = batch_stats(b.column(len(keys)), b.column(len(keys) + 1), orders)
+            at = pa.array(np.repeat(np.arange(b.num_rows), orders), pa.int64())
+            cols = [pa.array(np.tile(np.arange(1, orders + 1), b.num_rows), pa.int32()),
+                    pa.array(lens, pa.int32()).take(at), pa.array(near, pa.int32()).take(at),
+                    pa.array(num.ravel(), pa.int64()), pa.array(den.ravel(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column(k).take(at) for k in range(len(keys))] + cols,
                                              names=[*keys, "n", "hyp_len", "ref_len", "num", "den"])
 
     kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)

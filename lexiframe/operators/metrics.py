@@ -70,17 +70,35 @@ def results(hist: DataFrame, test_loss: DataFrame, test_bleu: DataFrame | None =
     return rows.agg(*fields)
 
 
-def score_batches(batches: DataFrame, scorer, schema: str, batch: str = "batch_id") -> DataFrame:
+def score_batches(batches: DataFrame, scorer, schema: str, batch: str = "batch_id", resident: bool = False,
+                  dealt: bool = False) -> DataFrame:
     """Run a user-supplied scorer over each padded batch (a pandas frame of at
     most ``batch_size`` rows) and return its per-token rows, e.g.
     ``batch_id long, seq_id long, pos int, loss double, mask int``.
 
-    Groups are batches, so every Python call sees a bounded frame; the scorer
-    gets the rows of one batch in slot order.
+    Rows are dealt by batch and sorted, and each task cuts its batches from one
+    stream of frames, so the scorer gets the rows of one batch, in slot order
+    if there are slots.  ``resident``: ``scorer`` loads a model and returns the
+    function that scores a batch; it is called once a task.  ``dealt``: the
+    rows of a batch are together already (``pad_batches(by_batch=True)``), so no exchange is added.
     """
-    def run(pdf):
-        if "slot" in pdf.columns:
-            pdf = pdf.sort_values("slot")
-        return scorer(pdf)
-
-    return batches.groupBy(batch).applyInPandas(run, schema)
+    order = [c for c in (batch, "slot") if c in batches.columns]
+    rows = (batches if dealt else batches.repartition(batch)).sortWithinPartitions(*order)
+
+    def run(frames):
+        import pandas as pd
+
+        score = scorer() if resident else scorer
+        held: list = []  # the parts of the batch that the last frame ended with
+        for pdf in frames:
+            ids = pdf[batch].to_numpy()
+            cuts = [0, *(i for i in range(1, len(ids)) if ids[i] != ids[i - 1]), len(ids)]
+            for s, e in zip(cuts, cuts[1:]):
+                if held and held[-1][batch].iloc[0] != ids[s]:
+                    yield score(pd.concat(held, ignore_index=True))
+                    held = []
+                held.append(pdf.iloc[s:e])
+        if held:
+            yield score(pd.concat(held, ignore_index=True))
+
+    return rows.mapInPandas(run, schema)

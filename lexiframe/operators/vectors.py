@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiframe.functions.rows import explode_rows
+
+
 def positional_value(pos: Column, dim: Column, d_model: int) -> Column:
     """sin for even dims, cos for odd dims, of ``pos / 10000^(dim/d_model)``
     (every dim has its own frequency, odd ones included)."""
@@ -26,13 +29,27 @@ def positional_table(spark, max_len: int, d_model: int) -> DataFrame:
 
 
 def lookup_vectors(tokens: DataFrame, vectors: DataFrame, token_col: str = "token_id",
-                   id_col: str = "id", vec_col: str = "vector") -> DataFrame:
-    """Equi-join token rows with a vector table; Spark picks the join from the
-    sizes at run time.  A token without a vector keeps its row, with a null
-    vector, so nothing is lost silently (``count_if(vector is null)`` tells
-    how many)."""
-    v = vectors.select(F.col(id_col).alias(token_col), F.col(vec_col).cast("array<double>").alias(vec_col))
-    return tokens.join(v, token_col, "left")
+                   id_col: str = "id", vec_col: str = "vector", salts: int | None = None) -> DataFrame:
+    """Equi-join token rows with a vector table.  A token without a vector
+    keeps its row, with a null vector, so nothing is lost silently
+    (``count_if(vector is null)`` tells how many).
+
+    Hot ids are split: ids with more than ``1 / (4 * partitions)`` of all tokens are at most ``4 * partitions``, a
+    bound that lets their list be broadcast.  A hot id's tokens are dealt to ``salts`` join keys by a hash of the row
+    and its vector is repeated for each; all others keep one key.
+    """
+    n = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = salts or n
+    counts = tokens.where(F.col(token_col).isNotNull()).groupBy(F.col(token_col).alias("_hot")).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n").alias("t")).select("t").scalar()
+    hot = F.broadcast(counts.where(F.col("_n") * F.lit(4 * n) > total).select("_hot"))
+    salt = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(*tokens.columns), F.lit(salts))).otherwise(F.lit(0)).cast("int")
+    dealt = tokens.join(hot, F.col(token_col) == F.col("_hot"), "left").select(*tokens.columns, salt.alias("_salt"))
+    v = vectors.select(F.col(id_col).alias("_id"), F.col(vec_col).cast("array<double>").alias(vec_col))
+    copies = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    v = explode_rows(v.join(hot, F.col("_id") == F.col("_hot"), "left"), copies, "_part", "_id", vec_col)
+    return (dealt.join(v, (F.col(token_col) == F.col("_id")) & (F.col("_salt") == F.col("_part")), "left")
+            .drop("_salt", "_part", "_id"))
 
 
 def add_positions(vec: Column, pos: Column, d_model: int) -> Column:

@@ -16,14 +16,18 @@ from lexiframe.functions.rows import posexplode_rows
 from lexiframe.functions.text import SPECIAL_TOKENS, non_blank, non_empty, normalize, pretokenize, strip_heading
 from lexiframe.operators import batches as B
 from lexiframe.operators import metrics as M
+from lexiframe.operators.asof import as_of
 from lexiframe.operators.bleu import corpus_bleu, pair_up, sentence_stats
 from lexiframe.operators.bpe import BpeModel, add_pad_token, byte_model, encode, load_byte_model, train_bpe
 from lexiframe.operators.vectors import lookup_vectors, with_positions
-from lexiframe.operators.vocab import char_vocab, ids_to_tokens_col, string_pair_counts, token_ids, word_counts
+from lexiframe.operators.vocab import char_vocab, ids_to_tokens_col, string_pair_counts, token_ids, vocab_size, \
+    word_counts
 from lexiframe.plans import prep
 from lexiframe.session import scratch_path, table_path
 from lexiframe.sources import corpus as C
+from lexiframe.sources import layout as L
 from lexiframe.sources import sinks as S
+from lexiframe.sources import versions as V
 
 # Parameters of the registered queries (the reference's defaults where it has one).
 SEED = 0
@@ -39,6 +43,7 @@ BPE_VOCAB_SIZE = 30_000
 # registered at a size that the oracle can follow.
 BPE_SMALL_SIZE = 200
 D_MODEL = 64
+ROWS_PER_BLOCK = 500  # of the numbered layout; the tables here are small
 
 BOS, EOS, PAD, SEP = (SPECIAL_TOKENS.index(t) for t in ("[BOS]", "[EOS]", "[PAD]", "[SEP]"))
 
@@ -269,9 +274,9 @@ def q_shuffle_batches(spark, sf):
     return b.select("doc_id", "idx", "batch_id", F.col("slot").cast("long").alias("slot"))
 
 
-def _lm_batches(spark, sf):
+def _lm_batches(spark, sf, by_batch=False):
     _, model, seqs = _char_lm(spark, sf)
-    return model, prep.lm_batches(seqs, model, batch_size=BATCH_SIZE, seed=SEED)
+    return model, prep.lm_batches(seqs, model, batch_size=BATCH_SIZE, seed=SEED, by_batch=by_batch)
 
 
 def q_lm_batches(spark, sf):
@@ -300,23 +305,23 @@ def q_shifted_tokens(spark, sf):
                     F.col("label").cast("long").alias("label"), F.col("mask").cast("long").alias("mask"))
 
 
-def q_scored_batches(spark, sf):
-    """The batch scoring hook over LM batches with a per-batch unigram scorer."""
-    _, b = _lm_batches(spark, sf)
+def _scored_lm(spark, sf):
+    """LM batches, dealt by batch once, through the scoring hook with a per-batch unigram scorer."""
+    _, b = _lm_batches(spark, sf, by_batch=True)
     sh = prep.lm_shifted(b).select("batch_id", "doc_id", "labels", "labels_mask")
-    scored = M.score_batches(sh, prep.unigram_batch_scorer(),
-                             "batch_id long, doc_id long, pos int, loss double, mask int")
-    return M.batch_losses(scored).select("batch_id", _r(F.col("batch_loss")).alias("batch_loss"), "n_tokens")
+    return M.batch_losses(M.score_batches(sh, prep.unigram_batch_scorer, "batch_id long, doc_id long, pos int, loss double, mask int",
+                                          resident=True, dealt=True))
+
+
+def q_scored_batches(spark, sf):
+    """The batch scoring hook over LM batches; the scorer is loaded once a task."""
+    return _scored_lm(spark, sf).select("batch_id", _r(F.col("batch_loss")).alias("batch_loss"), "n_tokens")
 
 
 def q_lm_eval_loss(spark, sf):
     """Evaluation loss (mean of batch means), token-weighted loss and perplexity
     over the scored LM batches."""
-    _, b = _lm_batches(spark, sf)
-    sh = prep.lm_shifted(b).select("batch_id", "doc_id", "labels", "labels_mask")
-    scored = M.score_batches(sh, prep.unigram_batch_scorer(),
-                             "batch_id long, doc_id long, pos int, loss double, mask int")
-    e = M.evaluation_loss(M.batch_losses(scored))
+    e = M.evaluation_loss(_scored_lm(spark, sf))
     return e.select(_r(F.col("eval_loss")).alias("eval_loss"),
                     _r(F.col("token_weighted_loss")).alias("token_weighted_loss"),
                     F.col("n_batches").cast("long").alias("n_batches"),
@@ -621,6 +626,90 @@ def q_edge_texts(spark, sf):
                     non_empty(text).cast("long").alias("is_filled"), strip_heading(text).alias("text"))
 
 
+# -------------------------------------------- layouts, versions, as-of, coverage
+
+def q_rows_by_position(spark, sf):
+    """Every 20th row of the table by its position, from a numbered layout of which only the blocks asked for are read."""
+    path = scratch_path(spark, "positions")
+    docs = _docs(spark, sf)
+    L.write_positions(docs, path, "doc_id", ROWS_PER_BLOCK)
+    wanted = docs.select((F.col("doc_id") * 20).alias("row"))  # positions beyond the end give no row
+    return L.fetch_positions(spark, path, wanted, rows_per_block=ROWS_PER_BLOCK).select(
+        "row", "doc_id", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def q_replaced_dataset(spark, sf):
+    """A prepared dataset replaced as a whole: the second version is read, the first is still there by its number."""
+    path = scratch_path(spark, "versions")
+    docs = C.assign_split(_docs(spark, sf), "doc_id", SEED, SPLIT_FRACTIONS)
+    V.save_version(docs, path)
+    V.save_version(docs.where(non_blank(F.col("text"))).withColumn("text", normalize(F.col("text"))), path, "overwrite")
+    V.save_version(docs.limit(0), path, "ignore")
+    new = V.read_version(spark, path).groupBy("split").agg(F.count(F.lit(1)).alias("n_new"), F.sum(F.char_length("text")).alias("c_new"))
+    old = V.read_version(spark, path, version=1).groupBy("split").agg(F.count(F.lit(1)).alias("n_old"),
+                                                                     F.sum(F.char_length("text")).alias("c_old"))
+    return old.join(new, "split", "left")
+
+
+def q_history_as_of(spark, sf):
+    """Training losses with the validation loss last known at each step: a validation run a batch of its split."""
+    val = _split_losses(spark, sf, "validation").select((F.col("batch_id") * BATCH_SIZE).alias("step"),
+                                                        F.col("batch_loss").alias("val_loss"))
+    train = _split_losses(spark, sf, "train", SMOOTHING).select((F.col("batch_id") * BATCH_SIZE).alias("step"),
+                                                                F.col("batch_loss").alias("loss"))
+    h = as_of(train, val.where((F.col("step") / BATCH_SIZE) % 3 == 1), "step", "val_loss", width=EVAL_STEPS)
+    return h.select("step", _r(F.col("loss")).alias("loss"), _r(F.col("val_loss")).alias("val_loss"))
+
+
+def q_dataset_columns(spark, sf):
+    """Names, types, rows and nulls of the columns of the documents table."""
+    c = C.dataset_columns(C.read_table(spark, sf, "documents"))
+    return c.select(F.col("position").cast("long").alias("position"), "name", "type", "n_rows", "n_nulls")
+
+
+def q_stream_marked(spark, sf):
+    """Normalised texts from a stream whose position is in a progress table; a second run finds nothing new."""
+    from lexiframe.streaming.incremental import run_marked
+
+    out, ck, progress = (scratch_path(spark, n) for n in ("marked-out", "marked-ckpt", "marked-progress"))
+    for _ in range(2):
+        run_marked(spark, table_path(sf, "documents").replace(".parquet", "*.parquet"), "doc_id long, text string", out, ck,
+                   progress)
+    return spark.read.parquet(out).select("doc_id", "n_words", F.lit(S.load_progress(spark, progress, "stream")).alias("next_batch"))
+
+
+def q_vocab_sizes(spark, sf):
+    """Entries of the documents' character vocabulary, with and without the specials."""
+    with_specials = vocab_size(char_vocab(_docs(spark, sf)))
+    own = vocab_size(char_vocab(_docs(spark, sf)).where(F.col("kind") == "alphabet"))
+    return with_specials.select(F.lit("all").alias("part"), "vocab_size").unionByName(
+        own.select(F.lit("alphabet").alias("part"), "vocab_size"))
+
+
+def q_clipped_grown(spark, sf):
+    """Sequences capped at half the usual length, and grown by some padding."""
+    _, _, seqs = _char_lm(spark, sf)
+    short = B.clip(F.col("ids"), MAX_LENGTH // 2)
+    return seqs.select("doc_id", _join_ints(short).alias("clipped"), _join_ints(B.grow(short, PAD, 16)).alias("grown"))
+
+
+def q_shifted_inputs(spark, sf):
+    """The input side of the next-token shift: ids and mask without the last place, labels without the first."""
+    _, b = _lm_batches(spark, sf)
+    s = prep.lm_shifted(b)
+    return s.select("doc_id", _join_ints(F.col("input_ids")).alias("input_str"), _join_ints(F.col("input_mask")).alias("mask_str"),
+                    _join_ints(F.col("labels")).alias("label_str"))
+
+
+def q_softmax_values(spark, sf):
+    """Every probability of every scored token."""
+    from lexiframe.functions.scores import softmax
+
+    s = _scored(spark, sf).select(F.col("seq_id").alias("vec_id"), softmax(F.col("z")).alias("p"))
+    return posexplode_rows(s, F.col("p"), "class", "v", "vec_id").select(
+        "vec_id", F.col("class").cast("long").alias("class"), _r(F.col("v")).alias("p"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "word_counts": q_word_counts,
@@ -677,6 +766,15 @@ def queries() -> dict[str, Query]:
         "specials_in_text": q_specials_in_text,
         "word_token_ids": q_word_token_ids,
         "edge_texts": q_edge_texts,
+        "rows_by_position": q_rows_by_position,
+        "replaced_dataset": q_replaced_dataset,
+        "history_as_of": q_history_as_of,
+        "dataset_columns": q_dataset_columns,
+        "stream_marked": q_stream_marked,
+        "vocab_sizes": q_vocab_sizes,
+        "clipped_grown": q_clipped_grown,
+        "shifted_inputs": q_shifted_inputs,
+        "softmax_values": q_softmax_values,
         "bpe_vocab_small": q_bpe_vocab_small,
         "bpe_encode_small": q_bpe_encode_small,
         "bpe_lm_batches_small": q_bpe_lm_batches_small,

@@ -424,4 +424,39 @@ LEFT JOIN ({SPECIALS_SQL} UNION ALL SELECT token, id FROM alpha) v ON v.token =
          ' = = Title = =' || chr(10) || text, text]) AS text FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, form, regexp_matches(text, '{NONSPACE_RE}')::BIGINT AS is_text, (text <> '')::BIGINT AS is_filled,
        regexp_replace(text, '{HEADING_RE}', '\\1\\2') AS text FROM e"""
+    q["rows_by_position"] = """
+SELECT row, doc_id, length(text)::BIGINT AS n_chars FROM (
+  SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row, doc_id, text FROM documents) x
+WHERE row IN (SELECT doc_id * 20 FROM documents)"""
+    q["replaced_dataset"] = f"""WITH d AS (SELECT {_split_case('doc_id')} AS split, text FROM documents),
+o AS (SELECT split, count(*)::BIGINT AS n_old, sum(length(text))::BIGINT AS c_old FROM d GROUP BY split),
+n AS (SELECT split, count(*)::BIGINT AS n_new, sum(length({NORM.format('text')}))::BIGINT AS c_new FROM d
+      WHERE regexp_matches(text, '{NONSPACE_RE}') GROUP BY split)
+SELECT * FROM o LEFT JOIN n USING (split)"""
+    as_of_parts = parted[:parted.index("ev AS (")].rstrip().rstrip(",")
+    q["history_as_of"] = f"""WITH {as_of_parts},
+tr AS (SELECT (batch_id * {BATCH_SIZE})::BIGINT AS step, smooth_batch_loss AS loss FROM bl WHERE split = 'train'),
+va AS (SELECT (batch_id * {BATCH_SIZE})::BIGINT AS step, batch_loss AS val_loss FROM bl
+       WHERE split = 'validation' AND batch_id % 3 = 1 AND batch_loss IS NOT NULL)
+SELECT tr.step, {_r('loss')} AS loss, {_r('val_loss')} AS val_loss FROM tr ASOF LEFT JOIN va ON tr.step >= va.step"""
+    q["dataset_columns"] = "\nUNION ALL ".join(
+        f"SELECT {i}::BIGINT AS position, '{c}' AS name, '{t}' AS type, count(*)::BIGINT AS n_rows, "
+        f"(count(*) - count({c}))::BIGINT AS n_nulls FROM documents"
+        for i, (c, t) in enumerate((("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"),
+                                    ("n_chars", "bigint"))))
+    q["stream_marked"] = f"""
+SELECT doc_id, len({_words('text')})::BIGINT AS n_words, 1::BIGINT AS next_batch
+FROM documents WHERE regexp_matches(text, '{NONSPACE_RE}')"""
+    q["vocab_sizes"] = f"""WITH {ALPHA_CTE}
+SELECT 'all' AS part, (count(*) + 7)::BIGINT AS vocab_size FROM alpha
+UNION ALL SELECT 'alphabet', count(*)::BIGINT FROM alpha"""
+    half = MAX_LENGTH // 2
+    q["clipped_grown"] = f"""WITH {LM_CTE}
+SELECT doc_id, {_ints(f'ids[1:{half}]')} AS clipped,
+       {_ints(f"list_concat(ids[1:{half}], list_transform(range(16), lambda x: 1))")} AS grown FROM enc"""
+    q["shifted_inputs"] = f"""WITH {LM_CTE}
+SELECT doc_id, {_ints('ids[1:len(ids) - 1]')} AS input_str, {_ints('mask[1:len(mask) - 1]')} AS mask_str,
+       {_ints('ids[2:]')} AS label_str FROM pb"""
+    q["softmax_values"] = f"""WITH {SCORED_CTE}
+SELECT vec_id, (generate_subscripts(z, 1) - 1)::BIGINT AS class, {_r('exp(unnest(z) - lse)')} AS p FROM tl"""
     return {k: v.strip() for k, v in q.items()}

@@ -37,13 +37,13 @@ def lm_sequences(texts: DataFrame, model: BpeModel, key: str = "doc_id", text: s
 
 
 def lm_batches(seqs: DataFrame, model: BpeModel, key: str = "doc_id", batch_size: int = 64,
-               seed: int = 0, pad: str = "[PAD]") -> DataFrame:
+               seed: int = 0, pad: str = "[PAD]", by_batch: bool = False) -> DataFrame:
     """Shuffle by seed, batch, pad to the longest in each batch and add masks.
 
     The encoded rows (at most ``max_length`` ids each) are what the index
-    shuffle moves; the text is not carried along.
+    shuffle moves; the text is not carried along.  ``by_batch``: as in ``pad_batches``.
     """
-    return pad_batches(assign_batches(seqs, key, batch_size, seed), ["ids"], model.token_to_id(pad))
+    return pad_batches(assign_batches(seqs, key, batch_size, seed), ["ids"], model.token_to_id(pad), by_batch=by_batch)
 
 
 def lm_shifted(batches: DataFrame, ids: str = "ids", mask: str = "ids_attention_mask") -> DataFrame:

@@ -115,3 +115,14 @@ def dataset_info(df: DataFrame, text: str = "text", by: str | None = "split") ->
         F.max(n).alias("max_chars"),
     ]
     return df.groupBy(by).agg(*aggs) if by else df.agg(*aggs)
+
+
+def dataset_columns(df: DataFrame) -> DataFrame:
+    """``(position, name, type, n_rows, n_nulls)`` of every column, in one aggregation."""
+    fields = df.schema.fields
+    one = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(f"`{f.name}`").isNull()).alias(f"_{i}")
+                                                for i, f in enumerate(fields)])
+    rows = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("name"),
+                              F.lit(f.dataType.simpleString()).alias("type"), F.col("n").alias("n_rows"),
+                              F.col(f"_{i}").alias("n_nulls")) for i, f in enumerate(fields)])
+    return one.select(F.inline(rows))

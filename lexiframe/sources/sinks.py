@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +62,19 @@ def write_records(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
     return path
 
 
+def save_args(spark: SparkSession, args: dict, path: str, mode: str = "errorifexists") -> str:
+    """A run's arguments as text, one ``name: value`` line each, by name."""
+    lines = [(f"{k}: {json.dumps(v, ensure_ascii=False, default=str)}",) for k, v in sorted(args.items())]
+    spark.createDataFrame(lines, "value string").coalesce(1).write.mode(mode).text(path)
+    return path
+
+
+def load_args(spark: SparkSession, path: str) -> dict:
+    """What ``save_args`` wrote."""
+    lines = [r[0].split(": ", 1) for r in spark.read.text(path).collect()]
+    return {k: json.loads(v) for k, v in lines}
+
+
 def save_progress(spark: SparkSession, path: str, run_id: str, next_batch: int) -> None:
     """Append a progress marker ``(run_id, next_batch)`` with the time it was made."""
     spark.createDataFrame([(run_id, int(next_batch))], "run_id string, next_batch long") \
