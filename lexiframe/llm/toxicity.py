@@ -14,7 +14,8 @@ n-grams with a weight go on to the per-document counts, which makes scoring spar
 
 The fit uses a bounded sample (documented parameters): the ``fit_positives`` training positives and
 ``fit_unlabelled`` training documents with the smallest hash of their id.  Their texts stay in the tasks: Spark counts
-which features enough positives have, and only those features of each sampled document come to the driver.  The class
+which features enough positives have, and how many of the others; only the features that pass the lift come to the
+driver, of each sampled document.  The class
 prior is the share of toxic labels among training rows unless given (at least 0.001, at most 0.999).
 
 Defined results: a null or empty text gets the score of the empty feature set; without a positive example
@@ -125,6 +126,12 @@ def risk_gradient(pz: np.ndarray, uz: np.ndarray, prior: float) -> tuple[np.ndar
     return gp, gu
 
 
+def lift_of(in_pos: np.ndarray, in_unl: np.ndarray, n_pos: int, n_unl: int, prior: float) -> np.ndarray:
+    """How much more often positives have a feature than negatives (the unlabelled less the prior's share of positives)."""
+    in_neg = np.maximum(in_unl - prior * n_unl * in_pos / max(n_pos, 1), 0) / (1 - prior)
+    return (in_pos / max(n_pos, 1)) / ((in_neg + 0.5) / (n_unl + 1))
+
+
 def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, bits: int | None = None,
              steps: int = STEPS, rate: float = RATE, shrink: float = SHRINK, min_positives: int = MIN_POSITIVES,
              min_lift: float = MIN_LIFT) -> ToxicModel:
@@ -141,9 +148,7 @@ def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, bits: i
     keys, in_pos = keys[common], in_pos[common]
     pos, unl = ([_found(keys, r)[1] for r in rows] for rows in (pos, unl))
     in_unl = np.bincount(np.concatenate([*unl, np.zeros(0, np.int64)]), minlength=len(keys))
-    in_neg = np.maximum(in_unl - prior * len(unl) * in_pos / len(pos), 0) / (1 - prior)
-    lift = (in_pos / len(pos)) / ((in_neg + 0.5) / (len(unl) + 1))
-    keep = lift >= min_lift
+    keep = lift_of(in_pos, in_unl, len(pos), len(unl), prior) >= min_lift
     column, chosen = np.cumsum(keep) - 1, np.flatnonzero(keep)
     dense = [[column[r[keep[r]]] for r in rows] for rows in (pos, unl)]
     d = len(chosen)
@@ -192,17 +197,28 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, key: str = "
     # of several rows of an id the one whose text has the smallest hash
     rows = rows.groupBy(key, "p", "u").agg(F.min(F.struct(F.xxhash64("_t").alias("h"), "_t")).alias("_m"))
     sample = materialize(rows.select("p", "u", F.col("_m._t").alias("t")), "toxicity-sample")
-    n_pos = sample.where("p = 1").count()
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = text_features(texts_of(b, "t"))
-            keys, n = np.unique(np.concatenate([*found, np.zeros(0, np.int64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["k", "n"])
-
-    common = (sample.where("p = 1").select("t").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-              .where(F.col("n") >= min(n_pos, MIN_POSITIVES)).select("k").toPandas()["k"].to_numpy(dtype=np.int64))
-    shared = docs.sparkSession.sparkContext.broadcast(np.sort(common))  # what enough sampled positives share
+    def counts(rows: DataFrame, among) -> DataFrame:
+        """How many of the documents have each feature (of those in the broadcast ``among``)."""
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = text_features(texts_of(b, "t"))
+                keys, n = np.unique(np.concatenate([*found, np.zeros(0, np.int64)]), return_counts=True)
+                if among is not None:
+                    hit = _found(among.value, keys)[0]
+                    keys, n = keys[hit], n[hit]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["k", "n"])
+
+        return rows.select("t").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+
+    # what enough sampled positives have, then what they have clearly more often than the others
+    n_pos, n_unl = [int(v or 0) for v in sample.agg(F.sum("p"), F.count_if(F.col("u") == 0)).first()]
+    sc = docs.sparkSession.sparkContext
+    common = (counts(sample.where("p = 1"), None).where(F.col("n") >= min(n_pos, MIN_POSITIVES)).orderBy("k").toPandas())
+    keys, in_pos = common["k"].to_numpy(dtype=np.int64), common["n"].to_numpy(dtype=np.int64)
+    others = counts(sample.where("u = 0"), sc.broadcast(keys)).toPandas()
+    in_unl = np.zeros(len(keys), dtype=np.int64)
+    in_unl[_found(keys, others["k"].to_numpy(dtype=np.int64))[1]] = others["n"].to_numpy(dtype=np.int64)
+    shared = sc.broadcast(keys[lift_of(in_pos, in_unl, n_pos, n_unl, prior) >= MIN_LIFT])
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = shared.value
