@@ -11,11 +11,13 @@ over the table: the seeded order is a uniform hash, so its top bits are ordered
 buckets of about ``bucket_rows`` rows; a small table of bucket counts gives
 each bucket's offset, and a window numbers rows only within a bucket.  A
 source with a third of all rows is spread over its buckets.  The fractional
-rank is uniform too and is handled the same way.
+rank is handled the same way, and where many rows share one rank (all sources
+of one row have the rank 1/2), that rank is a run of buckets of its own, cut
+by the top bits of the seeded order that ties are in anyway.
 
 Defined results: a null text counts as empty, null sources are a source of
 their own, rows that are equal in every way take neighbouring ranks in any
-order, an empty table gives an empty result.  The order depends on the seed
+order, texts of any length count whole, an empty table gives an empty result.  The order depends on the seed
 and the row alone, so a recomputed task gets the same numbers.
 """
 
@@ -29,11 +31,11 @@ SEED = 20240
 BUCKET_ROWS = 8192
 
 
-def _offsets(rows: DataFrame, group: list[str], bucket: str) -> DataFrame:
+def _offsets(rows: DataFrame, group: list[str], bucket: str, number: Column | None = None) -> DataFrame:
     """Rows before each bucket within its group, and the group's size.  Two levels of running sums (buckets within chunks of
-    1024, then chunks), so that no window holds more than a thousandth of the buckets of a group."""
+    1024 by their ``number``, then chunks), so that no window holds more than a thousandth of the buckets of a group."""
     counts = rows.groupBy(*group, bucket).agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.withColumn("_chunk", F.floor(F.col(bucket) / 1024))
+    counts = counts.withColumn("_chunk", F.floor((F.col(bucket) if number is None else number) / 1024))
     inner = Window.partitionBy(*group, "_chunk").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     outer = Window.partitionBy(*group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     within = counts.withColumn("_in", F.coalesce(F.sum("_n").over(inner), F.lit(0)))
@@ -44,6 +46,23 @@ def _offsets(rows: DataFrame, group: list[str], bucket: str) -> DataFrame:
             .select(*group, bucket, (F.col("_in") + F.col("_before")).alias("_off"), "_size"))
 
 
+def _rank_buckets(frac: DataFrame, n_buckets: int, bucket_rows: int) -> DataFrame:
+    """Adds ``_fb``, an ordered bucket ``(range of ranks, place among its hot ranks, part)``.  A rank with more than
+    ``bucket_rows`` rows is hot: it stands between the other rows of its range, cut by the seeded order."""
+    rng = F.least(F.floor(F.col("_f") * n_buckets), F.lit(n_buckets - 1)).cast("long")
+    frac = frac.withColumn("_rng", rng)
+    # a range has at most rows / bucket_rows hot ranks
+    hot = (frac.groupBy("_rng", "_f").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_rows)
+           .groupBy("_rng").agg(F.collect_list(F.struct("_f", "n")).alias("_hot")))
+    frac = frac.join(hot, "_rng", "left")
+    below = F.coalesce(F.size(F.filter("_hot", lambda h: h["_f"] < F.col("_f"))), F.lit(0))
+    same = F.get(F.filter("_hot", lambda h: h["_f"] == F.col("_f")), F.lit(0))["n"]
+    parts = F.ceil(same / bucket_rows).cast("long")
+    part = F.when(same.isNotNull(), F.shiftright(F.shiftright("_h", 31) * parts, 31)).otherwise(F.lit(0))
+    place = 2 * below + F.when(same.isNotNull(), 1).otherwise(0)
+    return frac.withColumn("_fb", F.struct(F.col("_rng").alias("r"), place.alias("p"), part.cast("long").alias("h"))).drop("_rng", "_hot")
+
+
 def stratified_shards(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED, key: str = "doc_id",
                       text: str = "text", source: str = "source", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``(key, stratum, size, text_crc32, position, shard, slot)`` for every row of ``docs``."""
@@ -70,11 +89,10 @@ def stratified_shards(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = SEE
             .withColumn("_f", (2 * (F.col("_r") + F.col("_off")) + 1) / (2 * F.col("_size")))
             .drop("_b", "_r", "_off", "_size"))
 
-    frac = frac.withColumn("_fb", F.least(F.floor(F.col("_f") * n_buckets), F.lit(n_buckets - 1)).cast("long"))
-    frac = frac.withColumn("_one", F.lit(0))
+    frac = _rank_buckets(frac, n_buckets, bucket_rows).withColumn("_one", F.lit(0))
     w = Window.partitionBy("_one", "_fb").orderBy("_f", *order, "stratum")
     placed = (frac.withColumn("_r", F.row_number().over(w) - 1)
-              .join(_offsets(frac, ["_one"], "_fb"), ["_one", "_fb"])
+              .join(_offsets(frac, ["_one"], "_fb", F.col("_fb.r")), ["_one", "_fb"])
               .withColumn("position", (F.col("_r") + F.col("_off")).cast("long")))
     # shard s takes the positions p with floor(p * n_shards / total) = s
     shard = F.expr(f"position * {int(n_shards)} div {max(total, 1)}").cast("int")

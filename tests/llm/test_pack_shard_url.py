@@ -1,9 +1,11 @@
 import itertools
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexiframe.llm import packing, sharding, urls
 from tests.llm.util import TEXTS, docs
@@ -98,8 +100,37 @@ def test_stratified_shards(spark, bucket_rows):
     for shard, c in mix.items():  # every shard holds every source in proportion
         for s, n in total.items():
             assert abs(c[s] - n / 24) <= 2
-    # brute force: fractional ranks in the seeded order of each source
     assert len({r.doc_id for r in rows}) == 1000 and None in total
+    check_order(df, rows)
+
+
+def check_order(df, rows):
+    """Brute force: ranks in the seeded order of each source, then all rows by fractional rank and that order."""
+    body = F.coalesce(F.col("text"), F.lit(""))
+    size, crc = (F.octet_length(body) + 8).cast("long"), F.crc32(body.cast("binary"))
+    h = F.shiftrightunsigned(F.xxhash64(F.lit(sharding.SEED), "doc_id", crc, size), 2)
+    by_source = defaultdict(list)
+    for r in df.select("doc_id", "source", size.alias("n"), crc.alias("c"), h.alias("h")).collect():
+        by_source[r.source].append((r.h, r.doc_id, r.c, r.n))
+    placed = []
+    for source, own in by_source.items():
+        for k, x in enumerate(sorted(own)):
+            placed.append((Fraction(2 * k + 1, 2 * len(own)), *x, (source is not None, source or ""), source))
+    placed.sort(key=lambda x: x[:-1])
+    want = [(x[2], x[-1]) for x in placed]
+    assert [(r.doc_id, r.stratum) for r in sorted(rows, key=lambda r: r.position)] == want
+
+
+def test_many_small_sources_share_no_task(spark):
+    """Every source of one row has the rank 1/2; that rank is cut too, and the order stays."""
+    df = spark.range(3000).selectExpr("id as doc_id", "concat('t', id) as text",
+                                      "if(id < 2400, concat('one', id), if(id < 2800, concat('two', id div 2), 'large')) as source")
+    rows = sharding.stratified_shards(df, 7, bucket_rows=64).collect()
+    check_order(df, rows)
+    frac = df.select((F.when(F.col("doc_id") < 2400, 0.5).otherwise(F.col("doc_id") / 3000)).alias("_f"),
+                     F.shiftrightunsigned(F.xxhash64("doc_id"), 2).alias("_h"))
+    sizes = [r["count"] for r in sharding._rank_buckets(frac, 47, 64).groupBy("_fb").count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) <= 2 * 64
 
 
 def test_shards_of_awkward_rows(spark):
