@@ -29,8 +29,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language is identified with a posterior of at least ``MIN_LANGUAGE_SCORE``."""
-    model = langid.count_matrix(docs, fold(F.col("doc_id"), 4) != 2)
-    kept = langid.identify(_boxed(docs), *model, text="_text", keep=("_row",))
+    learn = docs.select("doc_id", F.col("text").alias("_text"), "lang")
+    kept = langid.identify_languages(learn, fold(F.col("doc_id"), 4) != 2, _boxed(docs), text="_text", keep=("_row",))
     sure = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)
     return kept.where(sure).select("_row.*")
 
@@ -52,9 +52,13 @@ STAGES = [("toxicity", drop_toxic), ("language", keep_identified), ("near_duplic
 ORACLE_SQL = None
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def _boxed(docs: DataFrame) -> DataFrame:
     """``(doc_id, _text, _row)``: the whole row travels in one struct, so no column name can clash."""
-    return docs.select("doc_id", F.col("text").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    return docs.select("doc_id", F.col("text").alias("_text"), F.struct(*[F.col(_quoted(c)) for c in docs.columns]).alias("_row"))
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,11 +4,13 @@ Training counts every n-gram (orders 1 to 3, lower-cased, hashed into ``2 ** bit
 text.  Tasks add counts up in numpy and emit one block row per language and 1024 bins; block rows are shuffled
 by block and summed as they stream, so no key gathers rows.  The result is a ``languages x bins`` matrix of
 log probabilities, whose size is fixed by the parameters; it is broadcast after a check of that size.
-Scoring is sparse: the bins a batch holds index the matrix, one sum per text.
+Scoring is sparse: the bins a batch holds index the matrix, one sum per text.  More than ``MAX_LANGUAGES`` languages are
+counted and scored in blocks of so many; the best, the second and the summed probability so far travel with each text.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; equal scores go to the language
 first in alphabetical order; without any training text every other text is ``und`` too.  Very long texts are
-scored in slices, every n-gram once.
+scored in slices, every n-gram once.  Repeated rows are counted and scored each; an empty table has an empty result;
+extra columns are never read.
 """
 
 from __future__ import annotations
@@ -20,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiframe.llm.common import materialize
+
 BITS = 16
 ORDERS = (1, 2, 3)
 SMOOTHING = 0.5
-MAX_LANGUAGES = 512  # bound of the broadcast: languages x 2**bits x 4 bytes
+MAX_LANGUAGES = 64  # of a block; bound of the broadcast: languages x 2**bits x 4 bytes
 UNDETERMINED = "und"
 _BLOCK = 1024
 _MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint64)
@@ -73,14 +77,22 @@ def grams_of(texts: list[str], orders: tuple[int, ...], bits: int) -> Iterator[t
         yield from flush()
 
 
+def languages_of(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang") -> list[str]:
+    """The languages of the training rows, in order (a list of names on the driver)."""
+    rows = docs.where(train & F.col(lang).isNotNull() & F.col(text).isNotNull())
+    return sorted(r[0] for r in rows.select(lang).distinct().toLocalIterator())
+
+
 def count_matrix(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang", bits: int = BITS,
-                 orders: tuple[int, ...] = ORDERS) -> tuple[list[str], np.ndarray]:
-    """Languages, and n-gram counts ``languages x bins`` over all training rows with a language."""
+                 orders: tuple[int, ...] = ORDERS, langs: list[str] | None = None) -> tuple[list[str], np.ndarray]:
+    """Languages (all, or the given ones), and n-gram counts ``languages x bins`` over their training rows."""
     rows = docs.where(train & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(lang, text)
-    langs = [r[0] for r in rows.select(lang).distinct().limit(MAX_LANGUAGES + 1).collect()]
+    if langs is None:
+        langs = languages_of(docs, train, text, lang)
+    else:
+        rows = rows.where(F.col(lang).isin(langs))
     if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    langs.sort()
+        raise ValueError(f"more than {MAX_LANGUAGES} languages in a block")
     bins, place = 1 << bits, {x: i for i, x in enumerate(langs)}
     blocks = max(1, bins // _BLOCK)
 
@@ -161,3 +173,56 @@ def identify(docs: DataFrame, langs: list[str], counts: np.ndarray, key: str = "
 
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (key, *keep))
     return rows.mapInArrow(run, kinds + ", lang_pred string, score double, margin double")
+
+
+def identify_languages(docs: DataFrame, train: Column, target: DataFrame | None = None, key: str = "doc_id", text: str = "text",
+                       lang: str = "lang", keep: tuple[str, ...] = (), bits: int = BITS, orders: tuple[int, ...] = ORDERS,
+                       smoothing: float = SMOOTHING) -> DataFrame:
+    """Learn from the training rows of ``docs`` and predict those of ``target`` (``docs`` unless given; the same names for
+    key and text, and ``keep``): the result of ``identify``, for any number of languages."""
+    target = docs if target is None else target
+    langs = languages_of(docs, train, text, lang)
+    if len(langs) <= MAX_LANGUAGES:
+        counts = count_matrix(docs, train, text, lang, bits, orders, langs)[1]
+        return identify(target, langs, counts, key, text, bits, orders, smoothing, keep)
+    rows = target.select(key, text, *keep)
+    none = F.lit(None).cast("double")
+    state = rows.select(F.struct(*[F.col(c) for c in (key, *keep)]).alias("row"), F.col(text).alias("t"),
+                        F.lit(None).cast("string").alias("lang"), none.alias("best"), none.alias("second"), none.alias("all"))
+    schema = state.schema
+    for at in range(0, len(langs), MAX_LANGUAGES):
+        state = materialize(_with_block(state, schema, *count_matrix(docs, train, text, lang, bits, orders, langs[at:at + MAX_LANGUAGES]),
+                                        bits, orders, smoothing), "languages")
+    known = F.col("lang").isNotNull()
+    return state.select(*[F.col(f"row.`{c}`").alias(c) for c in (key, *keep)],
+                        F.when(known, F.col("lang")).otherwise(UNDETERMINED).alias("lang_pred"),
+                        F.when(known, F.exp(F.col("best") - F.col("all"))).otherwise(0.0).alias("score"),
+                        F.when(known, (F.col("best") - F.col("second")) / F.char_length("t")).otherwise(0.0).alias("margin"))
+
+
+def _with_block(state: DataFrame, schema, langs: list[str], counts: np.ndarray, bits: int, orders: tuple[int, ...],
+                smoothing: float) -> DataFrame:
+    """Texts with one more block of languages: the best so far (of equal ones the earlier block's, which come first in
+    order), the second, and the log of the summed probabilities."""
+    model = state.sparkSession.sparkContext.broadcast(log_matrix(counts, smoothing))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t if t is not None and any(map(str.isalpha, t)) else "" for t in b.column(1).to_pylist()]
+            old = [np.array([np.nan if v is None else v for v in b.column(i).to_pylist()], dtype=float) for i in (3, 4, 5)]
+            best, second, total = (np.where(np.isnan(v), -np.inf, v) for v in old)
+            s = score_texts(texts, model.value, bits, orders)
+            top = np.sort(s, axis=1)
+            mine, next_ = top[:, -1], top[:, -2] if s.shape[1] > 1 else np.full(len(s), -np.inf)
+            total = np.logaddexp(total, np.logaddexp.reduce(s, axis=1))
+            new = mine > best
+            first = s.argmax(axis=1) if len(s) else np.zeros(0, int)
+            names = [langs[f] if n else o for f, n, o in zip(first, new, b.column(2).to_pylist())]
+            second = np.where(new, np.maximum(best, next_), np.maximum(second, mine))
+            best = np.maximum(best, mine)
+            blank = [not t for t in texts]
+            cols = [pa.array([None if k else n for k, n in zip(blank, names)], pa.string())]
+            cols += [pa.array(v, pa.float64(), mask=np.array(blank, dtype=bool)) for v in (best, second, total)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["row", "t", "lang", "best", "second", "all"])
+
+    return state.mapInArrow(run, schema)

@@ -39,13 +39,9 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "base_score", "score")
 
 
-def _lang_model(docs: DataFrame):
-    return langid.count_matrix(docs, fold(F.col("doc_id"), 4) != 2)
-
-
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang")
-    out = langid.identify(docs, *_lang_model(docs))
+    out = langid.identify_languages(docs, fold(F.col("doc_id"), 4) != 2)
     return out.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "margin")
 
 

@@ -50,6 +50,23 @@ def test_matrix_and_scores(spark):
         assert r.lang_pred == langs[int(np.argmax(s))] and 0 <= r.score <= 1
 
 
+def test_languages_in_blocks(spark, monkeypatch):
+    """More languages than a block holds: the same answers as in one."""
+    rng = random.Random(2)
+    alphabets = ["abc", "cde", "efg", "ghi", "ijk", "klm", "mno"]
+    rows = [(i, " ".join("".join(rng.choice(alphabets[i % 7]) for _ in range(4)) for _ in range(12)), f"l{i % 7}") for i in range(70)]
+    rows += [(100, None, None), (101, "", None), (102, "12 34", "l0"), (103, "e e e e", None), (None, "abc", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    train = fold_col(F.col("doc_id"), 4) != 2
+    one = {(r.doc_id, r.lang_pred, round(r.score, 9), round(r.margin, 9)) for r in langid.identify_languages(d, train).collect()}
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 3)
+    cut = langid.identify_languages(d, train, keep=("lang",))
+    assert cut.columns == ["doc_id", "lang", "lang_pred", "score", "margin"]
+    assert {(r.doc_id, r.lang_pred, round(r.score, 9), round(r.margin, 9)) for r in cut.collect()} == one
+    with pytest.raises(ValueError):
+        langid.count_matrix(d, train)
+
+
 def test_no_training_text(spark):
     langs, counts = langid.count_matrix(docs(spark), F.lit(False))
     assert langs == []
