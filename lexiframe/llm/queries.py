@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiframe.llm import compression, langid, lm, neighbours, packing, pieces, quality, repair, sharding, simhash, \
-    spelling, toxicity, urls
+from lexiframe.llm import compression, langid, lm, neighbours, oracles, packing, pieces, quality, repair, sharding, \
+    simhash, spelling, toxicity, urls
 from lexiframe.llm.common import fold, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,4 +90,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": urls.oracle_sql()}
+    return {"op3_url_filter": urls.oracle_sql(), "op11_conversation_repair": oracles.REPAIR,
+            "op12_spelling_variants": oracles.SPELLING}

@@ -375,3 +375,17 @@ def test_calibration_is_the_least_loss():
         for db in (-0.05, 0.0, 0.05):
             assert mean_loss(slope + da, intercept + db) >= mean_loss(slope, intercept) - 1e-6
     assert compression.fit_logistic(-x, y)[0] == 0.0
+
+
+@pytest.mark.parametrize("name", ["op11_conversation_repair", "op12_spelling_variants"])
+def test_queries_equal_their_oracles(spark, name):
+    import os
+    import sys
+
+    sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), "tools"))
+    from check_oracle import compare, duck
+
+    from lexiframe.llm import queries
+
+    want = duck(SF01).execute(queries.oracle_sql()[name]).df()
+    assert compare(queries.queries()[name](spark, SF01).toPandas(), want) == "OK"
