@@ -43,9 +43,9 @@ _NEAR_BITS = 20  # keys are looked up only where a table of their low bits has a
 ORDERS = (5,)
 LEVELS = (1, 2, 3, 5)  # occurrences from which a level's feature is there; a feature is ``n-gram << 2 | level``
 FIT_POSITIVES, FIT_UNLABELLED = 2_000, 6_000
-STEPS, RATE, SHRINK = 400, 0.3, 5e-4
+STEPS, RATE, SHRINK = 400, 0.3, 2e-4
 # A feature needs this many positives, and this lift over the negatives.
-MIN_POSITIVES, MIN_LIFT = 3, 3.0
+MIN_POSITIVES, MIN_LIFT = 3, 20.0
 
 
 def text_features(texts: list[str], bits: int = KEY_BITS, orders: tuple[int, ...] = ORDERS) -> list[np.ndarray]:
