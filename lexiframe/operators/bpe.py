@@ -27,7 +27,7 @@ from lexiframe.functions.text import SPECIAL_TOKENS, byte_alphabet, byte_pretoke
     pretokenize_keep_specials, protect_specials, sentinel_for, unescape
 from lexiframe.operators.bpe_training import FIRST_PAIRS, MAX_ISLANDS, MAX_PAIRS, learn_merges
 from lexiframe.operators.vocab import MERGES_SCHEMA, VOCAB_SCHEMA, alphabet, word_counts
-from lexiframe.session import checkpoint_dir, materialize
+from lexiframe.session import checkpoint_dir, materialize, release
 
 
 @dataclass
@@ -103,6 +103,7 @@ def train_bpe(texts: DataFrame, vocab_size: int, text: str = "text",
         ids_of = {t: i for i, t in enumerate(tokens)}
         model.merges, model.rounds = learn_merges(wc, tokens, ids_of, vocab_size, max_islands, max_pairs, first_pairs)
         model.kinds += ["merge"] * (len(tokens) - len(model.kinds))
+    release(wc)
     return model
 
 

@@ -18,7 +18,7 @@ All other occurrences lie inside islands.  So whatever comes before the bound is
 already a token adds occurrences of an old symbol, which breaks the argument, so it ends its round.
 
 The driver holds the vocabulary and one round's islands.  Blocks are written to the checkpoint folder every round;
-a lost executor costs its tasks of one round.
+a lost executor costs its tasks of one round, and a round's blocks go when the next ones are written.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiframe.session import materialize
+from lexiframe.session import materialize, release
 
 BLOCK_WORDS = 16_384
 MAX_ISLANDS, MAX_PAIRS, FIRST_PAIRS = 50_000, 16_384, 256
@@ -265,9 +265,11 @@ def learn_merges(word_table: DataFrame, tokens: list[str], ids_of: dict[str, int
                 break
             raise AssertionError("a round without a merge")  # the first tracked pair always comes before the bound
         if len(tokens) < limit:
-            state = materialize(next_blocks(blocks, tracked, became), "bpe-blocks")
+            old, state = state, materialize(next_blocks(blocks, tracked, became), "bpe-blocks")
+            release(old)
         if len(rows) * 4 <= max_islands:
             k *= 2
+    release(state)
     return merges, rounds
 
 

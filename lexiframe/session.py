@@ -57,10 +57,32 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or local
 
 
+#: Folders that this process wrote below checkpoint folders, by application.
+_WRITTEN: dict[str, set[str]] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique folder below the checkpoint folder (for written tables)."""
     base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return path
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a written table by Hadoop's file system, wherever it lies."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _WRITTEN.get(spark.sparkContext.applicationId, set()).discard(path)
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the tables that this application wrote for itself, when no result that reads them is needed any more;
+    returns how many."""
+    paths = sorted(_WRITTEN.get(spark.sparkContext.applicationId, ()))
+    for path in paths:
+        drop_path(spark, path)
+    return len(paths)
 
 
 def table_path(sf_dir: str, name: str) -> str:
@@ -74,4 +96,13 @@ def materialize(df, name: str):
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def release(df) -> None:
+    """Delete what ``materialize`` wrote for ``df``, once a later table has replaced it."""
+    path = getattr(df, "_scratch_path", None)
+    if path:
+        drop_path(df.sparkSession, path)

@@ -112,6 +112,18 @@ def test_a_marked_batch_is_skipped(spark):
     assert spark.read.parquet(sink).count() == 1 and sinks.load_progress(spark, progress, "stream") == 1
 
 
+def test_scratch_tables_go(spark):
+    from lexiframe import session
+
+    kept = spark.range(5)
+    a, b = session.materialize(kept, "one"), session.materialize(kept, "two")
+    session.release(a)
+    session.release(kept)  # was never written
+    assert not os.path.exists(a._scratch_path.replace("file:", "")) and b.count() == 5
+    assert session.clear_scratch(spark) >= 1 and session.clear_scratch(spark) == 0
+    assert not os.path.exists(b._scratch_path.replace("file:", ""))
+
+
 def test_arguments_come_back(spark):
     args = {"lr": 1e-4, "name": "a: b\nc", "langs": ["en", "de"], "none": None, "n": 3}
     path = sinks.save_args(spark, args, _path("args"))
