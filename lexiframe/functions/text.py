@@ -6,8 +6,6 @@ Everything here returns a ``Column`` of JVM expressions; no Python worker runs.
 from __future__ import annotations
 
 import json
-import unicodedata
-from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -75,24 +73,15 @@ def _decomposed(text: Column) -> Column:
     return F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), text, F.lit(False))
 
 
-@lru_cache(maxsize=1)
-def _marks() -> str:
-    """Class of the accent marks: Java's own, and those of newer Unicode versions, from the driver's tables."""
-    own = [c for c in range(0x110000) if unicodedata.category(chr(c))[0] == "M"]
-    first = [c for i, c in enumerate(own) if not i or own[i - 1] != c - 1]
-    last = [c for i, c in enumerate(own) if i + 1 == len(own) or own[i + 1] != c + 1]
-    return "[\\p{M}" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(first, last)) + "]+"
-
-
 def normalize(text: Column) -> Column:
     """NFD -> lowercase -> strip accents, in the JVM.
 
     ASCII rows are lower-cased only.  Characters are lowered one by one, so a final capital sigma is not
-    special; accent marks (category Mark) go last.
+    special; accent marks (category Mark, as the JVM's Unicode version has them) go last.
     """
     other = F.lower(F.replace(_decomposed(text), F.lit("\u03A3"), F.lit("\u03C3")))
     return (F.when(_is_ascii_or_sentinel(text), F.lower(text))
-            .when(text.isNotNull(), F.regexp_replace(other, _marks(), "")))
+            .when(text.isNotNull(), F.regexp_replace(other, r"\p{M}+", "")))
 
 
 def pretokenize(text: Column) -> Column:
