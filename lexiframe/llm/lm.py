@@ -20,7 +20,8 @@ apart by 64-bit hashes; the chance that any two of a billion words clash is 3 %,
 two words' counts.
 
 Defined results: a null or empty text is the end token alone; repeated rows are scored each; with no training
-text every token has probability ``1 / (0 + 0 + 1)``, so scores are 0; an empty table gives an empty result.
+text every token has probability ``1 / (0 + 0 + 1)``, so scores are 0; texts of any length are read whole; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations

@@ -17,7 +17,7 @@ forward pass runs once per distinct unit (bounded cache); the backward pass runs
 text at once: a node's edges are an interval of one sorted array, so a draw is a binary search.
 
 Defined results: a null or empty text has no pieces; rows with equal keys and texts get equal samples; a null
-key counts as the empty string.
+key counts as the empty string; texts of any length are encoded whole; an empty table has an empty result.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ scored for a whole batch level by level.
 
 Defined results: a null or empty text has no words, fails the base checks and is not kept; a document without
 label is scored like any other; with no labels (or of one class only) the trees are empty and the base checks
-decide.
+decide; repeated rows are judged each, equal texts alike (so ties need no rule), though of several rows or labels of one
+id the fit uses any one; texts of any length are counted whole; an empty table has an empty result.
 """
 
 from __future__ import annotations
