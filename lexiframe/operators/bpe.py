@@ -2,10 +2,11 @@
 
 Training (``train_bpe``) learns thousands of merges a round on islands of frequent pairs, see ``bpe_training``.
 
-Encoding is narrow: the JVM normalises and cuts texts into pre-tokens; an Arrow UDF turns a batch's pre-tokens into
-a dictionary (each distinct one once, in Arrow's own code), looks each distinct one up in the worker's cache, runs the
-merge loop for new ones only, and gathers the ids of all occurrences with array operations.  No Python code runs per
-occurrence, no occurrence is shuffled, and a hot word is one entry of a batch's dictionary.  The merge loop is a linked
+Encoding is narrow: the JVM normalises and cuts texts into pre-tokens; an Arrow UDF turns the pre-tokens of a slice of
+a batch into a dictionary (each distinct one once, in Arrow's own code), looks each distinct one up in the worker's
+cache, runs the merge loop for new ones only, and gathers the ids of all occurrences with array operations.  No Python
+code runs per occurrence, no occurrence is shuffled, and a hot word is one entry of a slice's dictionary.  Slices and
+cache are bounded, so a worker holds one batch (its bytes are bounded by Spark) and one slice, whatever the table.  The merge loop is a linked
 list with a heap of candidate pairs, ``n log n`` in a word's length.  The vocabulary is broadcast once; the encoder
 built from it and its cache stay with the broadcast value in the worker, for all tasks.
 """
@@ -14,15 +15,16 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Callable
+from array import array
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiframe.functions.rows import row_slices
 from lexiframe.functions.text import SPECIAL_TOKENS, byte_alphabet, byte_pretokens, normalize, \
     pretokenize_keep_specials, protect_specials, sentinel_for, unescape
 from lexiframe.operators.bpe_training import FIRST_PAIRS, MAX_ISLANDS, MAX_PAIRS, learn_merges
@@ -111,7 +113,8 @@ def train_bpe(texts: DataFrame, vocab_size: int, text: str = "text",
 # Encoding
 # ---------------------------------------------------------------------------
 
-_CACHE_LIMIT, _CACHED_CHARS = 1_000_000, 256
+_CACHED_WORDS, _CACHED_CHARS = 200_000, 64  # of a worker: some 60 MB of usual words
+_SLICE_WORDS = 1 << 19
 _LOW = (1 << 32) - 1
 
 
@@ -153,44 +156,46 @@ def merge_symbols(syms: list[int], ranks: dict[int, int]) -> list[int]:
 
 
 def word_encoder(tokens: list[str], merges: list[tuple[int, int, int]], specials: list[str], unk_token: str
-                 ) -> Callable[[str], list[int]]:
-    """Pre-token -> ids, with a cache of the words seen."""
+                 ) -> Callable[[str], bytes]:
+    """Pre-token -> ids (as bytes of 32-bit integers), with a cache of the words seen."""
     ids = {t: i for i, t in enumerate(tokens)}
     ranks: dict[int, int] = {}
     for r, (a, b, c) in enumerate(merges):
         ranks.setdefault(a << 32 | b, r << 32 | c)
     unk = ids.get(unk_token, 0)
-    sentinels = {sentinel_for(i): ids[s] for i, s in enumerate(specials) if s in ids}
-    cache: dict[str, list[int]] = {w: [i] for w, i in sentinels.items()}
+    sentinels = {sentinel_for(i): array("i", [ids[s]]).tobytes() for i, s in enumerate(specials) if s in ids}
+    cache: dict[str, bytes] = {}
 
-    def encode_word(w: str) -> list[int]:
-        out = cache.get(w)
+    def encode_word(w: str) -> bytes:
+        out = cache.get(w) or sentinels.get(w)
         if out is None:
-            out = merge_symbols([ids.get(ch, unk) for ch in unescape(w)], ranks)
+            out = array("i", merge_symbols([ids.get(ch, unk) for ch in unescape(w)], ranks)).tobytes()
             if len(w) <= _CACHED_CHARS:
-                if len(cache) >= _CACHE_LIMIT:
+                if len(cache) >= _CACHED_WORDS:
                     cache.clear()
-                    cache.update((w, [i]) for w, i in sentinels.items())
                 cache[w] = out
         return out
 
     return encode_word
 
 
-def encode_lists(words: pa.ListArray, encode_word: Callable[[str], list[int]]) -> pa.ListArray:
-    """Lists of pre-tokens -> lists of ids; each distinct pre-token of the batch is encoded once."""
-    seen = words.flatten().dictionary_encode()
-    per_word = [encode_word(w) for w in seen.dictionary.to_pylist()]
-    lens = np.array([len(x) for x in per_word], dtype=np.int64)
-    ids = np.fromiter(chain.from_iterable(per_word), dtype=np.int32, count=int(lens.sum()))
-    starts = np.cumsum(lens) - lens
-    at = seen.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    size = lens[at]
-    ends = np.r_[0, np.cumsum(size)]
-    flat = ids[np.arange(ends[-1]) + np.repeat(starts[at] - ends[:-1], size)]
+def encode_lists(words: pa.ListArray, encode_word: Callable[[str], bytes], slice_words: int = _SLICE_WORDS
+                 ) -> Iterator[pa.ListArray]:
+    """Lists of pre-tokens -> lists of ids, in slices of about ``slice_words`` pre-tokens (one row at least), so that
+    what is held beside a batch does not grow with it; each distinct pre-token of a slice is encoded once."""
     per_row = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    offsets = pa.array(ends[np.r_[0, np.cumsum(per_row)]].astype(np.int32))
-    return pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()), mask=words.is_null() if words.null_count else None)
+    for start, stop in row_slices(per_row, slice_words):
+        rows = words.slice(start, stop - start)
+        seen = rows.flatten().dictionary_encode()
+        per_word = [encode_word(w) for w in seen.dictionary.to_pylist()]
+        lens = np.array([len(x) for x in per_word], dtype=np.int64) // 4
+        ids = np.frombuffer(b"".join(per_word), dtype=np.int32)
+        at = seen.indices.to_numpy(zero_copy_only=False)
+        size = lens[at]
+        ends = np.r_[0, np.cumsum(size)]
+        flat = ids[np.arange(ends[-1]) + np.repeat((np.cumsum(lens) - lens)[at] - ends[:-1], size)]
+        offsets = pa.array(ends[np.r_[0, np.cumsum(per_row[start:stop])]].astype(np.int32))
+        yield pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()), mask=rows.is_null() if rows.null_count else None)
 
 
 def encode_words_udf(model: BpeModel):
@@ -198,11 +203,12 @@ def encode_words_udf(model: BpeModel):
     shared = model.shared()
 
     @F.arrow_udf("array<int>")
-    def _encode(words: pa.Array) -> pa.Array:
+    def _encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         state = shared.value  # stays in the worker while the broadcast lives, and the encoder with it
         if "encoder" not in state:
             state["encoder"] = word_encoder(*state["model"])
-        return encode_lists(words, state["encoder"])
+        for words in batches:
+            yield from encode_lists(words, state["encoder"])
 
     return _encode
 
@@ -218,7 +224,9 @@ def encode(text: Column, model: BpeModel, max_ids: int | None = None) -> Column:
     the text itself is still normalised and pre-tokenized in full.
     """
     prot = protect_specials(text, model.specials)
-    toks = pretokenize_keep_specials(normalize(prot))
+    # through a lambda, which names the protected text: normalising reads it several times
+    norm = F.get(F.transform(F.array(prot), normalize), F.lit(0))
+    toks = pretokenize_keep_specials(norm)
     if max_ids is not None:
         toks = F.slice(toks, 1, max_ids)
     out = encode_words_udf(model)(toks)
