@@ -8,7 +8,7 @@ reference lengths (ties to the shorter); 0 when no unigram matches; an order
 with no match contributes the smallest positive double (no smoothing).
 
 A hypothesis and its references share one row, so its n-grams are counted
-within the row, by array operations over a batch of rows: nothing but four numbers per order is ever shuffled.
+within the row, by array operations over a slice of a batch: nothing but four numbers per order is ever shuffled.
 """
 
 from __future__ import annotations
@@ -21,10 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiframe.functions.rows import row_slices
+
 # Uniform weights over orders 1..4; the value an order without
 # any match contributes instead of zero (smallest positive normal double).
 DEFAULT_WEIGHTS = (0.25, 0.25, 0.25, 0.25)
 ZERO_MATCH_VALUE = sys.float_info.min
+_SLICE_WORDS = 1 << 19
 
 
 def _grams(tokens: np.ndarray, owner: np.ndarray, orders: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -79,22 +82,33 @@ def batch_stats(hyps: pa.ListArray, refs: pa.ListArray, orders: int) -> tuple[np
     return num, den, near, h_len
 
 
+def _row_words(hyps: pa.ListArray, refs: pa.ListArray) -> np.ndarray:
+    """Tokens of each row, of the hypothesis and all references."""
+    lens = lambda a: a.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    before = np.r_[0, np.cumsum(lens(refs.flatten()))]
+    n = lens(refs)
+    return lens(hyps) + before[np.cumsum(n)] - before[np.cumsum(n) - n]
+
+
 def sentence_stats(pairs: DataFrame, keys: str | tuple[str, ...] = "pair_id", hyp: str = "hyp", refs: str = "refs",
                    orders: int = 4) -> DataFrame:
     """Per hypothesis and order: clipped matches, denominator, lengths.  One
-    Arrow-batched pass, no shuffle; null token arrays count as empty."""
+    Arrow-batched pass, no shuffle; null token arrays count as empty.  A batch is counted in slices of rows with about
+    ``_SLICE_WORDS`` tokens, so that what is held beside a batch does not grow with it."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     rows = pairs.select(*keys, hyp, refs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            num, den, near, lens = batch_stats(b.column(len(keys)), b.column(len(keys) + 1), orders)
-            at = pa.array(np.repeat(np.arange(b.num_rows), orders), pa.int64())
-            cols = [pa.array(np.tile(np.arange(1, orders + 1), b.num_rows), pa.int32()),
-                    pa.array(lens, pa.int32()).take(at), pa.array(near, pa.int32()).take(at),
-                    pa.array(num.ravel(), pa.int64()), pa.array(den.ravel(), pa.int64())]
-            yield pa.RecordBatch.from_arrays([b.column(k).take(at) for k in range(len(keys))] + cols,
-                                             names=[*keys, "n", "hyp_len", "ref_len", "num", "den"])
+        for batch in batches:
+            for start, stop in row_slices(_row_words(batch.column(len(keys)), batch.column(len(keys) + 1)), _SLICE_WORDS):
+                b = batch.slice(start, stop - start)
+                num, den, near, lens = batch_stats(b.column(len(keys)), b.column(len(keys) + 1), orders)
+                at = pa.array(np.repeat(np.arange(b.num_rows), orders), pa.int64())
+                cols = [pa.array(np.tile(np.arange(1, orders + 1), b.num_rows), pa.int32()),
+                        pa.array(lens, pa.int32()).take(at), pa.array(near, pa.int32()).take(at),
+                        pa.array(num.ravel(), pa.int64()), pa.array(den.ravel(), pa.int64())]
+                yield pa.RecordBatch.from_arrays([b.column(k).take(at) for k in range(len(keys))] + cols,
+                                                 names=[*keys, "n", "hyp_len", "ref_len", "num", "den"])
 
     kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
     return rows.mapInArrow(run, f"{kinds}, n int, hyp_len int, ref_len int, num long, den long")

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 from lexiframe.functions.rows import row_slices
-from lexiframe.operators import bpe
+from lexiframe.operators import bleu, bpe
 
 
 @pytest.mark.parametrize("sizes,limit", [([], 5), ([0, 0], 5), ([3, 3, 3, 50, 1, 0, 4], 5), ([9] * 20, 18)])
@@ -36,3 +36,20 @@ def test_the_word_cache_is_bounded(monkeypatch):
     cache = next(c.cell_contents for c in enc.__closure__ if isinstance(c.cell_contents, dict) and "a" * 64 not in c.cell_contents
                  and all(set(k) == {"a"} and isinstance(v, bytes) for k, v in c.cell_contents.items()) and c.cell_contents)
     assert len(cache) <= 10
+
+
+def test_bleu_counts_in_slices(spark, monkeypatch):
+    rows = [(i, ["a", "b", "c", "a"][: i % 5], [["a", "b"], ["c"] * (i % 3)][: i % 3]) for i in range(40)] + [(40, None, None), (41, [], [])]
+    df = spark.createDataFrame(rows, "pair_id long, hyp array<string>, refs array<array<string>>").coalesce(1)
+    whole = sorted(map(tuple, bleu.sentence_stats(df).collect()), key=str)
+    seen = spark.sparkContext.accumulator(0)
+    counted = bleu.batch_stats
+
+    def count(hyps, refs, orders):
+        seen.add(1)
+        return counted(hyps, refs, orders)
+
+    monkeypatch.setattr(bleu, "_SLICE_WORDS", 8)
+    monkeypatch.setattr(bleu, "batch_stats", count)
+    assert sorted(map(tuple, bleu.sentence_stats(df).collect()), key=str) == whole and len(whole) == 42 * 4
+    assert seen.value > 5
