@@ -17,7 +17,9 @@ frequent than that was, and its new id is larger than any id in the bound, so it
 All other occurrences lie inside islands.  So whatever comes before the bound is counted in full.  A merge whose text is
 already a token adds occurrences of an old symbol, which breaks the argument, so it ends its round.
 
-The driver holds the vocabulary and one round's islands.  Blocks are written to the checkpoint folder every round;
+The driver holds the vocabulary and one round's islands.  Pairs and islands are cut to the rows asked for on the
+executors (``toArrow`` runs the plan and fetches its one last partition; ``collect`` would fetch the first rows of
+every partition), so what a round sends to the driver does not grow with the corpus.  Blocks are written to the checkpoint folder every round;
 a lost executor costs its tasks of one round, and a round's blocks go when the next ones are written.
 """
 
@@ -245,18 +247,18 @@ def learn_merges(word_table: DataFrame, tokens: list[str], ids_of: dict[str, int
         blocks = state.where(F.col("ids").isNotNull())
         left, right = F.shiftright("pair", 32).alias("l"), F.col("pair").bitwiseAND(0xFFFFFFFF).alias("r")
         top = (state.where(F.col("pair").isNotNull()).groupBy("pair").agg(F.sum("w").alias("w"))
-               .select("w", left, right).orderBy(F.desc("w"), "l", "r").limit(max_pairs + 1).collect())
+               .select("w", left, right).orderBy(F.desc("w"), "l", "r").limit(max_pairs + 1).toArrow().to_pylist())
         if not top:
             break
         while True:
             k = min(k, max_pairs)
             tracked = np.sort(np.array([(r["l"] << 32) | r["r"] for r in top[:k]], dtype=np.int64))
-            rows = count_islands(blocks, tracked).limit(max_islands + 1).toPandas()
+            rows = count_islands(blocks, tracked).limit(max_islands + 1).toArrow()
             if len(rows) <= max_islands or k == 1:
                 break
             k = max(k // 4, 1)
         bound = (-top[k]["w"], top[k]["l"], top[k]["r"]) if len(top) > k else None
-        islands = dict(sorted(zip(map(bytes, rows["island"]), rows["w"].tolist())))
+        islands = dict(sorted(zip(rows["island"].to_pylist(), rows["w"].to_pylist())))
         found, became = merge_islands(islands, bound, tokens, ids_of, limit)
         merges += found
         rounds += 1

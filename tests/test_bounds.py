@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 from lexiframe.functions.rows import row_slices
-from lexiframe.operators import bleu, bpe
+from lexiframe.operators import bleu, bpe, bpe_training
 
 
 @pytest.mark.parametrize("sizes,limit", [([], 5), ([0, 0], 5), ([3, 3, 3, 50, 1, 0, 4], 5), ([9] * 20, 18)])
@@ -53,3 +53,14 @@ def test_bleu_counts_in_slices(spark, monkeypatch):
     monkeypatch.setattr(bleu, "batch_stats", count)
     assert sorted(map(tuple, bleu.sentence_stats(df).collect()), key=str) == whole and len(whole) == 42 * 4
     assert seen.value > 5
+
+
+def test_training_fetches_only_the_rows_it_asks_for(spark, monkeypatch):
+    """``collect`` of a limited plan fetches that many rows of every partition it runs."""
+    frame = type(spark.range(1))
+    words = spark.createDataFrame([("abab", 5), ("abc", 3), ("cab", 2), ("bcbc", 1)], "word string, n long")
+    tokens = ["a", "b", "c"]
+    for name in ("collect", "toPandas"):
+        monkeypatch.setattr(frame, name, lambda self, name=name: pytest.fail(f"{name} in training"))
+    merges, _ = bpe_training.learn_merges(words, tokens, {t: i for i, t in enumerate(tokens)}, 6)
+    assert tokens[3] == "ab" and len(merges) == 3
