@@ -174,8 +174,11 @@ def flatten_tokens(df: DataFrame, keys: list[str], labels: str = "labels",
 
 
 def unpad(ids: Column, mask: Column) -> Column:
-    """Keep the ids whose mask is 1 (mask-driven, not length-driven)."""
-    return F.filter(ids, lambda v, i: F.get(mask, i) == 1)
+    """Keep the ids whose mask is 1 (mask-driven, not length-driven).  The mask is evaluated once a row: inside a
+    lambda an expression that makes it would run for every element."""
+    pairs = F.arrays_zip(ids.alias("id"), F.slice(mask, 1, F.size(ids)).alias("m"))
+    kept = F.transform(F.filter(pairs, lambda z: z["m"] == 1), lambda z: z["id"])
+    return F.coalesce(kept, F.slice(ids, 1, 0))  # no mask: nothing is kept
 
 
 def real_length(mask: Column) -> Column:

@@ -1,10 +1,14 @@
 """What a worker, the driver and a row hold does not grow with the table."""
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lexiframe.functions.rows import row_slices
+from lexiframe.operators import batches as B
 from lexiframe.operators import bleu, bpe, bpe_training
 
 
@@ -64,3 +68,19 @@ def test_training_fetches_only_the_rows_it_asks_for(spark, monkeypatch):
         monkeypatch.setattr(frame, name, lambda self, name=name: pytest.fail(f"{name} in training"))
     merges, _ = bpe_training.learn_merges(words, tokens, {t: i for i, t in enumerate(tokens)}, 6)
     assert tokens[3] == "ab" and len(merges) == 3
+
+
+def test_unpad_makes_the_mask_once_a_row(spark):
+    n = spark.range(3).select(F.array(F.lit(7), F.lit(8)).alias("ids"), (F.col("id") + 2).cast("int").alias("n"))
+    b = n.select(B.pad_to(F.col("ids"), F.col("n"), 1).alias("ids"), B.mask_of(F.col("ids"), F.col("n")).alias("m"))
+    out = b.select(B.unpad(F.col("ids"), F.col("m")).alias("k"))
+    assert [r.k for r in out.collect()] == [[7, 8]] * 3
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"lambdafunction\([^,]*array_repeat", plan), plan
+
+
+def test_unpad_of_odd_masks(spark):
+    rows = [([1, 2, 3], [1, 0, 1]), ([1, 2], [1]), ([1], [1, 1]), ([1], None), (None, [1]), ([], []), ([1, None, 3], [1, 1, 0]), ([4, 5], [None, 1])]
+    df = spark.createDataFrame(rows, "ids array<int>, m array<int>").coalesce(1)
+    assert [r.k for r in df.select(B.unpad(F.col("ids"), F.col("m")).alias("k")).collect()] == \
+        [[1, 3], [1], [1], [], None, [], [1, None], [5]]
