@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiframe.functions.rows import explode_rows
+from lexiframe.session import materialize
+
+BROADCAST_BYTES = 16 << 20
 
 
 def positional_value(pos: Column, dim: Column, d_model: int) -> Column:
@@ -37,17 +40,26 @@ def lookup_vectors(tokens: DataFrame, vectors: DataFrame, token_col: str = "toke
     Hot ids are split: ids with more than ``1 / (4 * partitions)`` of all tokens are at most ``4 * partitions``, a
     bound that lets their list be broadcast.  A hot id's tokens are dealt to ``salts`` join keys by a hash of the row
     and its vector is repeated for each; all others keep one key.
+
+    Only vectors that a token asks for take part.  Up to ``BROADCAST_BYTES`` of them (a vocabulary's, whatever
+    the number of tokens) are broadcast, so that no token is shuffled.  The tokens are read twice: pass rows that are cheap to read.
     """
     n = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salts = salts or n
-    counts = tokens.where(F.col(token_col).isNotNull()).groupBy(F.col(token_col).alias("_hot")).agg(F.count(F.lit(1)).alias("_n"))
+    # counted once, one row an id; read for the vectors asked for, the total and the hot ids
+    counts = materialize(tokens.where(F.col(token_col).isNotNull()).groupBy(F.col(token_col).alias("_hot"))
+                         .agg(F.count(F.lit(1)).alias("_n")), "token-counts")
+    v = vectors.select(F.col(id_col).alias("_id"), F.col(vec_col).cast("array<double>").alias(vec_col))
+    asked = materialize(v.join(counts, F.col("_id") == F.col("_hot"), "leftsemi"), "vectors-asked")
+    size = asked.agg(F.sum(8 * F.greatest(F.size(vec_col), F.lit(0)) + 16).alias("b")).first()["b"] or 0
+    if size <= BROADCAST_BYTES:
+        return tokens.join(F.broadcast(asked), F.col(token_col) == F.col("_id"), "left").drop("_id")
     total = counts.agg(F.sum("_n").alias("t")).select("t").scalar()
     hot = F.broadcast(counts.where(F.col("_n") * F.lit(4 * n) > total).select("_hot"))
     salt = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(*tokens.columns), F.lit(salts))).otherwise(F.lit(0)).cast("int")
     dealt = tokens.join(hot, F.col(token_col) == F.col("_hot"), "left").select(*tokens.columns, salt.alias("_salt"))
-    v = vectors.select(F.col(id_col).alias("_id"), F.col(vec_col).cast("array<double>").alias(vec_col))
     copies = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    v = explode_rows(v.join(hot, F.col("_id") == F.col("_hot"), "left"), copies, "_part", "_id", vec_col)
+    v = explode_rows(asked.join(hot, F.col("_id") == F.col("_hot"), "left"), copies, "_part", "_id", vec_col)
     return (dealt.join(v, (F.col(token_col) == F.col("_id")) & (F.col("_salt") == F.col("_part")), "left")
             .drop("_salt", "_part", "_id"))
 

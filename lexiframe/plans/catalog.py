@@ -23,7 +23,7 @@ from lexiframe.operators.vectors import lookup_vectors, with_positions
 from lexiframe.operators.vocab import char_vocab, ids_to_tokens_col, string_pair_counts, token_ids, vocab_size, \
     word_counts
 from lexiframe.plans import prep
-from lexiframe.session import scratch_path, table_path
+from lexiframe.session import materialize, scratch_path, table_path
 from lexiframe.sources import corpus as C
 from lexiframe.sources import layout as L
 from lexiframe.sources import sinks as S
@@ -411,13 +411,17 @@ def q_mt_batches(spark, sf):
 
 def q_token_vectors(spark, sf):
     _, _, seqs = _char_lm(spark, sf)
+    seqs = materialize(seqs, "lm-ids")  # encoded once, read twice
     toks = posexplode_rows(seqs, F.col("ids"), "pos", "token_id", "doc_id")
+    # a vector depends on token and position alone, at most vocabulary x MAX_LENGTH cells whatever the number of tokens
+    cells = materialize(toks.select("pos", "token_id").distinct(), "cells")
     emb = C.read_table(spark, sf, "embeddings")
-    j = lookup_vectors(toks, emb, token_col="token_id", id_col="vec_id", vec_col="embedding")
+    j = lookup_vectors(cells, emb, token_col="token_id", id_col="vec_id", vec_col="embedding")
     j = with_positions(j, "embedding", "pos", D_MODEL, MAX_LENGTH)
     total = F.aggregate(F.col("embedding"), F.lit(0.0).cast("double"), lambda a, x: a + x)
-    return j.select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("token_id").cast("long").alias("token_id"),
-                    _r(total).alias("checksum"))
+    sums = materialize(j.select("pos", "token_id", _r(total).alias("checksum")), "cell-sums")
+    return toks.join(sums, ["pos", "token_id"]).select(
+        "doc_id", F.col("pos").cast("long").alias("pos"), F.col("token_id").cast("long").alias("token_id"), "checksum")
 
 
 # ------------------------------------------------------------- metric queries

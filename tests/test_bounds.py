@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexiframe.functions.rows import row_slices
 from lexiframe.operators import batches as B
-from lexiframe.operators import bleu, bpe, bpe_training
+from lexiframe.operators import bleu, bpe, bpe_training, vectors
 
 
 @pytest.mark.parametrize("sizes,limit", [([], 5), ([0, 0], 5), ([3, 3, 3, 50, 1, 0, 4], 5), ([9] * 20, 18)])
@@ -84,3 +84,36 @@ def test_unpad_of_odd_masks(spark):
     df = spark.createDataFrame(rows, "ids array<int>, m array<int>").coalesce(1)
     assert [r.k for r in df.select(B.unpad(F.col("ids"), F.col("m")).alias("k")).collect()] == \
         [[1, 3], [1], [1], [], None, [], [1, None], [5]]
+
+
+def _lookup(spark):
+    tokens = spark.createDataFrame([(i, i % 3 if i % 2 else 7) for i in range(300)] + [(300, None)], "pos long, token_id long")
+    v = spark.createDataFrame([(i, [float(i)]) for i in range(2)] + [(7, [0.5]), (7, [1.5]), (9, [9.0]), (None, [1.0])],
+                              "id long, vector array<double>")
+    return vectors.lookup_vectors(tokens, v)
+
+
+def test_few_vectors_are_looked_up_without_a_shuffle_of_tokens(spark, monkeypatch):
+    small = _lookup(spark)
+    plan = small._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    monkeypatch.setattr(vectors, "BROADCAST_BYTES", 0)
+    large = _lookup(spark)
+    assert "_salt" in large._jdf.queryExecution().optimizedPlan().toString()
+    key = lambda d: sorted((tuple(r) for r in d.collect()), key=str)
+    assert key(small) == key(large) and len(key(small)) == 301 + 150
+
+
+def test_large_lookup_spreads_a_hot_id(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BROADCAST_BYTES", 0)
+    tokens = spark.range(60_000).select("id", F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id") % 5000).alias("token_id"))
+    v = spark.range(5000).select("id", F.array(F.lit(1.0)).alias("vector"))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        sizes = sorted(r["count"] for r in vectors.lookup_vectors(tokens, v).groupBy(F.spark_partition_id()).count().collect())
+    finally:
+        for k, x in old.items():
+            spark.conf.set(k, x)
+    assert sum(sizes) == 60_000 and sizes[-1] <= 3 * sizes[len(sizes) // 2]
