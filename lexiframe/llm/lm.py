@@ -5,7 +5,7 @@ Tokens are words (A-Z lower-cased) and one end token per text.  The model is a t
 
 How the work is spread:
 
-1. ``parts``: each task numbers the words of about ``part_chars`` of text by their 64-bit hashes and writes the
+1. ``parts``: each task numbers the words of about ``part_chars`` bytes of text by their 64-bit hashes and writes the
    texts as word numbers, and its word table split by hash range.
 2. ``words``: a task per hash range sums the training counts of its words, gives every word a global id, and
    answers each part with ids and counts.  Parts are pre-aggregated, so a hot word is one entry a part.
@@ -27,6 +27,7 @@ gives an empty result.
 from __future__ import annotations
 
 import os
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,14 +35,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiframe.llm.common import WORDS, lower_az, pack_array, scratch_path, unpack_array
+from lexiframe.llm.common import pack_array, scratch_path, unpack_array
 from lexiframe.llm.trie import Trie
 
 PART_CHARS = 14 << 20
 SHARD_TOKENS = 1_000_000
 STRENGTH2, STRENGTH3 = 20.0, 10.0
 MAX_HOT = 100_000
-END = "\n"  # not a word of any text
+END = b"\n"  # not a word of any text
 _BEGIN = 0  # global id; words start at 1
 
 #: Rows of the written tables: packed columns of one part (and hash range).
@@ -86,7 +87,9 @@ def write_parts(docs: DataFrame, train: Column, path: str, n_ranges: int, key: s
         from pyspark import TaskContext
 
         base, n_part = TaskContext.get().partitionId() << 24, 0
-        number: dict[str, int] = {}
+        # words as UTF-8 bytes: ``lower`` changes A-Z only, and ``split`` cuts at space and \t to \r only
+        number: dict[bytes, int] = defaultdict()
+        number.default_factory = number.__len__
         ids, lens, flags, keys, size = [], [], [], [], 0
 
         def flush(key_type) -> pa.RecordBatch:
@@ -113,14 +116,14 @@ def write_parts(docs: DataFrame, train: Column, path: str, n_ranges: int, key: s
 
         for b in batches:
             key_type = b.schema.field(0).type
-            for k, t, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                ws = WORDS.findall(lower_az(t)) if t else []
+            for k, t, f in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist()):
+                ws = t.lower().split() if t else []
                 ws.append(END)
-                ids.append(np.array([number.setdefault(w, len(number)) for w in ws], dtype=np.int32))
+                ids.append(np.fromiter(map(number.__getitem__, ws), dtype=np.int32, count=len(ws)))
                 lens.append(len(ws))
                 flags.append(f)
                 keys.append(k)
-                size += len(t or "") + 1
+                size += len(t or b"") + 1
                 if size >= part_chars:
                     yield flush(key_type)
         if keys:
@@ -186,9 +189,13 @@ def write_words(parts: DataFrame, path: str, n_ranges: int, hot_tokens: int) ->
 
 def _mix(a: np.ndarray, salt: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        z = (a.astype(np.uint64) + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
-        z = (z ^ (z >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        return z ^ (z >> np.uint64(32))
+        z = a.astype(np.uint64)
+        z += np.uint64(salt)
+        z *= np.uint64(0x9E3779B97F4A7C15)
+        z ^= z >> np.uint64(32)
+        z *= np.uint64(0xD6E8FEB86659FD93)
+        z ^= z >> np.uint64(32)
+        return z
 
 
 def _parts_with_words(batches: Iterator[pa.RecordBatch]):
@@ -232,18 +239,20 @@ def _gram_blobs(batches: Iterator[pa.RecordBatch], n_shards: int, hot_ids, hot_s
     numbers and middle words, ``c``: words before, and twice the text's number plus its training flag."""
     for part, _, flags, n, w, c in _parts_with_words(batches):
         v, u = _contexts(w, n)
-        shard = _shard_of(v, u, n_shards, hot_ids, hot_salts)
+        # few bits: sorted by radix, and small beside the other columns
+        shard = _shard_of(v, u, n_shards, hot_ids, hot_salts).astype(np.uint16 if n_shards <= 1 << 16 else np.int64)
         order = np.argsort(v, kind="stable")
         order = order[np.argsort(shard[order], kind="stable")]
-        cut = np.searchsorted(shard[order], np.arange(n_shards + 1))
-        text = np.repeat(np.arange(len(n)) * 2 + flags, n)
+        cut = np.r_[0, np.cumsum(np.bincount(shard, minlength=n_shards))]
+        del shard
+        text = np.repeat((np.arange(len(n)) * 2 + flags).astype(np.uint32), n)
         rows = []
         for s in np.flatnonzero(np.diff(cut)):
             at = order[cut[s]:cut[s + 1]]
             ws, first, wi = np.unique(w[at], return_index=True, return_inverse=True)
             rows.append((int(s), 4, part, _join(_deltas(ws), _planes(c[at][first])),
                          _join(_planes(wi.astype(np.uint32)), _deltas(v[at])),
-                         _join(_planes(u[at]), _planes(text[at].astype(np.uint32)))))
+                         _join(_planes(u[at]), _planes(text[at]))))
             if len(rows) == 16:
                 yield _batch(rows, _BLOB_TYPES)
                 rows = []

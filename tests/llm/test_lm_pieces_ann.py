@@ -206,3 +206,15 @@ def test_eviction_changes_no_sample():
         (a, na), (b, nb) = (s.sample(texts, keys) for s in (small, large))
         assert a.tolist() == b.tolist() and na.tolist() == nb.tolist()
     assert len(small.cum) <= 2000 < len(large.cum)
+
+
+def test_lm_words_are_cut_at_ascii_white_space_only(spark):
+    """Other white space and letters outside A-Z stay as they are."""
+    import re
+
+    texts = ["A\x1cb\x85c d", "a\tA\x0bA\x0cA\r\nÉ é K k", " ", " ", None, "İ i"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_tokens, r.n_known) for r in lm.score_documents(docs, F.col("doc_id") != 1).collect()}
+    words = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    known = {w for i, ws in enumerate(words) if i != 1 for w in ws}
+    assert got == {i: (len(ws) + 1, sum(w in known for w in ws) + 1) for i, ws in enumerate(words)}
